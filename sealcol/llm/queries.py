@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, packing
+from . import decontaminate, exact_dedup, langid, ngram_join, packing
 from .common import bucket_of, table
 
 
+def digest_buckets(spark: SparkSession) -> int:
+    """Buckets of a new digest index: as many as the cluster's shuffles have partitions."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.fresh_index(spark, buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    index = exact_dedup.fresh_index(spark, digest_buckets(spark))
     out = index.annotate(table(spark, sf_dir, "documents"))
     return out.withColumn("keep_id", F.col("keep_id").cast("long"))
 
@@ -39,4 +48,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_decontamination, op6_packing, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_exact_dedup, op5_decontamination, op6_packing, op9_language_id)}
