@@ -271,13 +271,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # of the classes of a group one stays, with its smallest id; what is joined to whole rows are ids to drop
     keep = classes.filter(F.col("key") == F.col("group_key")).select("key", F.col("group_id").alias("keep_id"))
     doc, key = free_name(docs, "doc_"), free_name(docs, "key_")
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), [*docs.columns, key]
 
     def run(batches):
         for batch in batches:
             for a, b, raw, offs in chunks(batch.column(at)):
                 keys = [set_key(s) for s in shingle_sets(find_words(raw, offs))]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(keys, pa.binary())], names=[*docs.columns, key])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(keys, pa.binary())], names=names)
 
     keyed = docs.mapInArrow(run, with_fields(docs, f"`{key}` binary"))
     rows = keyed.select(F.struct(*[col(c) for c in docs.columns]).alias(doc), col(id_col).alias("id"), F.col(f"`{key}`").alias("key"))
