@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, ngram_join, packing
+from . import decontaminate, exact_dedup, langid, licenses, ngram_join, packing, secrets
 from .common import bucket_of, table
 
 
@@ -41,6 +41,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct(F.col("base.label")))
+    every = F.array_sort(F.array_distinct(F.concat(F.col("base.label"), F.col("found.label"))))
+    score = F.greatest(F.coalesce(F.array_max("found.weight"), F.lit(0.0)), F.when(F.size("base") > 0, 0.6).otherwise(0.0))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.at").alias("first_word"), F.array_max("base.at").alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = bucket_of("doc_id", 4) == 2
@@ -48,4 +56,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_exact_dedup, op5_decontamination, op6_packing, op9_language_id)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
+    counts = [F.size(F.expr(f"filter(spans, x -> x.kind = {k})")).cast("long").alias(f"n_{kind[0]}") for k, kind in enumerate(secrets.KINDS)]
+    base = F.filter("spans", lambda x: x["kind"] < len(secrets.KINDS))
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_exact_dedup, op5_decontamination, op6_packing, op7_license_scan, op9_language_id, op10_secret_scan)}
