@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, licenses, ngram_join, packing, secrets
+from . import binpack, decontaminate, exact_dedup, langid, licenses, ngram_join, packing, quality, secrets, substring
 from .common import bucket_of, table
 
 
@@ -14,6 +14,18 @@ def digest_buckets(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("with_id").alias("with_doc_id"), F.col("first").alias("first_word"), F.col("stop").alias("end_word"), F.col("with_first").alias("with_first_word"), F.col("with_stop").alias("with_end_word"), "identity")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of("doc_id", 3) == 1
+    found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +61,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.at").alias("first_word"), F.array_max("base.at").alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
 
 
+def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.digest(binpack.pack(table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = bucket_of("doc_id", 4) == 2
@@ -63,4 +79,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_exact_dedup, op5_decontamination, op6_packing, op7_license_scan, op9_language_id, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_ngram_jaccard_join, op4_exact_dedup, op5_decontamination, op6_packing, op7_license_scan, op8_token_id_output, op9_language_id, op10_secret_scan)}
