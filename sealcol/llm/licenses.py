@@ -93,7 +93,7 @@ def rules() -> list[Rule]:
             for v in f.versions:
                 label = f"{f.label}-{v.replace(' ', '.')}"
                 out.append(Rule(label, rf"(?:the )?{name}(?: as published by the free software foundation)?(?: either)?(?: version| v)? v?{v}(?! ?\d)", keyword, 3, 0.95))
-                out.append(Rule(f"{label}-or-later", rf"{name}(?: either)?(?: version| v)? {v} (?:or(?: at your option)? (?:any )?later|or newer)(?: version)?", keyword, 4, 0.97))
+                out.append(Rule(f"{label}-or-later", rf"{name}(?: either)?(?: version| v)? v?{v} (?:or(?: at your option)? (?:any )?later|or newer)(?: version)?", keyword, 4, 0.97))
             out.append(Rule(f.label, name, keyword, 1, 0.6 if " " in name else 0.4))
             out.append(Rule(f.label, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{name}", keyword, 2, 0.9))
     for short, tail in CC_ELEMENTS:

@@ -157,7 +157,7 @@ class Network:
 
 def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> Network:
     """Adam on the cross-entropy of four fifths of the rows; the temperature on the rest."""
-    width = x.shape[1] if len(x) else STREAMS * DIMS
+    width = x.shape[1]
     if len(np.unique(y)) < 2:
         sure = 0.0 if not len(y) else 40.0 * (2 * y[0] - 1)
         return Network(np.zeros(width), np.ones(width), np.zeros((width, hidden)), np.zeros(hidden), np.zeros(hidden), sure, 1.0)
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str =
 
     got = rows.mapInArrow(vectors, with_fields(rows.select("id"), "y int, x binary")).toArrow()
     order = np.argsort(np.array([f"{i}" for i in got.column("id").to_pylist()]), kind="stable") if len(got) else np.zeros(0, np.int64)
-    x = np.array([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()], float).reshape(len(got), -1)[order]
+    x = np.array([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()], float).reshape(len(got), STREAMS * DIMS)[order]
     y = got.column("y").to_numpy().astype(float)[order]
     return Model(table, fit(x, y))
 
