@@ -4,6 +4,19 @@ from .vectext import LOWER, UPPER, WORD
 
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
+OP3 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS g FROM d),
+c AS (SELECT g, min(doc_id) AS rep, count(*) AS n_copies, len(g) AS n FROM s GROUP BY g),
+x AS (SELECT rep, n, unnest(g) AS t FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.t = b.t AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
+r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT p.b AS node, r.root FROM r JOIN p ON p.a = r.node),
+k AS (SELECT node, min(root) AS class_id FROM r GROUP BY node)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, n_copies
+FROM s JOIN c ON s.g = c.g JOIN k ON k.node = c.rep LEFT JOIN l ON l.a = c.rep
+"""
+
 OP4 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 k AS (SELECT text_sha256, arg_min(doc_id, (-n, doc_id)) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
@@ -23,4 +36,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLE = {"op4_exact_dedup": OP4, "op5_decontamination": OP5}
+ORACLE = {"op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4, "op5_decontamination": OP5}
