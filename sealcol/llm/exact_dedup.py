@@ -46,12 +46,19 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def _new(self, groups: DataFrame) -> DataFrame:
+        """Groups whose digest the index has not, by sort-merge anti-join; adds ``ticket``.
+
+        The ticket is nondeterministic and has to be used by what follows: else the optimizer would move the join below the
+        grouping, and every row, not every group, would be shuffled.
+        """
+        return groups.withColumn("ticket", F.monotonically_increasing_id()).join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+
     def _append(self, groups: DataFrame, batch: str) -> None:
-        """Groups whose digest is new: anti-joined bucket by bucket, appended in bucket order."""
-        new = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        """New groups, appended bucket by bucket in order."""
         fields = [f.split()[0] for f in FIELDS.split(", ")]
-        new = new.withColumn("batch", F.lit(batch)).select(*fields)
-        new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+        new = self._new(groups).withColumn("batch", F.lit(batch)).select(*fields, "ticket")
+        new.repartition(self.buckets, "digest").sortWithinPartitions("digest", "ticket").select(*fields).write.insertInto(self.name)
 
     def annotate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Adds the batch to the index. One row per input row: id, keep_id (as text), group_size (rows of the batch with this
@@ -84,10 +91,9 @@ class DigestIndex:
         marked = marked.withColumn("row", F.monotonically_increasing_id())
         order = F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
         won = marked.groupBy("digest").agg(F.min_by("doc", order).alias("doc"), F.min(order).alias("b"), F.count(F.lit(1)).alias("group_size"))
-        won = won.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        won = won.select("digest", F.col("b.id").cast("string").alias("keep_id"), F.col("b.row").alias("keep_row"), (-F.col("b.less")).alias("n_chars"), "group_size", "doc")
+        won = self._new(won).select("digest", F.col("b.id").cast("string").alias("keep_id"), F.col("b.row").alias("keep_row"), (-F.col("b.less")).alias("n_chars"), "group_size", "doc", "ticket")
         fresh = materialise(won, "admitted")
-        self._append(fresh.drop("doc"), batch)
+        self._append(fresh.drop("doc", "ticket"), batch)
         return fresh.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
