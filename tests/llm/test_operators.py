@@ -309,3 +309,12 @@ def test_substring_dedup(docs, empty, spark):
                 assert set(range(k + 2, k + 58)) <= covered[i], i
     assert {50, 51, 52, 10, 11} <= set(covered) and not {70, 5, 6, 60} & set(covered)
     assert rows(substring.passages(empty)) == []
+
+
+def test_substring_dedup_past_holders_of_fragments(spark):
+    passage = prose(200, 60).split()
+    texts = [(1, " ".join([prose(201, 60), *passage, prose(202, 60)])), (2, " ".join([prose(203, 60), *passage, prose(204, 60)]))]
+    for n in range(24):
+        texts.append((10 + n, " ".join([prose(210 + n, 60), *(passage[:45], passage[-35:])[n % 2], prose(250 + n, 60)])))
+    got = rows(substring.passages(frame(spark, texts)))
+    assert {r[0] for r in got if r[2] - r[1] >= 60 and r[6] == 1} == {1, 2}
