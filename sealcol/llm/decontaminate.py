@@ -131,20 +131,85 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, mode: str = "drop", text
 
     mode "drop": rows with any hit word go. mode "cut": the text from the first to the last byte of each hit run of words
     goes, the rest of the row stays. A benchmark above ``broadcast_bytes`` is scanned in parts of at most that size, one
-    after another, each written before the next begins: what is held in memory stays bounded.
+    after another, each written before the next begins: what is held in memory stays bounded. Every part sees the original
+    text; spans are gathered in a column of their own and cut once, after the last part.
     """
     size = bench.agg(F.sum(F.octet_length(col(item_text).cast("string"))).alias("n")).first()["n"] or 0
     parts = -(-size // broadcast_bytes) if size > broadcast_bytes else 1
     spread = F.pmod(F.xxhash64(col(item_text).cast("string"), col(item_id).cast("string")), F.lit(parts))
+    columns, mark = docs.columns, free_name(docs, "hits_")
+    gather = mode == "cut" and parts > 1
+    if gather:
+        docs = docs.withColumn(mark, F.expr("cast(array() as array<bigint>)"))
     for k in range(parts):
         some = bench if parts == 1 else bench.filter(spread == k)
         held = docs.sparkSession.sparkContext.broadcast(_window_set(some, item_id, item_text, window))
-        docs = docs.mapInArrow(_dropper(held, docs.columns.index(text_col), mode), docs.schema)
+        docs = docs.mapInArrow(_marker(held, columns.index(text_col)) if gather else _dropper(held, columns.index(text_col), mode), docs.schema)
         if parts > 1:
             docs = materialise(docs, "decontaminated")
+    if gather:
+        docs = docs.mapInArrow(_cutter(columns.index(text_col)), docs.drop(mark).schema)
     return docs
 
 
+def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of runs of true, and their ends."""
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _without(raw: np.ndarray, offs: np.ndarray, w: Words, r: int, hit: np.ndarray) -> str:
+    """Row r's text without the runs of words that are hit."""
+    whole, out, last = raw[offs[r] : offs[r + 1]].tobytes(), [], 0
+    for s, e in zip(*_runs(hit)):
+        out.append(whole[last : w.start[w.ptr[r] + s] - offs[r]])
+        last = w.end[w.ptr[r] + e - 1] - offs[r]
+    return b"".join([*out, whole[last:]]).decode("utf-8", "replace")
+
+
+def _marker(held, at: int):
+    """Adds the places (start, end, start, end, ...) of each row's hit runs of words to the last column."""
+
+    def run(batches):
+        known = held.value
+        for batch in batches:
+            for a, b, raw, offs in chunks(batch.column(at)):
+                w = find_words(raw, offs)
+                hit, _ = known.scan(w)
+                piece = batch.slice(a, b - a)
+                last = piece.num_columns - 1
+                marks = piece.column(last).to_pylist()
+                for r in np.unique(np.searchsorted(w.ptr, np.flatnonzero(hit), "right") - 1).tolist():
+                    marks[r] += np.stack(_runs(hit[w.ptr[r] : w.ptr[r + 1]]), axis=1).ravel().tolist()
+                yield piece.set_column(last, piece.schema.field(last), pa.array(marks, piece.schema.field(last).type))
+
+    return run
+
+
+def _cutter(at: int):
+    """Cuts the runs that the last column tells, and drops it."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, raw, offs in chunks(batch.column(at)):
+                w = find_words(raw, offs)
+                piece = batch.slice(a, b - a)
+                marks = piece.column(piece.num_columns - 1).to_pylist()
+                piece = piece.select(piece.schema.names[:-1])
+                rows = [r for r, m in enumerate(marks) if m]
+                if rows:
+                    texts = piece.column(at).to_pylist()
+                    for r in rows:
+                        hit = np.zeros(w.ptr[r + 1] - w.ptr[r], bool)
+                        for s, e in zip(marks[r][::2], marks[r][1::2]):
+                            hit[s:e] = True
+                        texts[r] = _without(raw, offs, w, r, hit)
+                    piece = piece.set_column(at, piece.schema.field(at), pa.array(texts, piece.schema.field(at).type))
+                yield piece
+
+    return run
+
+
 def _dropper(held, at: int, mode: str):
     def run(batches):
         known = held.value
@@ -162,12 +227,7 @@ def _dropper(held, at: int, mode: str):
                 elif len(rows):
                     texts = piece.column(at).to_pylist()
                     for r in rows.tolist():
-                        own = np.diff(np.concatenate([[0], hit[w.ptr[r] : w.ptr[r + 1]].astype(np.int8), [0]]))
-                        whole, out, last = raw[offs[r] : offs[r + 1]].tobytes(), [], 0
-                        for s, e in zip(np.flatnonzero(own == 1) + w.ptr[r], np.flatnonzero(own == -1) + w.ptr[r] - 1):
-                            out.append(whole[last : w.start[s] - offs[r]])
-                            last = w.end[e] - offs[r]
-                        texts[r] = b"".join([*out, whole[last:]]).decode("utf-8", "replace")
+                        texts[r] = _without(raw, offs, w, r, hit[w.ptr[r] : w.ptr[r + 1]])
                     piece = piece.set_column(at, piece.schema.field(at), pa.array(texts, piece.schema.field(at).type))
                 yield piece
 

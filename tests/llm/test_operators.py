@@ -153,6 +153,17 @@ def test_decontamination_cuts_spans(spark):
     assert cut == "Before, ; after"
 
 
+@pytest.mark.parametrize("limit", [20, 300])
+def test_decontamination_cuts_alike_in_one_part_and_several(spark, limit):
+    w = prose(80, 40).split()
+    items = spark.createDataFrame([(i, " ".join(w[i : i + 12])) for i in range(0, 28, 3)] + [(90, f"{w[2]} {w[38]}")], "item_id long, text string")
+    texts = [(1, "Before, " + "; ".join(w) + " after"), (2, " ".join(w[:20]) + ". " + " ".join(w[5:30])), (3, None), (4, "clean é text"), (None, " ".join(w))]
+    one = decontaminate.decontaminate(frame(spark, texts), items, mode="cut")
+    several = decontaminate.decontaminate(frame(spark, texts), items, mode="cut", broadcast_bytes=limit)
+    assert several.columns == one.columns and sorted(map(str, rows(several))) == sorted(map(str, rows(one)))
+    assert {r["doc_id"]: r["text"] for r in one.collect()}[4] == "clean é text"
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
