@@ -39,7 +39,16 @@ PARTS = (
     "data database date default delete delta description detail device directory display document download driver element email enable encode endpoint engine entity entry error "
     "event example execute expire export extension factory failure feature field file filter first folder font format frame function gateway generate global graph group handler "
     "header height history host icon image import index info input insert instance integer interface internal invoice item iterator join key label language last layout length "
-    "level library limit line link list listener load local location lock logger login manager mapping master match memory menu merge message meta method metric mode model module"
+    "level library limit line link list listener load local location lock logger login manager mapping master match memory menu merge message meta method metric mode model module "
+    "name namespace native network next node normal notice notification null number object observer offset open operation operator option order origin output override owner package "
+    "page panel parameter parent parse partition password path pattern payment pending permission phone pixel platform player plugin pointer policy pool position post prefix preview "
+    "previous price primary print priority private process product profile progress project property protocol provider proxy public publish push quality quantity query queue quick "
+    "quota quote random range rate reader receive record reference refresh region register release reload remote remove render replace report repository request require reset resource "
+    "response result retry return role root route rule runtime sample scale schedule schema scope screen script search section security select sender sequence server service session "
+    "setting shape share signature simple single size snapshot socket sort source space spec stack start state static status step storage store stream string structure style subject "
+    "submit summary support switch symbol sync system table tag target task template temporary test text theme thread threshold time timeout title token topic total trace track "
+    "transaction transfer transform tree trigger type unique unit update upload usage user utility valid value variable vector verify version video view visible volume wait warning "
+    "weight widget width window wizard worker workspace wrapper write xml yaml year yield zone zoom zip"
 ).split()
 
 

@@ -343,3 +343,14 @@ def test_substring_dedup_finds_edited_passages(spark):
         covered[i] |= set(range(a, b))
     share = [len(covered[i] & want[i]) / 100 for i in range(2 * n)]
     assert np.mean(share[:n]) > 0.95 and np.mean(share[n:]) > 0.8
+
+
+def test_markov_models_leave_identifiers_of_unseen_words(spark):
+    unseen = "navigator neighbor nested numeric optimize outbound overflow parallel passenger percentage physical polygon popup precision printer purchase receipt recursive rotate satellite scanner scroll shipping slider spinner subscriber survey teacher terminal tooltip traffic translate tuple upgrade vendor vertical visitor voucher warehouse weather wheel wrap zero".split()
+    assert not set(unseen) & set(secrets.PARTS)
+    texts = []
+    for i in range(400):
+        p = [unseen[(i * 7 + k * (11 + i % 5)) % len(unseen)] for k in range(4)]
+        texts.append((i, ["_".join(p), p[0] + "".join(x.capitalize() for x in p[1:]), "_".join(p[:3]).upper(), "".join(p), "-".join(p[:3])][i % 5]))
+    found = secrets.scan(frame(spark, texts), secrets.train(secrets.samples(spark)))
+    assert found.filter("size(spans) > 0").count() < 0.02 * len(texts)
