@@ -250,11 +250,17 @@ def join_decrypted(spark, sf):
 
 @query(f"SELECT o_orderkey, n FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 400) LEFT JOIN (SELECT c_custkey, count(*) AS n FROM {C} WHERE c_name IS NOT NULL AND c_custkey < 60 GROUP BY 1) ON c_custkey = o_custkey")
 def nested_include_verified(spark, sf):
-    """Verified children in an array under each parent row."""
-    child = _customers(spark, sf).filter(ref("c_name").is_not_null() & Plain(F.col("c_custkey") < 60))
+    """Verified children in an array under each parent row. Its SQL asks for some orders, and the children of some customers."""
+    return _nested(spark, sf).filter("o_orderkey < 400").select("o_orderkey", F.when(F.col("o_custkey") < 60, F.col("n")).alias("n"))
+
+
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    """o_orderkey, o_custkey, n of all orders, stored: all customers are verified."""
+    child = _customers(spark, sf).filter(ref("c_name").is_not_null())
     nested = child.df.groupBy("c_custkey").agg(F.collect_list(F.struct("c_name")).alias("cs"))
-    orders = _read(spark, sf, "orders").filter("o_orderkey < 400")
-    return orders.join(nested, orders.o_custkey == nested.c_custkey, "left").select("o_orderkey", F.when(F.col("cs").isNotNull(), F.size("cs").cast("long")).alias("n"))
+    orders = _read(spark, sf, "orders")
+    out = orders.join(nested, orders.o_custkey == nested.c_custkey, "left")
+    return _stored(out.select("o_orderkey", "o_custkey", F.when(F.col("cs").isNotNull(), F.size("cs").cast("long")).alias("n")))
 
 
 @query(f"SELECT c_custkey, c_name FROM {C} WHERE c_name IN {N3} OR c_name = {N1}")
@@ -486,8 +492,13 @@ def tenant_scoped_eq(spark, sf):
 
 @query(f"SELECT c_custkey, c_name FROM {C} WHERE c_custkey % 2 = 0")
 def row_bound_open(spark, sf):
-    """Envelopes bound to their row's key."""
-    return _customers(spark, sf, row="c_custkey").decrypted("c_name").filter("c_custkey % 2 = 0").select("c_custkey", "c_name")
+    """Envelopes bound to their row's key. Its SQL asks for every second one."""
+    return _row_bound(spark, sf).filter("c_custkey % 2 = 0")
+
+
+def _row_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """c_custkey, c_name of all customers, opened and stored."""
+    return _stored(_customers(spark, sf, row="c_custkey").decrypted("c_name").select("c_custkey", "c_name"))
 
 
 def _quiet(spark: SparkSession, mode: str) -> Engine:
@@ -530,14 +541,19 @@ def long_text_casefold_eq(spark, sf):
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_id < 200")
 def stream_sealed(spark, sf):
-    """A stream of rows sealed batch by batch, read back."""
+    """A stream of rows sealed batch by batch, read back. Its SQL asks for the first of them."""
+    return _streamed(spark, sf).filter("event_id < 200")
+
+
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """event_id, user_id, value of all events, sealed by a stream, opened and stored."""
     from .streaming.seal import read_sealed, seal_stream
 
     engine = _engine(spark)
     t = Table("events", _id("events"), (Column("user_id", _id("events.user_id"), "int", _index(256)), Column("value", _id("events.value"), "float")), pk=("event_id",))
-    rows = _read(spark, sf, "events").filter("event_id < 200").select("event_id", "user_id", "value")
+    rows = _read(spark, sf, "events").select("event_id", "user_id", "value")
     source = _stored(rows)
     base = source.inputFiles()[0].rsplit("/", 1)[0]
     stream = spark.readStream.schema(T.StructType(rows.schema.fields)).parquet(base)
     seal_stream(engine, stream, t, f"{base}-out", f"{base}-checkpoint").awaitTermination()
-    return SealedFrame(engine, read_sealed(engine, t, f"{base}-out"), t).decrypted().select("event_id", "user_id", "value")
+    return _stored(SealedFrame(engine, read_sealed(engine, t, f"{base}-out"), t).decrypted().select("event_id", "user_id", "value"))

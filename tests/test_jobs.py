@@ -100,3 +100,18 @@ def test_reports_are_compared(spark):
     a = spark.createDataFrame([("x", "ok"), ("y", "ok")], "id string, outcome string")
     b = spark.createDataFrame([("x", "ok"), ("z", "ok")], "id string, outcome string")
     assert sorted(r["id"] for r in backfill.compare_reports(a, b).collect()) == ["y", "z"]
+
+
+def test_queries_of_the_operators_cover_whole_tables(spark):
+    from sealcol import queries
+
+    sf = "/root/testdata/sf0.001"
+    customers = {r["c_custkey"]: r["c_name"] if r["c_custkey"] % 7 else None for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    assert {r["c_custkey"]: r["c_name"] for r in queries._row_bound(spark, sf).collect()} == customers
+    orders = [(r["o_orderkey"], r["o_custkey"]) for r in spark.read.parquet(f"{sf}/orders.parquet").collect()]
+    want = sorted((o, c, 1 if customers.get(c) else None) for o, c in orders)
+    assert sorted(tuple(r) for r in queries._nested(spark, sf).collect()) == want
+    got = sorted(tuple(r) for r in queries.nested_include_verified(spark, sf).collect())
+    assert got == [(o, n if c < 60 else None) for o, c, n in want if o < 400]
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "value")
+    assert sorted(tuple(r) for r in queries._streamed(spark, sf).collect()) == sorted(tuple(r) for r in events.collect())
