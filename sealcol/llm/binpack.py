@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,24 +139,52 @@ def write_matrices(packed: DataFrame, path: str, rows: int = 128) -> None:
     """Parquet files at ``path``: one record per matrix of up to ``rows`` rows, made from neighbouring row numbers.
 
     matrix_id, n_rows, ids and positions (binary, row-major uint16), cu_seqlens (binary, int32: each row's, one after
-    another) and cu_offsets (where each row's begin).
+    another) and cu_offsets (where each row's begin);
+    row_ids, n_tokens, doc_ids and starts of its rows.
     """
     def run(batches):
         base, k, held = TaskContext.get().partitionId() << 32, 0, []
         def record(some):
             cu = [np.array(x[2], "<i4") for x in some]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in cu])]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([len(some)], pa.int64()), pa.array([b"".join(x[0] for x in some)], pa.binary()), pa.array([b"".join(x[1] for x in some)], pa.binary()), pa.array([np.concatenate(cu).tobytes()], pa.binary()), pa.array([offsets.tolist()], pa.list_(pa.int64()))], names=["matrix_id", "n_rows", "ids", "positions", "cu_seqlens", "cu_offsets"])
+            told = [pa.array([[x[i] for x in some]], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(ids)), pa.list_(pa.list_(pa.int64()))), 3)]
+            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([len(some)], pa.int64()), pa.array([b"".join(x[0] for x in some)], pa.binary()), pa.array([b"".join(x[1] for x in some)], pa.binary()), pa.array([np.concatenate(cu).tobytes()], pa.binary()), pa.array([offsets.tolist()], pa.list_(pa.int64())), *told], names=["matrix_id", "n_rows", "ids", "positions", "cu_seqlens", "cu_offsets", "row_ids", "n_tokens", "doc_ids", "starts"])
 
         for batch in batches:
-            held += list(zip(*[batch.column(i).to_pylist() for i in range(3)]))
-            while len(held) >= rows:
-                yield record(held[:rows])
-                held, k = held[rows:], k + 1
+            ids = batch.column(5).type.value_type
+            a = 0
+            while a < batch.num_rows:  # a matrix at a time: a batch may be many
+                some = batch.slice(a, rows - len(held))
+                held += list(zip(*[some.column(i).to_pylist() for i in range(7)]))
+                a += some.num_rows
+                if len(held) == rows:
+                    yield record(held)
+                    held, k = [], k + 1
         if held:
             yield record(held)
 
-    packed.select("ids", "positions", "cu_seqlens").mapInArrow(run, "matrix_id long, n_rows long, ids binary, positions binary, cu_seqlens binary, cu_offsets array<bigint>").write.parquet(path)
+    kind = packed.schema["doc_ids"].dataType.simpleString()
+    schema = f"matrix_id long, n_rows long, ids binary, positions binary, cu_seqlens binary, cu_offsets array<bigint>, row_ids array<bigint>, n_tokens array<bigint>, doc_ids array<{kind}>, starts array<array<bigint>>"
+    spark, size = packed.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(rows))  # rows are of 8 KB and more
+    try:
+        packed.select("ids", "positions", "cu_seqlens", "row_id", "n_tokens", "doc_ids", "starts").mapInArrow(run, schema).write.option("parquet.block.size", 16 << 20).parquet(path)
+    finally:
+        spark.conf.set(size, before)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of written matrices, as pack() gives them."""
+    size = "cast(length(ids) / n_rows as int)"
+    byte = [f"substr(hex(cu), 8 * i + {k}, 2)" for k in (7, 5, 3, 1)]
+    # rows are cut inside the matrix, so that it is not copied for each of them
+    cut = F.expr(f"""transform(sequence(0, cast(n_rows - 1 as int)), j -> struct(row_ids[j] as row_id, n_tokens[j] as n_tokens, doc_ids[j] as doc_ids, starts[j] as starts,
+        substring(cu_seqlens, cast(4 * cu_offsets[j] + 1 as int), cast(4 * (cu_offsets[j + 1] - cu_offsets[j]) as int)) as cu,
+        substring(ids, j * {size} + 1, {size}) as ids, substring(positions, j * {size} + 1, {size}) as positions))""")
+    row = spark.read.parquet(path).select(F.explode(cut).alias("r")).select("r.*")
+    cu = F.expr(f"transform(sequence(0, cast(length(cu) / 4 - 1 as int)), i -> cast(conv(concat({', '.join(byte)}), 16, 10) as bigint))")
+    return row.select("row_id", "n_tokens", "doc_ids", "starts", cu.alias("cu_seqlens"), "ids", "positions")
 
 
 def digest(packed: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binpack, decontaminate, exact_dedup, langid, licenses, ngram_join, packing, quality, secrets, substring
-from .common import bucket_of, table
+from .common import bucket_of, shared_dir, table
 
 
 def digest_buckets(spark: SparkSession) -> int:
@@ -62,7 +64,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binpack.digest(binpack.pack(table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json")))
+    path = f"{shared_dir(spark)}/token-matrices-{uuid.uuid4().hex}"
+    binpack.write_matrices(binpack.pack(table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json")), path)
+    return binpack.digest(binpack.read_matrices(spark, path))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

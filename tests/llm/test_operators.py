@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sealcol.llm import binpack, decontaminate, exact_dedup, langid, licenses, ngram_join, packing, quality, secrets, substring
+from sealcol.llm import binpack, decontaminate, exact_dedup, langid, licenses, ngram_join, packing, quality, queries, secrets, substring
 from sealcol.llm.common import bucket_of
 from sealcol.llm.queries import vocabulary
 
@@ -219,6 +219,23 @@ def test_token_id_output(spark, docs, empty, tmp_path):
     assert rows(binpack.pack(empty, tokenizer=TOKENIZER)) == []
 
 
+def test_token_id_output_is_read_back_from_matrices(spark, docs, empty, tmp_path, monkeypatch):
+    packed = binpack.pack(docs, tokenizer=TOKENIZER)
+    want = sorted(map(str, rows(binpack.digest(packed))))
+    monkeypatch.setattr(queries, "shared_dir", lambda spark: str(tmp_path))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_token_id_output(spark, str(tmp_path))
+    written = [p for p in tmp_path.iterdir() if p.name.startswith("token-matrices-")]
+    assert len(written) == 1 and sum(r["n_rows"] for r in spark.read.parquet(str(written[0])).collect()) == got.count()
+    parts = [sorted((str(d), s, b - a) for r in x.collect() for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:])) for x in (got, packed)]
+    assert parts[0] == parts[1]
+    for n, size in (("all", 128), ("few", 3)):
+        binpack.write_matrices(packed, str(tmp_path / n), rows=size)
+        assert sorted(map(str, rows(binpack.digest(binpack.read_matrices(spark, str(tmp_path / n)))))) == want
+    binpack.write_matrices(binpack.pack(empty, tokenizer=TOKENIZER), str(tmp_path / "empty"))
+    assert rows(binpack.read_matrices(spark, str(tmp_path / "empty"))) == []
+
+
 def test_license_scan(docs, spark, empty):
     extra = [(1, "Released under the MIT license."), (2, "Apache License, Version 2.0"), (3, "GNU General Public\nLicense v3 or later; cc-by-nc 4.0"), (4, "the MITlicense"), (5, None)]
     got = {r["doc_id"]: r for r in licenses.scan(frame(spark, extra), text_col="text").collect()}
