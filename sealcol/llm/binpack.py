@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from .common import col
 from .tokens import rows_of_ids
 
@@ -79,112 +81,108 @@ def best_fit_decreasing(sizes: list[int], width: int) -> list[list[int]]:
     return rows
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, pad_id: int = 0, width: int = WIDTH, block: int = 8192, block_ids: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per packed row: row_id, n_tokens, doc_ids and starts (of its segments), cu_seqlens, ids and positions (binary, uint16, ``width`` each)."""
-    src = docs.select(col(id_col), col(text_col).cast("string").alias("text_"))
-    id_type = src.schema[0].dataType
-    schema = T.StructType.fromDDL("row_id long, n_tokens long").add("doc_ids", T.ArrayType(id_type))
-    schema = T.StructType(schema.fields + T.StructType.fromDDL("starts array<bigint>, cu_seqlens array<bigint>, ids binary, positions binary").fields)
+def _packed(kind, tokenizer: str, end_id: int, pad_id: int, width: int, block: int, block_ids: int):
+    """A function from batches of id and text to packed rows as tuples, in the order of ROW."""
 
-    def run(batches):
-        number, kind = TaskContext.get().partitionId() << 32, None
+    def rows_of(batches) -> Iterator[tuple]:
+        number = TaskContext.get().partitionId() << 32
         waiting: list[tuple[object, int, np.ndarray]] = []
         held = 0
 
-        def rows_of(pieces: list[tuple[object, int, np.ndarray]]) -> Iterator[tuple]:
+        def close() -> Iterator[tuple]:
             nonlocal number
-            for own in best_fit_decreasing([len(x[2]) for x in pieces], width):
-                segments = [pieces[i] for i in own]
+            for own in best_fit_decreasing([len(x[2]) for x in waiting], width):
+                segments = [waiting[i] for i in own]
                 lengths = [len(x[2]) for x in segments]
                 ids = np.full(width, pad_id, ID)
-                flat = np.concatenate([x[2] for x in segments])
-                assert flat.max(initial=0) < 1 << 16, "ids of this vocabulary need more than two bytes"
-                ids[: len(flat)] = flat
+                np.concatenate([x[2] for x in segments], out=ids[: sum(lengths)], casting="unsafe")
                 positions = np.zeros(width, ID)
-                positions[: len(flat)] = np.concatenate([np.arange(n) for n in lengths])
-                yield number, len(flat), [x[0].as_py() for x in segments], [x[1] for x in segments], [0, *np.cumsum(lengths).tolist()], ids.tobytes(), positions.tobytes()
+                positions[: sum(lengths)] = np.concatenate([np.arange(n) for n in lengths])
+                yield number, sum(lengths), [x[0] for x in segments], [x[1] for x in segments], [0, *np.cumsum(lengths).tolist()], ids.tobytes(), positions.tobytes()
                 number += 1
 
-        def batch_of(rows: list[tuple]):
-            c = list(zip(*rows))
-            longs = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(kind)), pa.array(c[3], longs), pa.array(c[4], longs), pa.array(c[5], pa.binary()), pa.array(c[6], pa.binary())], names=schema.names)
-
-        def full(rows: Iterator[tuple]):
-            some: list[tuple] = []
-            for row in rows:
-                some.append(row)
-                if len(some) == 1000:
-                    yield batch_of(some)
-                    some = []
-            if some:
-                yield batch_of(some)
-
         for batch in batches:
-            kind = batch.column(0).type
+            docs = batch.column(0).to_pylist()
             for r, ids in rows_of_ids(batch.column(1), tokenizer, end_id):
+                if len(ids) and int(ids.max()) >> 16:
+                    raise ValueError("ids of this vocabulary need more than two bytes")
                 for a in range(0, len(ids), width):
-                    waiting.append((batch.column(0)[r], a, ids[a : a + width].copy()))
+                    waiting.append((docs[r], a, ids[a : a + width].astype(ID)))
                     held += len(waiting[-1][2])
                 if len(waiting) >= block or held >= block_ids:
-                    yield from full(rows_of(waiting))
+                    yield from close()
                     waiting, held = [], 0
-        if waiting:
-            yield from full(rows_of(waiting))
+        yield from close()
+
+    return rows_of
+
+
+#: Columns of a packed row.
+ROW = ("row_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "positions")
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, T.ArrayType]:
+    src = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    return src, src.schema[0].dataType.simpleString(), to_arrow_type(T.ArrayType(src.schema[0].dataType))
 
-    return src.mapInArrow(run, schema)
 
+def _few(rows: Iterator[tuple], n: int) -> Iterator[list[tuple]]:
+    some: list[tuple] = []
+    for row in rows:
+        some.append(row)
+        if len(some) == n:
+            yield some
+            some = []
+    if some:
+        yield some
 
-def write_matrices(packed: DataFrame, path: str, rows: int = 128) -> None:
-    """Parquet files at ``path``: one record per matrix of up to ``rows`` rows, made from neighbouring row numbers.
 
-    matrix_id, n_rows, ids and positions (binary, row-major uint16), cu_seqlens (binary, int32: each row's, one after
-    another) and cu_offsets (where each row's begin);
-    row_ids, n_tokens, doc_ids and starts of its rows.
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, pad_id: int = 0, width: int = WIDTH, block: int = 8192, block_ids: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per packed row: row_id, n_tokens, doc_ids and starts (of its segments), cu_seqlens, ids and positions (binary, uint16, ``width`` each)."""
+    src, kind, ids_type = _source(docs, id_col, text_col)
+    packed = _packed(kind, tokenizer, end_id, pad_id, width, block, block_ids)
+    longs = pa.list_(pa.int64())
+    types = (pa.int64(), pa.int64(), ids_type, longs, longs, pa.binary(), pa.binary())
+
+    def run(batches):
+        for some in _few(packed(batches), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), types)], names=list(ROW))
+
+    return src.mapInArrow(run, f"row_id long, n_tokens long, doc_ids array<{kind}>, starts array<bigint>, cu_seqlens array<bigint>, ids binary, positions binary")
+
+
+def write_matrices(docs: DataFrame, path: str, *, tokenizer: str, rows: int = 128, end_id: int = 1, pad_id: int = 0, width: int = WIDTH, block: int = 8192, block_ids: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The rows of pack(), as Parquet files at ``path``: one record per matrix of up to ``rows`` neighbouring rows.
+
+    matrix_id, n_rows, ids and positions (binary, row-major uint16), cu_seqlens (each row's, one after another) and
+    cu_offsets (where each row's begin); row_ids, n_tokens, doc_ids and starts of its rows. Packing and writing are one pass
+    of one Python worker a task, which holds a block of pieces and a matrix.
     """
+    src, kind, ids_type = _source(docs, id_col, text_col)
+    packed = _packed(kind, tokenizer, end_id, pad_id, width, block, block_ids)
+    longs = pa.list_(pa.int64())
+    types = {"matrix_id": pa.int64(), "n_rows": pa.int64(), "ids": pa.binary(), "positions": pa.binary(), "cu_seqlens": longs, "cu_offsets": longs, "row_ids": longs, "n_tokens": longs, "doc_ids": pa.list_(ids_type), "starts": pa.list_(longs)}
+
     def run(batches):
-        base, k, held = TaskContext.get().partitionId() << 32, 0, []
-        def record(some):
-            cu = [np.array(x[2], "<i4") for x in some]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in cu])]).astype(np.int64)
-            told = [pa.array([[x[i] for x in some]], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(ids)), pa.list_(pa.list_(pa.int64()))), 3)]
-            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([len(some)], pa.int64()), pa.array([b"".join(x[0] for x in some)], pa.binary()), pa.array([b"".join(x[1] for x in some)], pa.binary()), pa.array([np.concatenate(cu).tobytes()], pa.binary()), pa.array([offsets.tolist()], pa.list_(pa.int64())), *told], names=["matrix_id", "n_rows", "ids", "positions", "cu_seqlens", "cu_offsets", "row_ids", "n_tokens", "doc_ids", "starts"])
+        base = TaskContext.get().partitionId() << 32
+        for k, some in enumerate(_few(packed(batches), rows)):
+            number, size, of, starts, cu, ids, positions = zip(*some)
+            ends = [0, *np.cumsum([len(x) for x in cu]).tolist()]
+            record = (base + k, len(some), b"".join(ids), b"".join(positions), [x for own in cu for x in own], ends, list(number), list(size), list(of), list(starts))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(record, types.values())], names=list(types))
 
-        for batch in batches:
-            ids = batch.column(5).type.value_type
-            a = 0
-            while a < batch.num_rows:  # a matrix at a time: a batch may be many
-                some = batch.slice(a, rows - len(held))
-                held += list(zip(*[some.column(i).to_pylist() for i in range(7)]))
-                a += some.num_rows
-                if len(held) == rows:
-                    yield record(held)
-                    held, k = [], k + 1
-        if held:
-            yield record(held)
-
-    kind = packed.schema["doc_ids"].dataType.simpleString()
-    schema = f"matrix_id long, n_rows long, ids binary, positions binary, cu_seqlens binary, cu_offsets array<bigint>, row_ids array<bigint>, n_tokens array<bigint>, doc_ids array<{kind}>, starts array<array<bigint>>"
-    spark, size = packed.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(size)
-    spark.conf.set(size, str(rows))  # rows are of 8 KB and more
-    try:
-        packed.select("ids", "positions", "cu_seqlens", "row_id", "n_tokens", "doc_ids", "starts").mapInArrow(run, schema).write.option("parquet.block.size", 16 << 20).parquet(path)
-    finally:
-        spark.conf.set(size, before)
+    schema = f"matrix_id long, n_rows long, ids binary, positions binary, cu_seqlens array<bigint>, cu_offsets array<bigint>, row_ids array<bigint>, n_tokens array<bigint>, doc_ids array<array<{kind}>>, starts array<array<bigint>>"
+    src.mapInArrow(run, schema).write.option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
     """The rows of written matrices, as pack() gives them."""
     size = "cast(length(ids) / n_rows as int)"
-    byte = [f"substr(hex(cu), 8 * i + {k}, 2)" for k in (7, 5, 3, 1)]
     # rows are cut inside the matrix, so that it is not copied for each of them
     cut = F.expr(f"""transform(sequence(0, cast(n_rows - 1 as int)), j -> struct(row_ids[j] as row_id, n_tokens[j] as n_tokens, doc_ids[j] as doc_ids, starts[j] as starts,
-        substring(cu_seqlens, cast(4 * cu_offsets[j] + 1 as int), cast(4 * (cu_offsets[j + 1] - cu_offsets[j]) as int)) as cu,
+        slice(cu_seqlens, cast(cu_offsets[j] + 1 as int), cast(cu_offsets[j + 1] - cu_offsets[j] as int)) as cu_seqlens,
         substring(ids, j * {size} + 1, {size}) as ids, substring(positions, j * {size} + 1, {size}) as positions))""")
-    row = spark.read.parquet(path).select(F.explode(cut).alias("r")).select("r.*")
-    cu = F.expr(f"transform(sequence(0, cast(length(cu) / 4 - 1 as int)), i -> cast(conv(concat({', '.join(byte)}), 16, 10) as bigint))")
-    return row.select("row_id", "n_tokens", "doc_ids", "starts", cu.alias("cu_seqlens"), "ids", "positions")
+    return spark.read.parquet(path).select(F.explode(cut).alias("r")).select(*[f"r.{c}" for c in ROW])
 
 
 def digest(packed: DataFrame) -> DataFrame:

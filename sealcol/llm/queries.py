@@ -65,7 +65,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-matrices-{uuid.uuid4().hex}"
-    binpack.write_matrices(binpack.pack(table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json")), path)
+    binpack.write_matrices(table(spark, sf_dir, "documents"), path, tokenizer=vocabulary("word_bpe_49k.json"))
     return binpack.digest(binpack.read_matrices(spark, path))
 
 

@@ -3,7 +3,8 @@
 The tokenizer's own rules: normalise (NFC, lower case, white space dropped), cut into pre-tokens (contractions, runs of
 letters, single digits, runs of other signs), then merge inside each pre-token. Merging depends on the pre-token alone, so
 it is done once per distinct pre-token by the tokenizer itself, and texts are put together from those ids with numpy.
-A text with a character outside Latin (or one whose lower case is two characters) is given to the tokenizer whole.
+A text with a character outside Latin (or one whose lower case is two characters), or with the content of one of the
+vocabulary's added tokens, is given to the tokenizer whole. A pre-token is known by a 64-bit hash of its characters.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
         self.forget()
 
@@ -94,6 +95,10 @@ class Encoder:
         slow = np.zeros(n_rows, bool)
         if odd.any():
             slow[np.searchsorted(offs, np.flatnonzero(odd), "right") - 1] = True
+        lowered = text.lower()
+        if any(x in lowered for x in self.added):
+            slow |= [any(x in text[a:b].lower() for x in self.added) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        if slow.any():
             kind[np.repeat(slow, np.diff(offs))] = SPACE
         n = len(cp)
         first = np.zeros(n + 1, bool)

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from sealcol.llm import binpack, langid, licenses, packing, quality, substring
 from sealcol.llm.ngram_join import depth_for, links_within
@@ -51,10 +52,11 @@ def test_encoder_is_the_tokenizer():
     enc = Encoder(vocabulary("word_bpe_49k.json"), keep=50)
     rng = random.Random(4)
     letters = [chr(c) for c in range(0x250)] + list(" '''sstremvld  abc12") * 20
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["it's 'tis we'll don't''s x'very", "", "日本 abc", "İstanbul", "<|endoftext|> a"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["it's 'tis we'll don't''s x'very", "", "日本 abc", "İstanbul", "<|endoftext|> a", "b<|STARTOFTEXT|> c <|startoftext|>"]
     raw, offs = buffers(pa.array(texts))
     ids, ptr = enc.chunk(raw, offs)
-    assert [ids[a:b].tolist() for a, b in zip(ptr[:-1], ptr[1:])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    assert [ids[a:b].tolist() for a, b in zip(ptr[:-1], ptr[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_segmentation_sums_match_recursion():

@@ -212,7 +212,7 @@ def test_token_id_output(spark, docs, empty, tmp_path):
         if i is not None:
             want = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
             assert np.concatenate([by_doc[i][s] for s in sorted(by_doc[i])]).tolist() == want
-    binpack.write_matrices(packed, str(tmp_path / "m"), rows=4)
+    binpack.write_matrices(docs.filter("doc_id is not null"), str(tmp_path / "m"), tokenizer=TOKENIZER, rows=4)
     matrices = spark.read.parquet(str(tmp_path / "m")).collect()
     assert sum(r["n_rows"] for r in matrices) == len(got)
     assert sorted(r["ids"][k * 4096 : (k + 1) * 4096] for r in matrices for k in range(r["n_rows"])) == sorted(r["ids"] for r in got)
@@ -230,9 +230,9 @@ def test_token_id_output_is_read_back_from_matrices(spark, docs, empty, tmp_path
     parts = [sorted((str(d), s, b - a) for r in x.collect() for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:])) for x in (got, packed)]
     assert parts[0] == parts[1]
     for n, size in (("all", 128), ("few", 3)):
-        binpack.write_matrices(packed, str(tmp_path / n), rows=size)
+        binpack.write_matrices(docs, str(tmp_path / n), tokenizer=TOKENIZER, rows=size)
         assert sorted(map(str, rows(binpack.digest(binpack.read_matrices(spark, str(tmp_path / n)))))) == want
-    binpack.write_matrices(binpack.pack(empty, tokenizer=TOKENIZER), str(tmp_path / "empty"))
+    binpack.write_matrices(empty, str(tmp_path / "empty"), tokenizer=TOKENIZER)
     assert rows(binpack.read_matrices(spark, str(tmp_path / "empty"))) == []
 
 
