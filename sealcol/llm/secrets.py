@@ -6,8 +6,9 @@ log-likelihood ratio, random over ordinary, is above ``per_char`` a character an
 reported; a model's span that overlaps one of them is not reported again.
 
 DataFrame expressions only: places come from the lengths of what regexp_extract_all() finds and what split() leaves between.
-Patterns run twice on texts that match, once on others. Counts that reach the driver are those of the models' character
-pairs, at most ALPHABET squared for each label.
+Patterns run twice on texts that match (three times where a group is asked for), once on others. Work and memory are in
+proportion to a text's length and to the number of its matches, also for one run of megabytes and for many matches. Counts that reach the
+driver are those of the models' character pairs, at most ALPHABET squared for each label.
 
 Defined cases: null and empty texts have no spans; rows are independent; extra columns are not looked at; of equal starts,
 kinds come in the order of KINDS. Starts and ends count code points, ends are exclusive.
@@ -85,30 +86,75 @@ def train(labelled: DataFrame) -> list[int]:
     return [round(1000 * (math.log(n[1][k] / rows[1][k // SYMBOLS]) - math.log(n[0][k] / rows[0][k // SYMBOLS]))) for k in range(SYMBOLS**2)]
 
 
-def _found(text: str, pattern: str, group: int, least: int, kind: int) -> Column:
-    """The matches of a pattern in a column: array of (start, kind, stop, s), those whose group is too short left out."""
+#: Stands for a character of a fixed pattern's match where candidates are looked for.
+MASK = "\x01"
+
+
+def _let(value: str, name: str, f: str) -> str:
+    """SQL of f with a value bound to a name, so that it is computed once."""
+    return f"get(transform(array({value}), {name} -> {f}), 0)"
+
+
+def _starts(sizes: str, block: int = 64) -> str:
+    """SQL: where each piece begins, given the sizes of pieces that follow one another. Sums are carried inside blocks and over
+    them, so that the copying which arrays need is at most a block long for each piece."""
+
+    def running(items: str, size: str, start: str, x: str) -> str:
+        return f"""aggregate({items}, named_struct('pos', {start}, 'out', cast(array() as array<int>)),
+            (acc, {x}) -> named_struct('pos', acc.pos + {size}, 'out', concat(acc.out, array(acc.pos))), acc -> acc.out)"""
+
+    blocks = f"transform(sequence(0, cast((size({sizes}) - 1) div {block} as int)), i -> slice({sizes}, i * {block} + 1, {block}))"
+    total = "aggregate(b, 0, (n, x) -> n + x)"
+    return _let(blocks, "bs", f"flatten(zip_with(bs, {running('bs', total, '0', 'b')}, (b, first) -> {running('b', 'n', 'first', 'n')}))")
+
+
+SPANS = "array<struct<start:int,kind:int,stop:int,s:string>>"
+
+
+def _found(text: str, pattern: str, group: int, least: int, kind: int, masked: bool = False) -> str:
+    """SQL: the matches of a pattern as an array of (start, kind, stop, s), those whose group is too short left out. masked: in a
+    struct of ``spans`` and ``text``, the text with the characters of each of them replaced by MASK."""
     p = "r'" + pattern.replace("'", "\\x27") + "'"
-    part = f"regexp_extract_all({text}, {p}, {group})"
-    fold = f"""aggregate(
-        arrays_zip(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), {part}),
-        named_struct('pos', 0, 'out', cast(array() as array<struct<start:int,kind:int,stop:int,s:string>>)),
-        (acc, x) -> named_struct('pos', acc.pos + length(x.`0`) + length(x.`1`), 'out',
-            if(length(x.`2`) >= {least}, concat(acc.out, array(named_struct('start', acc.pos + length(x.`0`), 'kind', {kind}, 'stop', acc.pos + length(x.`0`) + length(x.`1`), 's', x.`1`))), acc.out)),
-        acc -> acc.out)"""
-    return F.expr(f"if({text} rlike {p}, {fold}, cast(array() as array<struct<start:int,kind:int,stop:int,s:string>>))")
+    part = f"regexp_extract_all({text}, {p}, {group})" if group else "z.m"
+    pieces = _let(f"named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))", "z", f"named_struct('m', z.m, 'k', transform({part}, x -> length(x) >= {least}), 'g', transform(slice(z.g, 1, size(z.m)), x -> length(x))" + (", 'gaps', z.g" if masked else "") + ")")
+    starts = _starts("zip_with(z.g, z.m, (g, m) -> g + length(m))")
+    zipped = f"zip_with(arrays_zip({starts}, z.g), arrays_zip(z.m, z.k), (a, x) -> named_struct('start', a.`0` + a.g, 'kind', {kind}, 'stop', a.`0` + a.g + length(x.m), 's', x.m, 'k', x.k))"
+    spans = f"transform(filter({zipped}, x -> x.k), x -> named_struct('start', x.start, 'kind', x.kind, 'stop', x.stop, 's', x.s))"
+    if masked:
+        kept = "zip_with(slice(z.gaps, 1, size(z.m)), arrays_zip(z.m, z.k), (g, x) -> concat(translate(g, '\\u0001', ' '), if(x.k, repeat('\\u0001', length(x.m)), x.m)))"
+        spans = f"named_struct('spans', {spans}, 'text', concat(array_join({kept}, ''), translate(element_at(z.gaps, -1), '\\u0001', ' ')))"
+    none = f"cast(array() as {SPANS})"
+    if masked:
+        none = f"named_struct('spans', {none}, 'text', cast(null as string))"
+    return f"if({text} rlike {p}, {_let(pieces, 'z', spans)}, {none})"
 
 
 def scan(docs: DataFrame, ratio: list[int], *, id_col: str = "doc_id", text_col: str = "text", least: int = 20, per_char: float = 0.35, total: float = 12.0) -> DataFrame:
     """One row per document: id, spans: array of (start, kind number, stop, s); kind len(KINDS) is the models'."""
     src = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    candidate = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}+"
-    found = src.select("id", F.concat(*[_found("text", pattern, group, n, k) for k, (_, pattern, group, n) in enumerate(KINDS)]).alias("base"), _found("text", candidate, 0, least, len(KINDS)).alias("more"))
+    run = "A-Za-z0-9+/_=-"
+    candidate = rf"(?<![{run}])[{run}]{{{least},}}+"
+    beside = rf"(?<![\x01{run}])[{run}]{{{least},}}+(?!\x01)"
+    for k, (_, pattern, group, n) in enumerate(KINDS):
+        src = src.withColumn(f"k{k}", F.expr(_found("text", pattern, group, n, k, masked=True)))
+    # a candidate is clear of the fixed patterns when it is found in the text with each kind's matches masked
+    told = src.select("id", "text", *[F.col(f"k{k}.spans").alias(f"b{k}") for k in range(len(KINDS))], *[F.col(f"k{k}.text").alias(f"t{k}") for k in range(len(KINDS))])
+    clear = _found("text", candidate, 0, least, len(KINDS))
+    word = "transform({}, x -> concat_ws(':', x.start, x.stop, x.s))"
+    parts = [f"if(t{k} is null, {word.format('more')}, {word.format(_found(f't{k}', beside, 0, least, len(KINDS)))})" for k in range(len(KINDS))]
+    common = parts[0]
+    for x in parts[1:]:
+        common = f"array_intersect({common}, {x})"
+    again = f"transform(transform({common}, x -> split(x, ':')), x -> named_struct('start', cast(x[0] as int), 'kind', {len(KINDS)}, 'stop', cast(x[1] as int), 's', x[2]))"
+    some = " or ".join(f"t{k} is not null" for k in range(len(KINDS)))
+    told = told.withColumn("more", F.expr(clear)).withColumn("more", F.expr(f"if(size(more) > 0 and ({some}), {again}, more)"))
     table = "cast(split('" + ",".join(map(str, ratio)) + "', ',') as array<int>)"
-    llr = f"""aggregate(sequence(1, length(x.s) - 1), 0L, (acc, i) -> acc + element_at({table},
-        instr('{ALPHABET}', substring(x.s, i, 1)) * {SYMBOLS} + instr('{ALPHABET}', substring(x.s, i + 1, 1)) + 1))"""
-    clear = "not exists(base, y -> y.start < x.stop and x.start < y.stop)"
-    random = F.expr(f"filter(more, x -> {clear} and {llr} >= greatest({1000 * total}, {1000 * per_char} * (length(x.s) - 1)))")
-    return found.select(F.col("id").alias(id_col), F.array_sort(F.concat("base", random)).alias("spans"))
+    codes = "cast(split('" + ",".join(str(ALPHABET.find(chr(c)) + 1 if chr(c) in ALPHABET else 0) for c in range(128)) + "', ',') as array<int>)"
+    # a candidate is ASCII: its characters are bytes, and a byte of a binary is found at once
+    code = [f"element_at({codes}, ascii(cast(substring(b, i + {k}, 1) as string)) + 1)" for k in (0, 1)]
+    llr = _let("cast(x.s as binary)", "b", f"aggregate(sequence(1, octet_length(b) - 1), 0L, (acc, i) -> acc + element_at({table}, {code[0]} * {SYMBOLS} + {code[1]} + 1))")
+    random = F.expr(f"filter(more, x -> {llr} >= greatest({1000 * total}, {1000 * per_char} * (length(x.s) - 1)))")
+    return told.select(F.col("id").alias(id_col), F.array_sort(F.concat(*[f"b{k}" for k in range(len(KINDS))], random)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -271,6 +272,35 @@ def test_secret_scan(spark, empty):
     assert "Python" not in plan.replace("PythonRDD", "").replace("pythonToJava", "") and "Arrow" not in plan
 
 
+def brute_random(text, ratio):
+    base, out = brute_secrets(text), []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text or ""):
+        codes = [secrets.ALPHABET.find(c) + 1 for c in m[0]]
+        total = sum(ratio[a * secrets.SYMBOLS + b] for a, b in zip(codes, codes[1:]))
+        if total >= max(12_000, 350 * (len(codes) - 1)) and not any(s < m.end() and m.start() < e for s, _, e in base):
+            out.append((m.start(), 3, m.end()))
+    return sorted(base + out)
+
+
+def test_secret_scan_with_models_matches_brute_force(spark):
+    ratio, rng = secrets.train(secrets.samples(spark, 4000)), __import__("random").Random(5)
+    noise = [lambda: "".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randint(18, 50))), lambda: "the_request_handler_factory", lambda: "%x" % rng.getrandbits(128), lambda: "AKIA" + "Q7" * 9, lambda: 'token="' + "aB9" * rng.randint(1, 9) + '"', lambda: "é日\x01", lambda: "plain words", lambda: "\x01" + "".join(rng.choice(secrets.ALPHABET) for _ in range(30)) + "\x01", lambda: "password=x.Kq2mZpR4vTn9WcYb3LdHs7Pf+K9/z"]
+    texts = [(i, rng.choice(["", " ", "/"]).join(rng.choice(noise)() for _ in range(rng.randint(1, 12)))) for i in range(200)]
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["stop"]) for x in r["spans"]] for r in secrets.scan(frame(spark, texts), ratio).collect()}
+    want = {i: brute_random(t, ratio) for i, t in texts}
+    assert got == want and sum(k == 3 for own in want.values() for _, k, _ in own) > 50
+
+
+def test_secret_scan_takes_time_in_proportion(spark):
+    ratio, rng = secrets.train(secrets.samples(spark, 2000)), __import__("random").Random(6)
+    run = "".join(rng.choices(secrets.ALPHABET, k=1_000_000))
+    many = "token=aaaaaaa " * 50_000 + (run[:24] + " ") * 20_000
+    for text, n in ((run, 1), (many, 70_000)):
+        began = time.perf_counter()
+        assert [len(r["spans"]) for r in secrets.scan(frame(spark, [(1, text)]), ratio).collect()] == [n]
+        assert time.perf_counter() - began < 30
+
+
 def test_markov_models_part_held_out_samples(spark):
     ratio = secrets.train(secrets.samples(spark, 4000))
     held = secrets.samples(spark, 5000).filter("length(s) >= 20").withColumn("doc_id", F.monotonically_increasing_id()).withColumnRenamed("s", "text")
@@ -279,6 +309,26 @@ def test_markov_models_part_held_out_samples(spark):
     assert share[1] > 0.95 and share[0] < 0.02
 
 
+def test_markov_models_on_strings_of_another_source(spark):
+    """Identifiers are names of the Python library and of Spark's functions, random strings are Python's own."""
+    import base64
+    import importlib
+    import random
+
+    names = set()
+    for module in ("unittest", "logging", "socket", "ssl", "email.message", "http.client", "xml.dom.minidom", "multiprocessing", "asyncio", "pyspark.sql.functions", "os", "signal", "tokenize", "inspect", "urllib.request"):
+        m = importlib.import_module(module)
+        for n in dir(m):
+            names |= {n, *(f"{n}_{x}" for x in dir(getattr(m, n)) if not x.startswith("_"))}
+    names = sorted(n for n in names if len(n) >= 20 and re.fullmatch("[A-Za-z0-9_-]+", n))
+    rng = random.Random(9)
+    noise = [base64.b64encode(rng.randbytes(rng.randint(15, 40))).decode() for _ in range(500)] + [rng.randbytes(rng.randint(15, 32)).hex().upper() for _ in range(200)]
+    found = secrets.scan(frame(spark, list(enumerate(names + noise))), secrets.train(secrets.samples(spark)))
+    hit = {r["doc_id"] for r in found.filter("size(spans) > 0").select("doc_id").collect()}
+    assert len(names) > 1000 and sum(i < len(names) for i in hit) < 0.03 * len(names)
+    assert sum(i >= len(names) for i in hit) > 0.93 * len(noise)
+
+
 @pytest.fixture(scope="module")
 def multilingual(spark):
     stems = {"aa": ("ka", "lo", "mi"), "bb": ("ren", "tus", "ve"), "cc": ("é", "dor", "ñu")}
