@@ -177,12 +177,12 @@ def write_matrices(docs: DataFrame, path: str, *, tokenizer: str, rows: int = 12
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
     """The rows of written matrices, as pack() gives them."""
-    size = "cast(length(ids) / n_rows as int)"
-    # rows are cut inside the matrix, so that it is not copied for each of them
-    cut = F.expr(f"""transform(sequence(0, cast(n_rows - 1 as int)), j -> struct(row_ids[j] as row_id, n_tokens[j] as n_tokens, doc_ids[j] as doc_ids, starts[j] as starts,
-        slice(cu_seqlens, cast(cu_offsets[j] + 1 as int), cast(cu_offsets[j + 1] - cu_offsets[j] as int)) as cu_seqlens,
-        substring(ids, j * {size} + 1, {size}) as ids, substring(positions, j * {size} + 1, {size}) as positions))""")
-    return spark.read.parquet(path).select(F.explode(cut).alias("r")).select(*[f"r.{c}" for c in ROW])
+    # bound once: a reference to a scanned column copies the whole matrix each time it is looked at
+    bound = "named_struct('n', cast(n_rows as int), 'ids', ids, 'positions', positions, 'width', cast(length(ids) / n_rows as int), 'row_ids', row_ids, 'n_tokens', n_tokens, 'doc_ids', doc_ids, 'starts', starts, 'cu', cu_seqlens, 'offsets', cu_offsets)"
+    cut = f"""get(transform(array({bound}), m -> transform(sequence(0, m.n - 1), j -> struct(m.row_ids[j] as row_id, m.n_tokens[j] as n_tokens, m.doc_ids[j] as doc_ids, m.starts[j] as starts,
+        slice(m.cu, cast(m.offsets[j] + 1 as int), cast(m.offsets[j + 1] - m.offsets[j] as int)) as cu_seqlens,
+        substring(m.ids, j * m.width + 1, m.width) as ids, substring(m.positions, j * m.width + 1, m.width) as positions))), 0)"""
+    return spark.read.parquet(path).select(F.explode(F.expr(cut)).alias("r")).select(*[f"r.{c}" for c in ROW])
 
 
 def digest(packed: DataFrame) -> DataFrame:
