@@ -83,8 +83,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
-    wide = pa.types.is_large_string(texts.type)
-    if not wide and not pa.types.is_string(texts.type):
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    if not wide and not pa.types.is_string(texts.type) and not pa.types.is_binary(texts.type):
         texts, wide = texts.cast(pa.large_string()), True
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -421,3 +421,34 @@ def test_markov_models_leave_identifiers_of_unseen_words(spark):
         texts.append((i, ["_".join(p), p[0] + "".join(x.capitalize() for x in p[1:]), "_".join(p[:3]).upper(), "".join(p), "-".join(p[:3])][i % 5]))
     found = secrets.scan(frame(spark, texts), secrets.train(secrets.samples(spark)))
     assert found.filter("size(spans) > 0").count() < 0.02 * len(texts)
+
+
+def test_substring_dedup_past_quotes_of_many_lengths(spark):
+    """Pairs that share 50 words exactly, whatever other texts quote of them: nothing is lost, none of the quotes is a passage."""
+    texts, pairs = [], []
+    for p in range(20):
+        passage = prose(6000 + p, 50).split()
+        for side in (0, 1):
+            texts.append((100 * p + side, " ".join([prose(6100 + 2 * p + side, 30), *passage, prose(6200 + 2 * p + side, 30)])))
+        pairs.append((100 * p, 100 * p + 1))
+        for q in range(14):
+            n = (30, 40, 45, 49)[q % 4]
+            at = (q * 7) % (51 - n)
+            texts.append((100 * p + 10 + q, " ".join(["q%dx%d" % (p, q), prose(7000 + 20 * p + q, 30), *passage[at : at + n], prose(8000 + 20 * p + q, 30)])))
+    found = {(r[0], r[3]) for r in rows(substring.passages(frame(spark, texts), identity=1.0))}
+    assert all(x in found and x[::-1] in found for x in pairs)
+    assert {i for i, _ in found} == {i for x in pairs for i in x}
+
+
+def test_substring_dedup_links_a_passage_of_many_holders(spark, monkeypatch):
+    """A passage in 300 texts: all hold it, in rows in proportion to them, also where its seeds are cut into parts."""
+    passage = prose(9000, 70)
+    texts = [(i, " ".join([prose(9100 + i, 40), passage, prose(9500 + i, 20)])) for i in range(300)]
+    got = rows(substring.passages(frame(spark, texts)))
+    assert {r[0] for r in got if r[1] <= 42 and r[2] >= 108} == set(range(300)) and len(got) < 300 * 12
+    root = list(range(300))
+    for _ in range(60):
+        for r in got:
+            low = min(root[r[0]], root[r[3]])
+            root[r[0]] = root[r[3]] = low
+    assert set(root) == {0}
