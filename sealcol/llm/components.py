@@ -1,4 +1,8 @@
-"""Connected components of an edge list, by alternating large and small stars, a written table after each round."""
+"""Connected components of an edge list, by alternating large and small stars, a written table after each round.
+
+Nodes are of any ordered type; edges with a null end and edges of a node with itself are left out, repeated edges count once,
+and no edges give no rows. The hub of a star is one key of a join of two plain exchanges, which adaptive execution splits.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     flipped = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = flipped if small else edges.union(flipped)  # small: a is the greater end
     least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = around.join(least, "a")
+    joined = around.join(least.repartition("a").hint("merge"), "a")
     out = joined.filter(F.col("b") != F.col("m")) if small else joined.filter(F.col("b") > F.col("a"))
     out = out.select(F.col("m").alias("a"), "b")
     if small:

@@ -4,24 +4,30 @@ Texts are compared as sets of five-word shingles (a text of fewer words, but not
 similarity of at least ``threshold`` between two different sets. Steps, none of which sees more than one row per set:
 
 1. Rows of the same shingle set fall into one class; only classes go on, so a hot group of copies is one row.
-2. Each class has a label in each of ``trees`` prefix trees: ``deepest`` MinHash values one after another. Labels meet by
-   sorted prefix; the prefix is shortened until pairs at the threshold meet in some tree with probability ``recall``.
+2. Each class has a label in each of ``trees`` prefix trees (a forest): ``deepest`` MinHash values one after another. Labels
+   meet by sorted prefix. Matching begins with whole labels, and the prefix is shortened by one value at a time, in all trees
+   at once, until the measured recall is at least ``recall``: a candidate pair whose labels agree in a share a of their values
+   had the chance 1 - (1 - a**depth)**trees to be met, so it stands for 1 / chance pairs, and one more pair just at the threshold
+   is added for what no pair tells of. It is never shortened beyond the depth at which pairs just at the threshold meet with that probability.
 3. A run of a few classes under one prefix gives its pairs, each in the first tree where it meets, and only if the labels'
    agreement doesn't rule the similarity out. A run of more gives each member one edge to its least member.
 4. Candidate edges make families. Each class's text is sent once to its family, and all pairs of a family are verified on
-   exact sets there; a family of over ``block`` classes is cut into blocks and verified block against block. What leaves is
-   one row per class and block pair - its links and a root - never the pairs themselves.
+   exact sets there, in integers; a family of over ``block`` classes is cut into blocks and verified block against block, since
+   the number of each class's links is part of the result. What leaves is one row per class and block pair - its links and a
+   root - never the pairs themselves.
 5. Verified links make the groups.
 
-Defined cases: null and empty texts have no shingle, no links, and are one class; ids may be null or repeated (a group's id
-is its smallest id; ``keep_one`` takes null last, and of rows equal in id and set any one); an empty table has no rows.
-Other columns are carried by ``keep_one`` and not looked at.
+Defined cases: null and empty texts have no shingle, no links, and are one class; very long texts are cut nowhere (their
+families get more blocks); ids may be null or repeated (a group's id is its smallest id; ``keep_one`` takes null last, and of
+rows equal in id and set any one); an empty table has no rows. Other columns are carried by ``keep_one`` and not looked at.
+A 128-bit hash of its shingles identifies a set; sets are compared by 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +42,29 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Classes under one prefix up to which pairs are told one by one.
 FEW = 16
+#: Keys of sets that a task remembers to have told.
+TOLD = 100_000
 BLOCK = 512
 #: Shingles of a block on average: families of very long texts get more blocks.
 BLOCK_SHINGLES = 1_000_000
 
 
+def met(similarity: float, depth: int, trees: int) -> float:
+    """The chance that two labels share a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def depth_for(threshold: float, recall: float, trees: int, deepest: int) -> int:
     """The longest prefix at which pairs at the threshold still meet in some tree with the given probability."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+    return next((d for d in range(deepest, 1, -1) if met(threshold, d, trees) >= recall), 1)
+
+
+def measured_recall(agreeing: dict[int, int], depth: int, threshold: float, trees: int, deepest: int) -> float:
+    """Of the pairs at or above the threshold the share that is met, from how many met pairs agree in how many values."""
+    alike = {n / (trees * deepest): pairs for n, pairs in agreeing.items() if n >= threshold * trees * deepest}
+    missed = sum(pairs * (1 / met(a, depth, trees) - 1) for a, pairs in alike.items()) + 1 / met(threshold, depth, trees) - 1
+    n = sum(alike.values())
+    return n / (n + missed)
 
 
 def shingle_sets(w: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -99,27 +117,48 @@ def _ledger(docs: DataFrame, id_col: str, text_col: str, trees: int, deepest: in
 
 
 def _pairs(few: DataFrame, trees: int, deepest: int, depth: int, least: float) -> DataFrame:
-    """Pairs of each small run of (tree, prefix): in the first tree where they meet, unless their labels rule them out."""
+    """Pairs of each small run of (tree, prefix), and in how many values their labels agree: in the first tree where they meet, unless their labels rule them out."""
 
     def run(batches):
         held: tuple = (None, [], [])
         for batch in batches:
-            a, b = [], []
+            a, b, agree = [], [], []
             for tree, prefix, key, label in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 if (tree, prefix) != held[0]:
                     held = ((tree, prefix), [], [])
                 v = np.frombuffer(label, np.uint16).reshape(trees, deepest)
                 for other, u in zip(held[1], held[2]):
                     same = u == v
-                    if same.mean() >= least and not same[:tree, :depth].all(axis=1).any():
+                    n = int(same.sum())
+                    if n >= least * same.size and not same[:tree, :depth].all(axis=1).any():
                         a.append(min(key, other))
                         b.append(max(key, other))
+                        agree.append(n)
                 held[1].append(key)
                 held[2].append(v)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(agree, pa.int32())], names=["a", "b", "agree"])
 
-    return few.select("tree", "prefix", "key", "label").repartition("tree", "prefix").sortWithinPartitions("tree", "prefix").mapInArrow(run, "a binary, b binary")
+    return few.select("tree", "prefix", "key", "label").repartition("tree", "prefix").sortWithinPartitions("tree", "prefix").mapInArrow(run, "a binary, b binary, agree int")
+
+
+def _forest(classes: DataFrame, threshold: float, recall: float, trees: int, deepest: int) -> DataFrame:
+    """Candidate edges (a, b) of the classes, at the longest prefix that has the recall."""
+    labels = classes.filter(F.col("n") > 0).select("key", "label")
+    slack = 5.5 * math.sqrt(threshold * (1 - threshold) / (trees * deepest))
+    for depth in range(deepest, depth_for(threshold, recall, trees, deepest) - 1, -1):
+        tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("label"), t * 2 * deepest + 1, F.lit(2 * depth)))).alias("tree", "prefix")
+        placed = labels.select("key", tree)
+        runs = placed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("least")).filter("m > 1")
+        # an exchange of its own: both sides of the join are plain ones, and a run that many share can be split
+        shared = materialise(placed.join(runs.repartition("tree", "prefix").hint("merge"), ["tree", "prefix"]), "forest-runs")
+        few = shared.filter(F.col("m") <= FEW).join(labels.hint("merge"), "key")
+        pairs = materialise(_pairs(few, trees, deepest, depth, threshold - slack), "forest-pairs")
+        agreeing = {r["agree"]: r["count"] for r in pairs.groupBy("agree").count().collect()}  # at most one row a value of the labels
+        if measured_recall(agreeing, depth, threshold, trees, deepest) >= recall:
+            break
+    stars = shared.filter((F.col("m") > FEW) & (F.col("key") != F.col("least"))).select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    return pairs.select("a", "b").union(stars)
 
 
 def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -137,15 +176,15 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
     code, owner = code[order], owner[order]
     place_l, place_r = np.full(n, -1), np.full(n, -1)
     place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
-    both = np.zeros((len(left), len(right)), np.float32)
+    both = np.zeros((len(left), len(right)), np.int64)
     for c in range(0, width, 2048):
         a, b = np.searchsorted(code, [c, c + 2048])
         part = np.zeros((n, min(2048, width - c)), np.float32)
         part[owner[a:b], code[a:b] - c] = 1
-        both += part[left] @ part[right].T
+        both += (part[left] @ part[right].T).astype(np.int64)  # whole numbers below 2049: exact in float32
     union = size[left][:, None] + size[right][None, :] - both
-    # a small slack keeps pairs that are exactly at the threshold; sets' sizes are exact in float32 up to 2**24
-    hit = (both >= threshold * union - 1e-6 * union) & (size[left][:, None] > 0)
+    ratio = Fraction(threshold).limit_denominator(1_000_000)
+    hit = (both * ratio.denominator >= ratio.numerator * union) & (size[left][:, None] > 0)
     same = np.array_equal(left, right)
     if same:
         np.fill_diagonal(hit, False)
@@ -213,7 +252,7 @@ def _verified(members: DataFrame, texts: DataFrame, threshold: float, block: int
 
 
 def _keyed_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """key and text of the rows; a task tells each key once."""
+    """key and text of the rows; of copies in a task few are told."""
     src = docs.select(col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -222,6 +261,8 @@ def _keyed_texts(docs: DataFrame, text_col: str) -> DataFrame:
             for a, b, raw, offs in chunks(batch.column(0)):
                 keys = [set_key(s) for s in shingle_sets(find_words(raw, offs))]
                 new = [i for i, k in enumerate(keys) if not (k in told or told.add(k))]
+                if len(told) > TOLD:
+                    told.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.binary()), batch.column(0).slice(a, b - a).take(pa.array(new, pa.int64()))], names=["key", "text"])
 
     return src.mapInArrow(run, "key binary, text string")
@@ -229,21 +270,10 @@ def _keyed_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = 0.9995, trees: int = 16, deepest: int = 8, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(ledger, classes), both written: ledger has id and key of each row; classes key, copies, links, group (a key), group_id, group_key."""
-    depth = depth_for(threshold, recall, trees, deepest)
     whole = materialise(_ledger(docs, id_col, text_col, trees, deepest), "shingle-ledger")
     classes = whole.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.max("n").alias("n"), F.max("label").alias("label"))
     classes = materialise(classes, "shingle-classes")
-    wide = 2 * deepest
-    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("label"), t * wide + 1, F.lit(2 * depth)))).alias("tree", "prefix")
-    placed = classes.filter(F.col("n") > 0).select("key", tree)
-    runs = placed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("least")).filter("m > 1")
-    met = materialise(placed.join(runs.hint("merge"), ["tree", "prefix"]), "forest-runs")
-    labels = classes.select("key", "label")
-    few = met.filter(F.col("m") <= FEW).join(labels.hint("merge"), "key")
-    slack = 5.5 * math.sqrt(threshold * (1 - threshold) / (trees * deepest))
-    edges = _pairs(few, trees, deepest, depth, threshold - slack)
-    stars = met.filter((F.col("m") > FEW) & (F.col("key") != F.col("least"))).select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    families = components(edges.union(stars))
+    families = components(_forest(classes, threshold, recall, trees, deepest))
     families = families.join(classes.select(F.col("key").alias("node"), "n"), "node")
     sizes = families.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = families.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("family"), "blocks")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sealcol.llm import binpack, langid, licenses, packing, quality, substring
-from sealcol.llm.ngram_join import depth_for, links_within
+from sealcol.llm.ngram_join import depth_for, links_within, measured_recall
 from sealcol.llm.queries import vocabulary
 from sealcol.llm.tokens import Encoder
 from sealcol.llm.vectext import buffers, chunks, find_words, windows
@@ -102,6 +102,9 @@ def test_prefix_shortens_until_recall():
     assert depth_for(0.8, 0.9995, 16, 8) == 4
     assert depth_for(0.8, 0.5, 16, 8) == 8
     assert depth_for(0.5, 0.999999, 2, 8) == 1
+    assert measured_recall({}, 8, 0.8, 16, 8) == 0
+    assert measured_recall({128: 10**6}, 8, 0.8, 16, 8) > 0.9999999
+    assert 0.94 < measured_recall({103: 10**6, 60: 10**9}, 8, 0.8, 16, 8) < 0.96
 
 
 def test_blockwise_links_are_all_links():

@@ -451,3 +451,22 @@ def test_substring_dedup_links_a_passage_of_many_holders(spark, monkeypatch):
             low = min(root[r[0]], root[r[3]])
             root[r[0]] = root[r[3]] = low
     assert set(root) == {0}
+
+
+def test_ngram_join_recall_against_all_pairs(spark):
+    """Texts edited more and more, similarities from 0.5 to 1: every link of all pairs is there, and none more."""
+    texts = [(40 * k + i, edited(prose(11000 + k, 150), 12000 + 40 * k + i, 1 + i // 4)) for k in range(12) for i in range(24)]
+    _, links, low, _ = brute_groups(texts)
+    assert sum(map(len, links.values())) > 300
+    sets, _ = brute_links(texts)
+    got = {r[0]: r[1:3] for r in rows(ngram_join.near_duplicates(frame(spark, texts)))}
+    assert got == {i: (low[s], len(links[s])) for (i, _), s in zip(texts, sets)}
+
+
+def test_components_of_a_hub_and_of_nothing(spark):
+    from sealcol.llm.components import components
+
+    edges = [(0, i) for i in range(1, 500)] + [(1000, 1001), (1001, 1002), (5, 5), (None, 3), (1000, 1001)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(500)}, 1000: 1000, 1001: 1000, 1002: 1000}
+    assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
