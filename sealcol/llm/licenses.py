@@ -1,18 +1,21 @@
 """License scan: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment.
 
 A rule is a regular expression over a text's words (lower-cased, joined by single spaces), with a label, a keyword that every
-match contains, a priority and a weight. Rules are few phrases by hand for each family of licenses, multiplied by its names
-and versions. A text is looked at only around words that are some rule's keyword, and only by those keywords' rules; no rule
-spans more than REACH words, so nothing is lost by that. Of overlapping detections one is dropped when another of no lower
-priority contains it; equal ones stay once for each label.
+match contains, a priority and a weight. There are rules of three kinds: signatures written by hand of what licenses say
+(grants, conditions, disclaimers, notices), SPDX expressions, and names of licenses with their versions. A text is looked
+at only around words that are some rule's keyword, and only by those keywords' rules; no rule goes further than REACH words
+from its keyword, with what it looks ahead at, so nothing is lost by that. Of overlapping detections one is dropped when
+another of no lower priority contains it; equal ones stay once for each label. Time is in proportion to a text's length and mentions.
 
 Base phrases are reported at every place, whatever the rules say. Defined cases: null and empty texts have no words and no
-labels, score 0; rows are independent; extra columns are not looked at.
+labels, score 0; rows are independent, so repeated rows get equal results; very long texts and texts of many mentions are
+looked at whole, one after another; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +26,7 @@ from .common import col, with_fields
 from .vectext import Words, bitmap, chunks, find_words, member, windows
 
 #: Words on either side of a keyword that a rule may reach.
-REACH = 16
+REACH = 24
 #: Phrases and labels that are always reported.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -85,9 +88,125 @@ CC_LONG = {"nc-nd": "non ?commercial no derivatives?", "nc-sa": "non ?commercial
 CC_VERSIONS = ("4 0", "3 0", "2 5", "2 0", "1 0")
 
 
+#: What licenses say: label, keyword, pattern. Fixed phrases of public license texts.
+SIGNATURES = (
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "permission", "(?:the )?above copyright notice and this permission notice(?: including the next paragraph)? shall be (?:included|reproduced) in all copies"),
+    ("mit", "merge", "to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "warranty", "the software is provided as is without warranty of any kind express or implied"),
+    ("mit-0", "attribution", "mit no attribution"),
+    ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings"),
+    ("isc", "fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims", "the author disclaims all warranties with regard to this software"),
+    ("0bsd", "zero", "(?:bsd )?zero clause(?: bsd)?(?: license)?"),
+    ("hpnd", "documentation", "permission to use copy modify and(?: or)? distribute this software and its documentation for any purpose(?: and without fee| with or without fee)? is hereby granted"),
+    ("postgresql", "agreement", "for any purpose without fee and without a written agreement is hereby granted"),
+    ("boost-1.0", "organization", "free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "endorse", "(?:neither the names? of (?:\\w+ ){1,8}nor the names of (?:its|any) contributors|the name of the author) may (?:not )?be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
+    ("bsd", "warranties", "this software is provided by (?:\\w+ ){1,8}as is and any express or implied warranties"),
+    ("bsd-3-clause-clear", "patent", "no express or implied licenses to any (?:party s|party) patent rights are granted"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "applicable", "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("apache-2.0", "conditions", "on an as is basis without warranties or conditions of any kind"),
+    ("apache-2.0", "apache", "www apache org licenses license 2 0"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl", "redistribute", "(?:this|it) (?:program )?is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "hope", "is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
+    ("gpl", "received", "you should have received a copy of the gnu general public license along with"),
+    ("gpl-2-or-later", "option", "either version 2 of the license or at your option any later version"),
+    ("gpl-3-or-later", "option", "either version 3 of the license or at your option any later version"),
+    ("gpl-2", "published", "gnu general public license version 2(?: only)? as published by the free software foundation"),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl", "copyleft", "the gnu general public license is a free copyleft license"),
+    ("gpl-exception-classpath", "classpath", "(?:gnu )?classpath exception"),
+    ("gpl-exception-linking", "exception", "as a special exception (?:\\w+ ){1,10}permission to link"),
+    ("lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl-2.1-or-later", "option", "either version 2 1 of the license or at your option any later version"),
+    ("lgpl", "derivative", "contains no derivative of any portion of the library but is designed to work with the library"),
+    ("agpl", "received", "you should have received a copy of the gnu affero general public license"),
+    ("agpl", "redistribute", "redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl", "remotely", "your modified version must prominently offer all users interacting with it remotely"),
+    ("gfdl", "document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "invariant", "with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl", "covered", "covered software is provided under this license on an as is basis"),
+    ("epl", "eclipse", "(?:this program and )?the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "distribution", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "european", "open source licence for the european union"),
+    ("artistic", "package", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", "perl", "(?:you can redistribute it and or modify it )?under the same terms as perl itself"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "compile", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "fuck", "do what the fuck you want to(?: public license)?"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "plainly", "altered source versions must be plainly marked as such"),
+    ("zlib", "arising", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("python-2", "licensee", "psf is making python (?:\\w+ ){0,4}available to licensee on an as is basis"),
+    ("php", "php", "this source file is subject to version [0-9]+(?: [0-9]+)? of the php license"),
+    ("openssl", "openssl", "this product includes (?:software developed by the openssl project|cryptographic software)"),
+    ("ssleay", "cryptographic", "this product includes cryptographic software written by eric young"),
+    ("ofl", "font", "this font software is licensed under the sil open font license"),
+    ("ofl", "bundled", "may be bundled redistributed and or sold with any software"),
+    ("ms-pl", "microsoft", "microsoft public license"),
+    ("ms-rl", "microsoft", "microsoft reciprocal license"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("beerware", "beer", "(?:you can )?buy me a beer in return"),
+    ("beerware", "beerware", "beerware(?: license)?"),
+    ("sspl", "server", "server side public license"),
+    ("busl", "business", "business source license"),
+    ("elastic", "elastic", "elastic license(?: 2 0| v2)?"),
+    ("commons-clause", "commons", "commons clause(?: license)? condition"),
+    ("cdla", "community", "community data license agreement(?: permissive| sharing)?"),
+    ("odc-by", "commons", "open data commons attribution license"),
+    ("odbl", "commons", "open data commons open database license"),
+    ("pddl", "commons", "open data commons public domain dedication"),
+    ("cc", "medium", "you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by", "credit", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-nc", "commercial", "you may not use the material for commercial purposes"),
+    ("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-nd", "remix", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "waived", "to the extent possible under law (?:\\w+ ){1,8}has waived all copyright"),
+    ("proprietary", "unauthorized", "unauthorized (?:copying|use|distribution|reproduction) of this (?:\\w+ ){1,4}(?:via any medium )?is (?:strictly )?prohibited"),
+    ("proprietary", "reproduced", "no part of this (?:\\w+ )?may be reproduced(?: stored| distributed| transmitted)?"),
+    ("proprietary", "confidential", "contains? (?:confidential and proprietary|proprietary and confidential) information"),
+    ("proprietary", "eula", "(?:this )?eula"),
+    ("proprietary", "user", "end user licen[cs]e agreement"),
+    ("proprietary", "agree", "by (?:downloading|installing|using|accessing) (?:\\w+ ){1,6}you agree to"),
+    ("proprietary", "reverse", "you may not (?:\\w+ ){0,6}reverse engineer"),
+)
+#: SPDX identifiers as words. Fixed values.
+SPDX = (
+    "mit", "mit 0", "isc", "0bsd", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "bsd 3 clause clear", "apache 1 1", "apache 2 0", "gpl 1 0 only", "gpl 1 0 or later", "gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later",
+    "gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later", "lgpl 2 0 only", "lgpl 2 0 or later", "lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later", "agpl 3 0",
+    "agpl 3 0 only", "agpl 3 0 or later", "gfdl 1 3 or later", "mpl 1 1", "mpl 2 0", "epl 1 0", "epl 2 0", "cddl 1 0", "cddl 1 1", "eupl 1 1", "eupl 1 2", "osl 3 0", "afl 3 0", "artistic 1 0", "artistic 2 0",
+    "bsl 1 0", "zlib", "unlicense", "wtfpl", "python 2 0", "psf 2 0", "php 3 01", "ruby", "postgresql", "openssl", "odbl 1 0", "pddl 1 0", "ofl 1 1", "ms pl", "ms rl", "json", "busl 1 1", "sspl 1 0", "elastic 2 0",
+    "cc0 1 0", "cc by 3 0", "cc by 4 0", "cc by sa 3 0", "cc by sa 4 0", "cc by nc 4 0", "cc by nd 4 0", "cc by nc sa 4 0", "cc by nc nd 4 0", "hpnd", "x11", "classpath exception 2 0", "llvm exception",
+)
+
+
+def spdx_label(words: str) -> str:
+    """An identifier from its words: 'bsd 3 clause' -> 'bsd-3-clause', 'gpl 2 0 only' -> 'gpl-2.0-only'."""
+    return re.sub(r"(?<=\d)-(?=\d)", ".", words.replace(" ", "-"))
+
+
+#: Any of the identifiers, longest first; and the label of a rule whose identifiers are detections of their own.
+SPDX_ID = re.compile("(?:" + "|".join(sorted(SPDX, key=len, reverse=True)) + r")(?!\S)")
+EXPRESSION = "spdx expression"
+
+
 def rules() -> list[Rule]:
-    """All rules, in order: a family's versioned phrases, its bare names, then its names in a grant."""
-    out: list[Rule] = []
+    """All rules, in order: signatures, SPDX expressions, then a family's versioned phrases, its bare names and its names in a grant."""
+    out = [Rule(label, rf"(?:{pattern})", keyword, 4, 0.95) for label, keyword, pattern in SIGNATURES]
+    out.append(Rule(EXPRESSION, rf"spdx license identifier {SPDX_ID.pattern}(?: (?:or|and|with) {SPDX_ID.pattern})*", "spdx", 6, 0.99))
     for f in FAMILIES:
         for name, keyword in f.names:
             for v in f.versions:
@@ -105,7 +224,7 @@ def rules() -> list[Rule]:
             out.append(Rule(label, name, keyword, 1, 0.6))
             out.append(Rule(label, rf"(?:licensed|released|distributed|available|published) under (?:a |the )?{name}", keyword, 2, 0.9))
     out.append(Rule("cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0", 2, 0.9))
-    out.append(Rule("spdx", r"spdx license identifier \w+", "spdx", 2, 0.9))
+    out.append(Rule("spdx", rf"spdx license identifier (?!{SPDX_ID.pattern})\w+", "spdx", 2, 0.9))
     return list(dict.fromkeys(out))
 
 
@@ -119,11 +238,25 @@ class Detection:
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Detections by place, without those that another of no lower priority, or longer and of equal priority, contains."""
+    """Detections by place, without those that another of no lower priority contains; of equal ranges those of highest priority.
+
+    One sweep: whatever contains a detection begins no later, so it is enough to know, by priority, how far those before reach.
+    """
     kept: list[Detection] = []
-    for d in sorted(set(found), key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end and ((k.start, k.end) != (d.start, d.end) or k.priority > d.priority) for k in kept):
-            kept.append(d)
+    levels = sorted({d.priority for d in found})
+    reach = dict.fromkeys(levels, -1)
+    order = sorted(set(found), key=lambda d: (d.start, -d.end, -d.priority, d.label))
+    a = 0
+    while a < len(order):
+        b = a
+        while b < len(order) and (order[b].start, order[b].end) == (order[a].start, order[a].end):
+            b += 1
+        top = order[a].priority
+        if max(reach[p] for p in levels if p >= top) < order[a].end:
+            kept += [d for d in order[a:b] if d.priority == top]
+        for d in order[a:b]:
+            reach[d.priority] = max(reach[d.priority], d.end)
+        a = b
     return sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 
@@ -163,12 +296,19 @@ class Scanner:
             found: list[Detection] = []
             for part in np.split(own, edges):
                 a, b = max(first, int(part[0]) - REACH), min(last, int(part[-1]) + REACH + 1)
-                text = w.text(a, b - a).decode("utf-8", "replace")
+                words = [w.low[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist())]
+                text, begins, at = " ".join(words), [], 0
+                for word in words:
+                    begins.append(at)
+                    at += len(word) + 1
                 for key in {self.keys[int(h)] for h in w.h[part]}:
                     for rule, pattern in self.by_keyword[key]:
-                        for m in pattern.finditer(text):
-                            s = a - first + text.count(" ", 0, m.start())
-                            found.append(Detection(s, s + m[0].count(" ") + 1, rule.label, rule.priority, rule.weight))
+                        matches = pattern.finditer(text)
+                        if rule.label == EXPRESSION:
+                            matches = (x for m in matches for x in SPDX_ID.finditer(text, m.start() + len("spdx license identifier"), m.end()))
+                        for m in matches:
+                            s = a - first + bisect_right(begins, m.start()) - 1
+                            found.append(Detection(s, s + m[0].count(" ") + 1, spdx_label(m[0]) if rule.label == EXPRESSION else rule.label, rule.priority, rule.weight))
             if found:
                 out[r] = resolve(found)
         return out

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -215,3 +216,29 @@ def test_runs_of_words(n):
     g = substring.runs_of(h, n)
     assert len(g) == len(h) - n + 1 and len(set(g[:3].tolist())) == 3 and np.array_equal(g[3:], g[:-3])
     assert np.array_equal(substring.running(h, n, np.maximum), [h[i : i + n].max() for i in range(len(h) - n + 1)])
+
+
+DETECTIONS = st.lists(st.builds(lambda a, n, label, p: licenses.Detection(a, a + n, label, p, 0.5), st.integers(0, 12), st.integers(1, 6), st.sampled_from("xyz"), st.integers(1, 3)), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(DETECTIONS)
+def test_resolve_matches_all_against_all(found):
+    def beaten(d):
+        return any(k.start <= d.start and d.end <= k.end and k.priority >= d.priority and ((k.start, k.end) != (d.start, d.end) or k.priority > d.priority) for k in found)
+
+    assert licenses.resolve(found) == sorted({d for d in found if not beaten(d)}, key=lambda d: (d.start, d.end, d.label))
+
+
+def test_many_license_mentions_take_time_in_proportion():
+    scanner = licenses.Scanner()
+    w = licenses._words_of([b"the mit license and x; " * 100_000])
+    began = time.perf_counter()
+    assert len(scanner.detections(w)[0]) == 100_000 and len(scanner.places(w)) == 100_000
+    assert time.perf_counter() - began < 15
+
+
+def test_signatures_hold_their_keywords():
+    order = licenses.rules()
+    assert len({r.pattern for r in order}) == len(order) > 400
+    assert all(r.keyword in r.pattern for r in order)

@@ -470,3 +470,39 @@ def test_components_of_a_hub_and_of_nothing(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(500)}, 1000: 1000, 1001: 1000, 1002: 1000}
     assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_licenses_by_what_they_say(spark):
+    texts = {
+        1: ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", {"mit"}),
+        2: ("Redistribution and use in source and binary forms, with or without modification, are permitted", {"bsd"}),
+        3: ("SPDX-License-Identifier: Apache-2.0 OR MIT", {"apache-2.0", "mit"}),
+        4: ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", {"gpl-2.0-or-later", "classpath-exception-2.0"}),
+        5: ("either version 3 of the License, or (at your option) any later version", {"gpl-3-or-later"}),
+        6: ("This is free and unencumbered software released into the public domain.", {"unlicense"}),
+        7: ("Unless required by applicable law or agreed to in writing, software distributed under the License is", {"apache-2.0"}),
+        8: ("a permission slip, a redistribution of wealth, MIT in Boston, licence plates", set()),
+        9: ("Beerware, and GNU GPL v2 " + "x " * 40 + "the MIT License", {"beerware", "gpl-2", "mit"}),
+    }
+    got = {r["doc_id"]: {x["label"] for x in r["found"]} for r in licenses.scan(frame(spark, [(i, t) for i, (t, _) in texts.items()])).collect()}
+    assert got == {i: want for i, (_, want) in texts.items()}
+
+
+def test_license_bases_match_brute_force(spark):
+    rng = __import__("random").Random(3)
+    parts = [*licenses.BASE, "GNU", "general", "public license", "apache", "license", "cc", "by", "MIT", "é", "...", "gnu general public"]
+    texts = [(i, rng.choice([" ", "-", "\n "]).join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(200)] + [(900, None), (901, "mit license " * 400)]
+    want = {}
+    for i, t in texts:
+        w = words(t)
+        want[i] = sorted((k, licenses.BASE[p]) for p in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+    got = {r["doc_id"]: sorted((x["at"], x["label"]) for x in r["base"]) for r in licenses.scan(frame(spark, texts)).collect()}
+    assert got == want and sum(map(len, want.values())) > 1000
+
+
+def test_op7_columns(spark, tmp_path):
+    texts = [(1, "MIT license, GNU General Public License; mit license"), (2, None), (3, "plain")]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r.asDict() for r in queries.op7_license_scan(spark, str(tmp_path)).collect()}
+    assert got[1] | {"score": 0} == {"doc_id": 1, "n_words": 8, "n_base": 3, "first_word": 0, "last_word": 6, "base_labels": "gpl,mit", "labels": "gpl,mit", "score": 0} and got[1]["score"] > 0.5
+    assert got[2] == {"doc_id": 2, "n_words": 0, "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0} and got[3]["n_words"] == 1
