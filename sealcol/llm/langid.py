@@ -10,8 +10,10 @@ seed; their whole texts are counted on the executors, and the expectation steps
 one count per piece and language. Predictions cover every row.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows of null language teach nothing; if no
-row teaches, every text is ``und``; ties go to the language that sorts first; words of over ``LONGEST`` bytes are scored
-in parts of that size. Columns other than the named ones are carried by ``keep_known`` and not looked at.
+row teaches, every text is ``und``, and an empty table gives no rows; ties go to the language that sorts first; repeated rows
+teach as often as they are drawn. Very long texts and words are scored whole; for training alone, words of over ``LONGEST``
+bytes are counted in parts of that size. Pieces with capitals never occur, since texts are lower-cased first. Columns other
+than the named ones are carried by ``keep_known`` and not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import col, materialise, with_fields
 from .vectext import BASE, chunks, find_words, mix, powers
 
 UNDETERMINED = "und"
-#: Bytes of a word scored at once. Thirty-three factors of at least FLOOR stay far above the least float.
+#: Bytes of a word in one lattice; longer ones are scored with rescaling. Thirty-three factors of at least FLOOR stay far above the least float.
 LONGEST = 32
 FLOOR = 1e-8
 #: The byte that stands for the vocabulary's mark of a word's beginning.
@@ -38,7 +40,7 @@ MARK = 1
 class Pieces:
     """The vocabulary as byte strings: hashes sorted for lookup, ``rank`` giving the piece's number."""
 
-    def __init__(self, path: str, longest: int = 16):
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,7 +50,7 @@ class Pieces:
                 piece = model.id_to_piece(i)
                 if piece == piece.lower():
                     found.add(piece.replace("▁", chr(MARK)).encode())
-        self.all = sorted(p for p in found if 0 < len(p) <= longest)
+        self.all = sorted(p for p in found if p)
         self.longest = max(map(len, self.all))
         data = np.frombuffer(b"".join(self.all), np.uint8)
         ends = np.cumsum([len(p) for p in self.all])
@@ -153,6 +155,30 @@ def lattices(pieces: Pieces, low: np.ndarray, start: np.ndarray, size: np.ndarra
         yield own, Lattice(pieces, padded(low, start[own], size[own]), size[own])
 
 
+def long_words(pieces: Pieces, p: np.ndarray, low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """log P of words of any length, longest first, in each language: forward sums of the last few bytes, rescaled as they go."""
+    rows, most = padded(low, start, size), pieces.longest
+    up, down = powers(rows.shape[1] + 1)
+    total = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * up[: rows.shape[1]], axis=1, out=total[:, 1:])
+    ring, logs = np.zeros((most, len(rows), p.shape[1])), np.zeros((len(rows), p.shape[1]))
+    ring[0] = 1
+    n = len(rows)
+    for e in range(1, rows.shape[1] + 1):
+        k = np.arange(1, min(e, most) + 1)
+        ids = pieces.find(mix((total[:n, e, None] - total[:n, e - k]) * down[e - k]).ravel()).reshape(n, len(k))
+        alpha = (p[ids] * ring[(e - k) % most, :n].transpose(1, 0, 2)).sum(axis=1)
+        if e % 8 == 0:
+            ring[:, :n] /= alpha
+            logs[:n] += np.log(alpha)
+            alpha[:] = 1
+        ring[e % most, :n] = alpha
+        left = int(np.searchsorted(-size, -e, "right"))  # words that go on, counted with the mark
+        logs[left:n] += np.log(alpha[left:])
+        n = left
+    return logs
+
+
 @dataclass
 class Model:
     """Languages in order, and log-free piece probabilities p[piece, language] with a last row of zeros."""
@@ -179,11 +205,16 @@ class Scorer:
         out[have] = self.scores[k[have]]
         new = np.flatnonzero(~have)
         if len(new):
-            s, size, of = parts(low, start[new], end[new])
-            got = np.empty((len(s), n))
-            for own, lattice in lattices(self.pieces, low, s, size, n):
-                got[own] = np.log(np.maximum(lattice.total(self.model.p), 1e-300))
-            out[new] = np.add.reduceat(got, np.searchsorted(of, np.arange(len(new))))
+            s, size = start[new], end[new] - start[new]
+            short = np.flatnonzero(size <= LONGEST)
+            for own, lattice in lattices(self.pieces, low, s[short], size[short], n):
+                out[new[short[own]]] = np.log(np.maximum(lattice.total(self.model.p), 1e-300))
+            long = np.flatnonzero(size > LONGEST)
+            long, a = long[np.argsort(-size[long], kind="stable")], 0
+            while a < len(long):
+                own = long[a : a + max(1, min(4096, 500_000 // int(size[long[a]])))]
+                out[new[own]] = long_words(self.pieces, self.model.p, low, s[own], size[own])
+                a += len(own)
             if len(self.known) + len(new) > self.keep:
                 self.known, self.scores = h, out
             else:

@@ -242,3 +242,25 @@ def test_signatures_hold_their_keywords():
     order = licenses.rules()
     assert len({r.pattern for r in order}) == len(order) > 400
     assert all(r.keyword in r.pattern for r in order)
+
+
+def test_long_words_are_summed_over_all_cuts():
+    pieces = langid.Pieces(vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(3)
+    p = np.vstack([np.maximum(rng.random((len(pieces), 2)) / len(pieces), 1e-8), np.zeros((1, 2))])
+    number = {x: i for i, x in enumerate(pieces.all)}
+    texts = ["donaudampfschifffahrtsgesellschaft" * 5, "这是一个很长的句子没有空格所以它是一个词", "a" * 300, "short", "x" * 33]
+    raw, offs = buffers(pa.array(texts))
+    size = np.diff(offs)
+    order = np.argsort(-size, kind="stable")
+    got = langid.long_words(pieces, p, raw, offs[:-1][order], size[order])
+    for i, r in enumerate(order.tolist()):
+        word = bytes([langid.MARK]) + texts[r].encode()
+        alpha = [np.zeros(2)] + [np.full(2, -np.inf)] * len(word)
+        for e in range(1, len(word) + 1):
+            terms = [alpha[e - k] + np.log(p[number[word[e - k : e]]]) for k in range(1, min(e, pieces.longest) + 1) if word[e - k : e] in number]
+            alpha[e] = np.logaddexp.reduce(terms, axis=0)
+        assert np.allclose(got[i], alpha[-1])
+    scorer = langid.Scorer(langid.Model(["a", "b"], p, vocabulary("piece_bpe_32k.model")))
+    both = scorer.words(np.arange(5, dtype=np.uint64), raw, offs[:-1], offs[1:])
+    assert np.allclose(both[order], got)
