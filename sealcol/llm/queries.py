@@ -33,9 +33,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.fresh_index(spark, digest_buckets(spark))
-    out = index.annotate(table(spark, sf_dir, "documents"))
-    return out.withColumn("keep_id", F.col("keep_id").cast("long"))
+    """The documents come to one index in two batches; groups are those of both."""
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.fresh_index(spark, digest_buckets(spark), docs.schema["doc_id"].dataType.simpleString())
+    second = F.coalesce(bucket_of("doc_id", 2) == 1, F.lit(False))
+    ledgers = [index.add(docs.filter(some), name) for name, some in (("first", ~second), ("second", second))]
+    return index.annotate(ledgers[0].union(ledgers[1])).withColumnRenamed("id", "doc_id")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
