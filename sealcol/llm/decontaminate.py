@@ -2,9 +2,11 @@
 
 An item's windows are its runs of ``window`` words (10); an item of fewer words, but not none, is one window. Each hit is
 verified word by word, so a hash collision never counts. The hash set is broadcast only while the benchmark's text is at
-most ``broadcast_bytes``; a larger benchmark takes a sort-merge join on the window hash with the same result.
+most ``broadcast_bytes``. Beyond that, windows whose hash a bitmap of FILTER_BITS does not rule out are joined with the
+benchmark's on hash and words, by sort-merge, and their places put together by row; the result is the same. The corpus is
+then written once, with row numbers, and each text is marked before anything is cut.
 
-Defined cases: null or empty text has no words, no hits and is clean; an item without words has no window; repeated items
+Defined cases: null or empty text has no words, no hits and is clean; very long texts are scanned whole; an item without words has no window; repeated items
 and items that share a window all count; an item of null id marks words but is not listed; rows are independent, so
 repeated rows get equal results; an empty benchmark leaves every document clean. Only the named columns are looked at:
 ``scan`` returns the id and its own columns, ``decontaminate`` exactly the input's columns.
@@ -14,13 +16,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, free_name, materialise, with_fields
 from .vectext import Words, bitmap, buffers, chunks, find_words, member, windows
 
 BROADCAST_BYTES = 8 << 20
+#: Bits of the bitmap that windows of documents are looked up in before they are joined: it is of one size for any benchmark.
+FILTER_BITS = 1 << 25
 
 
 class WindowSet:
@@ -76,7 +80,10 @@ def scan(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
     """One row per document: id, n_words, n_hit, items (sorted strings), spans (word ranges hit, end exclusive)."""
     size = bench.agg(F.sum(F.octet_length(col(item_text).cast("string"))).alias("n")).first()["n"] or 0
     if size > broadcast_bytes:
-        return _scan_by_join(docs, bench, id_col, text_col, item_id, item_text, window)
+        src = _numbered(docs.select(col(id_col), col(text_col).cast("string").alias(free_name(docs.select(col(id_col)), "text_"))), "row_")
+        found = _found_by_join(src.select("row_", src.columns[2]), bench, item_id, item_text, window)
+        out = src.join(found.hint("merge"), "row_")
+        return out.select(col(id_col), "n_words", "n_hit", "items", "spans")
     held = docs.sparkSession.sparkContext.broadcast(_window_set(bench, item_id, item_text, window))
     src = docs.select(col(id_col), col(text_col).cast("string").alias(free_name(docs.select(col(id_col)), "text_")))
     schema = with_fields(docs.select(col(id_col)), "n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>")
@@ -101,55 +108,89 @@ def scan(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
     return src.mapInArrow(run, schema)
 
 
-def _scan_by_join(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int) -> DataFrame:
-    """The way for benchmarks too large to broadcast: windows as rows, joined on their words, many to one."""
-    from .vectext import LOWER, UPPER, WORD
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number, written once, so that it stays theirs."""
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered").select(name, *[col(c) for c in docs.columns])
 
-    def words(c):
-        return F.regexp_extract_all(F.translate(F.coalesce(c.cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
-    items = bench.select(col(item_id).cast("string").alias("item"), words(col(item_text)).alias("w")).filter(F.size("w") > 0)
-    items = items.withColumn("m", F.least(F.size("w"), F.lit(window)))
-    items = items.select("item", "m", F.explode(F.expr("transform(sequence(1, size(w) - m + 1), i -> array_join(slice(w, i, m), ' '))")).alias("g"))
-    items = materialise(items.groupBy("m", "g").agg(F.collect_set("item").alias("of")), "bench-windows")
-    sizes = [r["m"] for r in items.select("m").distinct().collect()]
-    base = docs.select(col(id_col), words(col(text_col)).alias("w_")).withColumn("k_", F.sha2(F.array_join("w_", " "), 256))
-    texts = base.groupBy("k_").agg(F.first("w_").alias("w"))
-    cut = F.array(*[F.lit(m) for m in sizes]) if sizes else F.expr("cast(array() as array<int>)")
-    runs = texts.select("k_", "w", F.explode(cut).alias("m")).filter(F.size("w") >= F.col("m"))
-    runs = runs.select("k_", "m", F.posexplode(F.expr("transform(sequence(1, size(w) - m + 1), i -> array_join(slice(w, i, m), ' '))")).alias("p", "g"))
-    hits = runs.join(items, ["m", "g"])
-    places = hits.select("k_", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("m") - 1)).alias("at")).distinct().groupBy("k_").agg(F.array_sort(F.collect_list(F.col("at").cast("long"))).alias("at"))
-    named = hits.select("k_", F.explode("of").alias("item")).distinct().groupBy("k_").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    spans = F.expr("transform(filter(at, x -> not array_contains(at, x - 1)), s -> struct(s as start, array_min(filter(transform(at, y -> y + 1), e -> e > s and not array_contains(at, e))) as end))")
-    out = base.join(places, "k_", "left").join(named, "k_", "left")
-    return out.select(col(id_col), F.size("w_").cast("long").alias("n_words"), F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce(spans, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"))
+def _bench_windows(bench: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """m (words), h, words, and the items ``of`` each distinct window."""
+    src = bench.select(col(item_id).cast("string").alias("item"), col(item_text).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for a, b, raw, offs in chunks(batch.column(1)):
+                w = find_words(raw, offs)
+                least = np.minimum(np.diff(w.ptr), window)
+                for m in np.unique(least[least > 0]).tolist():
+                    at, g = windows(w, m)
+                    row = np.searchsorted(w.ptr, at, "right") - 1
+                    own = least[row] == m
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), m, np.int32)), pa.array(g[own].view(np.int64)), pa.array([w.text(p, m) for p in at[own].tolist()], pa.binary()), batch.column(0).slice(a, b - a).take(pa.array(row[own]))], names=["m", "h", "words", "item"])
+
+    rows = src.mapInArrow(run, "m int, h long, words binary, item string")
+    return materialise(rows.groupBy("m", "h", "words").agg(F.collect_set("item").alias("of")), "bench-windows")
+
+
+def _found_by_join(src: DataFrame, bench: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """For rows of a number and a text: row_, n_words, n_hit, items, spans. The way for benchmarks too large to broadcast."""
+    items = _bench_windows(bench, item_id, item_text, window)
+    sizes = sorted(r["m"] for r in items.select("m").distinct().collect())
+    words = items.groupBy(F.expr(f"shiftrightunsigned(h, 6) & {FILTER_BITS // 64 - 1}").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    held = src.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        known = held.value
+        for batch in batches:
+            for a, b, raw, offs in chunks(batch.column(1)):
+                w = find_words(raw, offs)
+                numbers = batch.column(0).slice(a, b - a).to_numpy()
+                # a row without a window tells the number of words
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.diff(w.ptr)), pa.array(np.zeros(b - a, np.int32)), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary())], names=["row_", "p", "m", "h", "words"])
+                for m in sizes:
+                    at, g = windows(w, m)
+                    some = np.flatnonzero(known[(g >> np.uint64(6) & np.uint64(FILTER_BITS // 64 - 1)).astype(np.int64)] >> (g & np.uint64(63)) & np.uint64(1))
+                    row = np.searchsorted(w.ptr, at[some], "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), pa.array(at[some] - w.ptr[row]), pa.array(np.full(len(some), m, np.int32)), pa.array(g[some].view(np.int64)), pa.array([w.text(p, m) for p in at[some].tolist()], pa.binary())], names=["row_", "p", "m", "h", "words"])
+
+    seen = materialise(src.mapInArrow(run, "row_ long, p long, m int, h long, words binary"), "text-windows")
+    hits = materialise(seen.filter("m > 0").join(items.hint("merge"), ["m", "h", "words"]).select("row_", "p", (F.col("p") + F.col("m")).alias("end"), "of"), "window-hits")
+    # runs of hit words: one begins where no window before it reaches
+    by_row = Window.partitionBy("row_").orderBy("p", "end")
+    places = hits.select("row_", "p", "end").distinct()
+    places = places.withColumn("new", F.coalesce(F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1)) < F.col("p"), F.lit(True)))
+    places = places.withColumn("run", F.sum(F.col("new").cast("long")).over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = places.groupBy("row_", "run").agg(F.min("p").alias("start"), F.max("end").alias("end"))
+    spans = runs.groupBy("row_").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    named = hits.select("row_", "of").distinct().groupBy("row_").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("of")))).alias("items"))
+    out = seen.filter("m = 0").select("row_", F.col("p").alias("n_words")).join(spans, "row_", "left").join(named, "row_", "left")
+    none = [F.expr(f"cast(array() as array<{t}>)") for t in ("string", "struct<start:bigint,end:bigint>")]
+    return out.select("row_", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none[0]).alias("items"), F.coalesce("spans", none[1]).alias("spans"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, *, mode: str = "drop", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The input's rows and columns without what the benchmark covers.
 
     mode "drop": rows with any hit word go. mode "cut": the text from the first to the last byte of each hit run of words
-    goes, the rest of the row stays. A benchmark above ``broadcast_bytes`` is scanned in parts of at most that size, one
-    after another, each written before the next begins: what is held in memory stays bounded. Every part sees the original
-    text; spans are gathered in a column of their own and cut once, after the last part.
+    goes, the rest of the row stays. A benchmark above ``broadcast_bytes`` is joined: rows and texts are the same.
     """
+    if mode not in ("drop", "cut"):
+        raise ValueError("mode is 'drop' or 'cut'")
     size = bench.agg(F.sum(F.octet_length(col(item_text).cast("string"))).alias("n")).first()["n"] or 0
-    parts = -(-size // broadcast_bytes) if size > broadcast_bytes else 1
-    spread = F.pmod(F.xxhash64(col(item_text).cast("string"), col(item_id).cast("string")), F.lit(parts))
-    columns, mark = docs.columns, free_name(docs, "hits_")
-    gather = mode == "cut" and parts > 1
-    if gather:
-        docs = docs.withColumn(mark, F.expr("cast(array() as array<bigint>)"))
-    for k in range(parts):
-        some = bench if parts == 1 else bench.filter(spread == k)
-        held = docs.sparkSession.sparkContext.broadcast(_window_set(some, item_id, item_text, window))
-        docs = docs.mapInArrow(_marker(held, columns.index(text_col)) if gather else _dropper(held, columns.index(text_col), mode), docs.schema)
-        if parts > 1:
-            docs = materialise(docs, "decontaminated")
-    if gather:
-        docs = docs.mapInArrow(_cutter(columns.index(text_col)), docs.drop(mark).schema)
-    return docs
+    at = docs.columns.index(text_col)
+    if size <= broadcast_bytes:
+        held = docs.sparkSession.sparkContext.broadcast(_window_set(bench, item_id, item_text, window))
+        return docs.mapInArrow(_dropper(held, at, mode), docs.schema)
+    columns, number, spans = docs.columns, free_name(docs, "row_"), free_name(docs, "spans_")
+    rows = _numbered(docs, number)
+    found = _found_by_join(rows.select(col(number).alias("row_"), col(text_col).cast("string").alias("text")), bench, item_id, item_text, window)
+    hit = found.filter("n_hit > 0").select(F.col("row_").alias(number), F.col("spans").alias(spans)).hint("merge")
+    if mode == "drop":
+        return rows.join(hit, number, "left_anti").select(*[col(c) for c in columns])
+    marked = rows.join(hit, number, "left").select(*[col(c) for c in columns], col(spans))
+    return marked.mapInArrow(_cutter(at), docs.schema)
 
 
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,27 +208,8 @@ def _without(raw: np.ndarray, offs: np.ndarray, w: Words, r: int, hit: np.ndarra
     return b"".join([*out, whole[last:]]).decode("utf-8", "replace")
 
 
-def _marker(held, at: int):
-    """Adds the places (start, end, start, end, ...) of each row's hit runs of words to the last column."""
-
-    def run(batches):
-        known = held.value
-        for batch in batches:
-            for a, b, raw, offs in chunks(batch.column(at)):
-                w = find_words(raw, offs)
-                hit, _ = known.scan(w)
-                piece = batch.slice(a, b - a)
-                last = piece.num_columns - 1
-                marks = piece.column(last).to_pylist()
-                for r in np.unique(np.searchsorted(w.ptr, np.flatnonzero(hit), "right") - 1).tolist():
-                    marks[r] += np.stack(_runs(hit[w.ptr[r] : w.ptr[r + 1]]), axis=1).ravel().tolist()
-                yield piece.set_column(last, piece.schema.field(last), pa.array(marks, piece.schema.field(last).type))
-
-    return run
-
-
 def _cutter(at: int):
-    """Cuts the runs that the last column tells, and drops it."""
+    """Cuts the runs (start, end) that the last column tells, and drops it."""
 
     def run(batches):
         for batch in batches:
@@ -196,13 +218,13 @@ def _cutter(at: int):
                 piece = batch.slice(a, b - a)
                 marks = piece.column(piece.num_columns - 1).to_pylist()
                 piece = piece.select(piece.schema.names[:-1])
-                rows = [r for r, m in enumerate(marks) if m]
+                rows = [r for r, own in enumerate(marks) if own]
                 if rows:
                     texts = piece.column(at).to_pylist()
                     for r in rows:
                         hit = np.zeros(w.ptr[r + 1] - w.ptr[r], bool)
-                        for s, e in zip(marks[r][::2], marks[r][1::2]):
-                            hit[s:e] = True
+                        for x in marks[r]:
+                            hit[x["start"] : x["end"]] = True
                         texts[r] = _without(raw, offs, w, r, hit)
                     piece = piece.set_column(at, piece.schema.field(at), pa.array(texts, piece.schema.field(at).type))
                 yield piece

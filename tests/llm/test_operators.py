@@ -526,3 +526,15 @@ def test_op7_columns(spark, tmp_path):
     got = {r["doc_id"]: r.asDict() for r in queries.op7_license_scan(spark, str(tmp_path)).collect()}
     assert got[1] | {"score": 0} == {"doc_id": 1, "n_words": 8, "n_base": 3, "first_word": 0, "last_word": 6, "base_labels": "gpl,mit", "labels": "gpl,mit", "score": 0} and got[1]["score"] > 0.5
     assert got[2] == {"doc_id": 2, "n_words": 0, "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0} and got[3]["n_words"] == 1
+
+
+@pytest.mark.parametrize("limit", [40, 60, 100, 8 << 20])
+def test_decontamination_is_alike_for_any_size(spark, limit):
+    """Overlapping items over one passage: all its words go, whichever way the benchmark is held."""
+    w = [f"w{i}" for i in range(15)]
+    items = spark.createDataFrame([(1, " ".join(w[:10])), (2, " ".join(w[5:]))], "item_id long, text string")
+    texts = [(1, "Before " + ", ".join(w) + "; after"), (2, " ".join(w[:9])), (3, None)]
+    cut = decontaminate.decontaminate(frame(spark, texts), items, mode="cut", broadcast_bytes=limit)
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "Before ; after", 2: texts[1][1], 3: None}
+    kept = decontaminate.decontaminate(frame(spark, texts), items, broadcast_bytes=limit)
+    assert {r["doc_id"] for r in kept.collect()} == {2, 3}
