@@ -18,14 +18,16 @@ from .errors import ConfigurationError, InvalidArgument, SealError
 from .functions import codec, crypto, envelope
 from .functions import normalize as N
 from .plans import suites
-from .plans.context import FieldContext, canonical, canonical_col, lit_bytes
-from .plans.declare import ARGON2, META, Column, Index, Table
+from .plans.context import Binding, encoded_col, lit_bytes
+from .plans.declare import META, Column, Index, Table
 from .plans.keys import KeyProvider, Labels, write_key
 
 ARM = "SEALCOL_ARM_PROVISIONAL"
 MODES = ("strict", "permissive", "readonly")
 #: Rows of the key relation up to which it is broadcast; a key's row is under 1 KB.
 BROADCAST_KEYS = 10_000
+#: Bytes a core up to which a table is spread over all cores.
+SMALL = 16 << 20
 SCOPE = "__scope"
 
 
@@ -51,7 +53,7 @@ class Engine:
         self.spark, self.provider, self.mode, self.write_suite, self.allowed_suites, self.labels = spark, provider, mode, write_suite, tuple(allowed_suites), labels
         self.armed = arm_provisional is True or os.environ.get(ARM) == "1"
         self.tables = {t.name: t for t in tables}
-        self.indexes = {f"{t.uuid.hex()}/{c.uuid.hex()}/{c.index.index_id}": c.index for t in tables for c in t.columns if c.index}
+        self.indexes = {f"{t.uuid.hex()}/{c.uuid.hex()}/{c.index.name}": c.index for t in tables for c in t.columns if c.index}
         self.metrics = Metrics()
         if mode != "strict":
             warnings.warn(f"read mode {mode}: values that are no envelopes are passed through", stacklevel=2)
@@ -65,6 +67,15 @@ class Engine:
         if suites.suite(self.write_suite).provisional and not self.armed:
             raise SealError("SUITE_PROVISIONAL", f"suite {self.write_suite:#06x} is provisional; set {ARM}=1 or arm_provisional=True to use it")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """The rows in as many partitions as there are cores, where the optimizer knows them to be little: sealing and opening take
+        far longer a row than reading, and a small file is one partition. What is larger has its partitions from the scan."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if df.isStreaming or cores < 2:
+            return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return df.repartition(cores) if size < SMALL * cores else df
+
     # keys as rows
 
     def _scopes(self, df: DataFrame, table: Table) -> list[bytes]:
@@ -88,43 +99,43 @@ class Engine:
         self.provider.warm(scopes)
         rows = []
         for s in scopes:
-            key = self.index_key(table.context(c, s if table.tenant else None), c.index)
+            key = self.index_key(table.binding(c, s if table.tenant else None), c.index)
             ipad, opad = crypto.pads(key)
             rows.append((bytearray(s), bytearray(ipad), bytearray(opad), bytearray(self.salt(key))))
         return self._small(rows, "x_scope binary, x_ipad binary, x_opad binary, x_salt binary")
 
-    def index_key(self, ctx: FieldContext, index: Index) -> bytes:
-        return crypto.hkdf(self.provider.index_key(ctx.scope), self.labels.index, canonical(ctx.for_index(index.index_id), index.suite_id), 32)
+    def index_key(self, ctx: Binding, index: Index) -> bytes:
+        return crypto.hkdf(self.provider.index_key(ctx.scope), self.labels.index, ctx.of_index(index.name).encoded(index.suite), 32)
 
     def salt(self, index_key: bytes) -> bytes:
         return crypto.hkdf(index_key, b"", self.labels.argon2_salt, 16)
 
     # one value at a time, on the driver
 
-    def blind_index(self, value: str | bytes, ctx: FieldContext, index: Index) -> bytes:
+    def blind_index(self, value: str | bytes, ctx: Binding, index: Index) -> bytes:
         """A value's index bytes. Allowed in every mode, armed or not."""
         if not isinstance(value, (str, bytes)):
             raise InvalidArgument("an indexed value is text or bytes")
-        message = N.normalize(index.normalize, value)
+        message = N.normalize(index.form, value)
         if message is None:
-            if index.on_unindexable == "refuse":
+            if not index.bucket:
                 raise InvalidArgument("the value holds a code point that has no normal form")
             return self.unindexable_marker(ctx, index)
         return self._derive(message, ctx, index)
 
-    def unindexable_marker(self, ctx: FieldContext, index: Index) -> bytes:
-        if index.on_unindexable != "bucket":
+    def unindexable_marker(self, ctx: Binding, index: Index) -> bytes:
+        if not index.bucket:
             raise ConfigurationError("the index has no bucket for unindexable values")
         return self._derive(self.labels.unindexable, ctx, index)
 
-    def _derive(self, message: bytes, ctx: FieldContext, index: Index) -> bytes:
+    def _derive(self, message: bytes, ctx: Binding, index: Index) -> bytes:
         import hmac
 
         key = self.index_key(ctx, index)
-        raw = crypto.Argon2().raw(message, self.salt(key), index.time_cost, index.memory_kib) if index.idf == ARGON2 else hmac.digest(key, message, "sha512")
-        return crypto.truncate(raw, index.truncate_bits)
+        raw = crypto.Argon2().raw(message, self.salt(key), index.slow.passes, index.slow.kib) if index.slow else hmac.digest(key, message, "sha512")
+        return crypto.truncate(raw, index.bits)
 
-    def encrypt(self, plaintext: bytes, ctx: FieldContext) -> bytes:
+    def encrypt(self, plaintext: bytes, ctx: Binding) -> bytes:
         """One envelope, by the same expressions as a table's."""
         self.write_gate("encrypt")
         _bytes(plaintext)
@@ -134,19 +145,19 @@ class Engine:
         k = write_key(self.provider, ctx.scope)
         df = self.spark.createDataFrame([(bytearray(plaintext), bytearray(k.key_id), bytearray(k.dek))], "v binary, k binary, d binary")
         df = df.withColumn("r", crypto.entropy_col())
-        return bytes(df.select(envelope.seal(F.col("v"), F.col("k"), F.col("d"), lit_bytes(canonical(ctx, self.write_suite)), F.col("r"), self.labels.commitment).alias("e")).first()["e"])
+        return bytes(df.select(envelope.seal(F.col("v"), F.col("k"), F.col("d"), lit_bytes(ctx.encoded(self.write_suite)), F.col("r"), self.labels.commitment).alias("e")).first()["e"])
 
-    def status(self, blob: bytes, ctx: FieldContext) -> tuple[str, bytes | None]:
+    def status(self, blob: bytes, ctx: Binding) -> tuple[str, bytes | None]:
         """The outcome of opening one envelope, and its plaintext."""
         self.provider.warm([ctx.scope])
         named = [k for k in self.provider.data_keys(ctx.scope) if k.key_id == blob[3:19]]
         others = [k for k in self.provider.data_keys(ctx.scope) if k.key_id != blob[3:19]] if named else []
         deks = [bytearray(k.dek) for k in named + others]
         df = self.spark.createDataFrame([(bytearray(blob), deks or None)], "v binary, d array<binary>")
-        got = df.select(envelope.open_envelope(F.col("v"), F.col("d"), len(deks), lit_bytes(canonical(ctx, self.write_suite)), self.labels.commitment, self.allowed_suites).alias("o")).first()["o"]
+        got = df.select(envelope.open_envelope(F.col("v"), F.col("d"), len(deks), lit_bytes(ctx.encoded(self.write_suite)), self.labels.commitment, self.allowed_suites).alias("o")).first()["o"]
         return got["status"], None if got["plaintext"] is None else bytes(got["plaintext"])
 
-    def decrypt(self, blob: bytes, ctx: FieldContext) -> bytes:
+    def decrypt(self, blob: bytes, ctx: Binding) -> bytes:
         _bytes(blob)
         status, plaintext = self.status(blob, ctx)
         if status == "NOT_CIPHERTEXT" and self.mode != "strict":
@@ -157,7 +168,7 @@ class Engine:
             raise SealError(status, "an envelope could not be opened")
         return plaintext
 
-    def rotate(self, blob: bytes, ctx: FieldContext) -> bytes:
+    def rotate(self, blob: bytes, ctx: Binding) -> bytes:
         """An envelope's plaintext under the active key. What is no envelope is refused in every mode."""
         self.write_gate("rotate")
         _bytes(blob)
@@ -171,24 +182,24 @@ class Engine:
     def index_column(self, df: DataFrame, out: str, table: Table, c: Column, canonical_bytes: SparkColumn, scope: str) -> DataFrame:
         """Adds index values of a column: HMAC as expressions, argon2id once for each distinct value."""
         index = c.index
-        norm = N.normalize_col(index.normalize, df[c.name] if c.name in df.columns else canonical_bytes, canonical_bytes)
-        if index.normalize in N.REFUSING:
-            if index.on_unindexable == "bucket":
+        norm = N.normalize_col(index.form, df[c.name] if c.name in df.columns else canonical_bytes, canonical_bytes)
+        if index.form in N.REFUSING:
+            if index.bucket:
                 norm = F.coalesce(norm, F.when(canonical_bytes.isNotNull(), lit_bytes(self.labels.unindexable)))
             else:
                 norm = F.when(canonical_bytes.isNotNull() & norm.isNull(), F.raise_error(F.lit("INVALID_ARGUMENT: a value has no normal form")).cast("binary")).otherwise(norm)
         df = df.withColumn(f"__{out}_n", norm)
         n = F.col(f"`__{out}_n`")
         pads = self.index_pads(self._scopes(df, table), table, c)
-        if index.idf == ARGON2:
+        if index.slow:
             each = df.select(F.col(scope).alias("v_scope"), n.alias("v_n")).filter(n.isNotNull()).distinct().join(pads, F.col("v_scope") == F.col("x_scope"))
-            each = each.select("v_scope", "v_n", crypto.truncate_col(crypto.argon2_col(F.col("v_n"), F.col("x_salt"), index.time_cost, index.memory_kib), index.truncate_bits).alias(out))
+            each = each.select("v_scope", "v_n", crypto.truncate_col(crypto.argon2_col(F.col("v_n"), F.col("x_salt"), index.slow.passes, index.slow.kib), index.bits).alias(out))
             df = df.join(each, (F.col(scope) == F.col("v_scope")) & (n == F.col("v_n")), "left").drop("v_scope", "v_n")
         else:
             df = df.join(pads, F.col(scope) == F.col("x_scope"), "left")
             raw = crypto.hmac_padded(F.col("x_ipad"), F.col("x_opad"), n)
-            df = df.withColumn(out, F.when(n.isNotNull(), crypto.truncate_col(raw, index.truncate_bits))).drop("x_scope", "x_ipad", "x_opad", "x_salt")
-        if index.storage == "hex":
+            df = df.withColumn(out, F.when(n.isNotNull(), crypto.truncate_col(raw, index.bits))).drop("x_scope", "x_ipad", "x_opad", "x_salt")
+        if index.as_hex:
             df = df.withColumn(out, F.lower(F.hex(F.col(f"`{out}`"))))
         return df.drop(f"__{out}_n")
 
@@ -204,12 +215,14 @@ class Engine:
             got, want = codec.logical_type(types[n]), table.column(n).logical
             if got != want and not (want == "int" and got == "decimal" and types[n].scale == 0):
                 raise ConfigurationError(f"{n}: a column of {types[n].simpleString()} is {got}, not {want}")
-        df = with_scope(df, table)
+        df = with_scope(self.spread(df), table)
         keys = self.write_keys(self._scopes(df, table))
         df = df.join(keys, F.col(SCOPE) == F.col("k_scope"), "left")
         for n in names:
             c = table.column(n)
             source = F.col(f"`{c.source or n}`")
+            if c.logical in ("int", "decimal"):
+                source = codec.fitting(source, types[n], c.spark_type)
             plain = codec.render(source, T.StringType() if c.logical == "string" else types[n])
             if c.logical == "int" and isinstance(types[n], T.DecimalType):
                 plain = F.encode(source.cast("string"), "UTF-8")
@@ -240,7 +253,7 @@ class Engine:
     def open(self, df: DataFrame, table: Table, columns: tuple[str, ...], *, raw: bool = False) -> DataFrame:
         """Envelopes become values (raw: struct(status, plaintext)). Lazy: only these columns are opened."""
         check_metadata(df, table)
-        df = with_scope(df, table)
+        df = with_scope(self.spread(df), table)
         keys, most = self.read_keys(self._scopes(df, table))
         for n in columns:
             c = table.column(n)
@@ -258,9 +271,9 @@ class Engine:
 
             if not raw and c.logical == "float":  # its reader is no expression, and cannot stand inside one
                 df = df.withColumn(f"__{n}_e", crypto.let(found, checked))
-                value = codec.parse(F.col(f"`__{n}_e`"), c.logical)
+                value = codec.parse(F.col(f"`__{n}_e`"), c.logical, c.spark_type)
             else:
-                value = found if raw else codec.parse(crypto.let(found, checked), c.logical)
+                value = found if raw else codec.parse(crypto.let(found, checked), c.logical, c.spark_type)
             df = df.withColumn(n, value).drop(f"__{n}_e", "r_id", "r_deks")
         return df.drop(SCOPE)
 
@@ -268,7 +281,7 @@ class Engine:
         """Envelopes whose suite or key is not the active one are opened and sealed anew; the others stay byte for byte."""
         self.write_gate("rotate")
         names = [c.name for c in table.columns if columns is None or c.name in columns]
-        df = with_scope(df, table)
+        df = with_scope(self.spread(df), table)
         scopes = self._scopes(df, table)
         keys, most = self.read_keys(scopes)
         df = df.join(self.write_keys(scopes), F.col(SCOPE) == F.col("k_scope"), "left")
@@ -314,8 +327,8 @@ def with_scope(df: DataFrame, table: Table) -> DataFrame:
 def context_col(df: DataFrame, table: Table, c: Column, suite_id: int) -> SparkColumn:
     row = F.encode(F.col(f"`{table.row}`").cast("string"), "UTF-8") if table.row else None
     if table.tenant or row is not None:
-        return canonical_col(table.context(c), suite_id, tenant_bytes(df, table) if table.tenant else None, row)
-    return lit_bytes(canonical(table.context(c), suite_id))
+        return encoded_col(table.binding(c), suite_id, tenant_bytes(df, table) if table.tenant else None, row)
+    return lit_bytes(table.binding(c).encoded(suite_id))
 
 
 def check_metadata(df: DataFrame, table: Table) -> None:

@@ -6,6 +6,7 @@ Catalyst expressions; ``float`` needs the shortest digits that the JVM's cast do
 
 from __future__ import annotations
 
+import datetime
 import math
 from collections.abc import Iterator
 from decimal import Decimal
@@ -35,7 +36,13 @@ def logical_type(t: T.DataType) -> str:
     raise ConfigurationError(f"{t.simpleString()} has no canonical form")
 
 
-def spark_type(logical: str) -> T.DataType:
+def opening_type(logical: str, wide: str | None = None) -> T.DataType:
+    """The type that a logical type opens to; ``wide`` names another one for ints and decimals."""
+    if wide is not None:
+        t = T.DataType.fromDDL(wide)
+        if not isinstance(t, T.DecimalType) or logical not in ("int", "decimal") or (logical == "int" and t.scale):
+            raise ConfigurationError(f"{logical} does not open as {wide}")
+        return t
     return {"string": T.StringType(), "bytes": T.BinaryType(), "int": T.LongType(), "decimal": T.DecimalType(38, 18), "float": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "datetime": T.TimestampType()}[logical]
 
 
@@ -70,6 +77,51 @@ def _refuse(condition: Column, c: Column, what: str) -> Column:
     return F.when(condition, F.raise_error(F.lit(f"RENDERING_REFUSED: {what}")).cast("string")).otherwise(c)
 
 
+def plain_digits(s: Column) -> Column:
+    """A decimal's text without closing zeros; zero has no sign."""
+    s = F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    return F.when(s.isin("-0", ""), F.lit("0")).otherwise(s)
+
+
+def holds(t: T.DataType, source: T.DataType) -> bool:
+    """Whether every value of a source type is a value of t."""
+    digits = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+    of = lambda x: (x.precision - x.scale, x.scale) if isinstance(x, T.DecimalType) else (digits[type(x)], 0)
+    if not isinstance(t, T.DecimalType):
+        return type(source) in digits
+    return all(a >= b for a, b in zip(of(t), of(source)))
+
+
+def fitting(c: Column, source: T.DataType, t: T.DataType) -> Column:
+    """An int or decimal column, refusing values that would open to something else."""
+    if holds(t, source):
+        return c
+    same = plain_digits(c.try_cast(t).cast("string")) == plain_digits(c.cast("string"))  # as numbers they would be rounded first
+    return F.when(c.isNotNull() & ~F.coalesce(same, F.lit(False)), F.raise_error(F.lit(f"RENDERING_REFUSED: no {t.simpleString()} is this number")).cast(source)).otherwise(c)
+
+
+def canonical_bytes(value: object, logical: str) -> bytes:
+    """One value's canonical bytes, on the driver."""
+    if logical == "bytes":
+        return bytes(value)
+    if logical == "string":
+        return value.encode()
+    if logical == "boolean":
+        return b"true" if value else b"false"
+    if logical == "int":
+        return str(int(value)).encode()
+    if logical == "decimal":
+        text = format(Decimal(value), "f")
+        text = text.rstrip("0").rstrip(".") if "." in text else text
+        return b"0" if text in ("-0", "") else text.encode()
+    if logical == "float":
+        return float_text(float(value)).encode()
+    if logical == "date":
+        return value.isoformat().encode()
+    at = value.astimezone(datetime.timezone.utc)
+    return (at.strftime("%Y-%m-%dT%H:%M:%S").rjust(19, "0") + f".{at.microsecond:06d}Z").encode()
+
+
 def render(c: Column, t: T.DataType) -> Column:
     """A column's canonical bytes."""
     kind = logical_type(t)
@@ -79,8 +131,7 @@ def render(c: Column, t: T.DataType) -> Column:
         return F.encode(c, "UTF-8")
     s = c.cast("string")
     if kind == "decimal":
-        s = F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-        s = F.when(s.isin("-0", ""), F.lit("0")).otherwise(s)
+        s = plain_digits(s)
     elif kind == "float":
         d = c.cast("double")
         s = _refuse(F.isnan(d) | F.abs(d).eqNullSafe(F.lit(float("inf"))), _float_text(d), "not a finite number")
@@ -94,7 +145,7 @@ def render(c: Column, t: T.DataType) -> Column:
 
 def parse(b: Column, logical: str, t: T.DataType | None = None) -> Column:
     """The value of canonical bytes; raises for bytes that are not canonical."""
-    t = t or spark_type(logical)
+    t = t or opening_type(logical)
     if logical == "bytes":
         return b
 
@@ -115,7 +166,9 @@ def parse(b: Column, logical: str, t: T.DataType | None = None) -> Column:
     if logical == "boolean":
         return let(text, lambda s: strict(s, s.isin("true", "false"), s == "true"))
     if logical in ("int", "decimal"):
-        return checked(INT if logical == "int" else DECIMAL, lambda s: s.try_cast(t))
+        # what the type does not hold exactly renders to other bytes
+        exact = lambda s, v: s.rlike(INT if logical == "int" else DECIMAL) & v.isNotNull() & (plain_digits(v.cast("string")) == s)
+        return let(text, lambda s: let(s.try_cast(t), lambda v: strict(s, F.coalesce(exact(s, v), F.lit(False)), v)))
     if logical == "float":
         value = text.try_cast("double")
         return strict(text, F.coalesce(_float_text(value) == text, F.lit(False)), value.cast(t))

@@ -1,6 +1,6 @@
 """HMAC-SHA-512 and HKDF, on the driver and as Catalyst expressions.
 
-An HMAC key column is XORed with its pads eight bytes at a time, as longs; all else is sha2 over concatenations.
+An HMAC key column is XORed with its pads as text of one character a byte, by translate(); all else is sha2 over concatenations.
 """
 
 from __future__ import annotations
@@ -47,13 +47,14 @@ def sha512(c: Column) -> Column:
     return F.unhex(F.sha2(c, 512))
 
 
+#: A character a byte. translate() drops what it maps to NUL, so another character stands for it on the way.
+LATIN, BYTES, NUL = "ISO-8859-1", "".join(map(chr, range(256))), chr(256)
+
+
 def _block(key: Column, size: int, pad: int) -> Column:
-    word = int.from_bytes(bytes([pad]) * 8, "big")
-    parts = []
-    for i in range(0, size, 8):
-        long = F.conv(F.hex(F.substring(key, i + 1, 8)), 16, -10).cast("long")
-        parts.append(F.unhex(F.lpad(F.hex(long.bitwiseXOR(F.lit(word))), 16, "0")))
-    return F.concat(*parts, lit_bytes(bytes([pad]) * (BLOCK - size)))
+    to = "".join(chr(b ^ pad) if b != pad else NUL for b in range(256))
+    turned = F.translate(F.decode(key, LATIN), BYTES, to)
+    return F.concat(F.encode(F.replace(turned, F.lit(NUL), F.lit("\0")), LATIN), lit_bytes(bytes([pad]) * (BLOCK - size)))
 
 
 def hmac_padded(ipad: Column, opad: Column, message: Column) -> Column:
@@ -61,7 +62,7 @@ def hmac_padded(ipad: Column, opad: Column, message: Column) -> Column:
 
 
 def hmac_col(key: Column, size: int, message: Column) -> Column:
-    """HMAC under a key column of ``size`` bytes, a multiple of eight up to 128."""
+    """HMAC under a key column of ``size`` bytes, up to 128."""
     return let(key, lambda k: hmac_padded(_block(k, size, IPAD), _block(k, size, OPAD), message))
 
 

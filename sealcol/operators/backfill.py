@@ -1,7 +1,7 @@
 """Bulk jobs over existing tables: encrypt what is not sealed yet, rotate what is under old keys, verify a sample, report.
 
 A value's class is read off its stored bytes: null, current (an envelope), anomalous (of a future format), pending. Work is
-cut into units by a hash of the primary key; a unit's rows are written before its record is, so a run that was killed repeats
+cut into units by a hash of the primary key; units' rows are written before their record is, so a run that was killed repeats
 unfinished units and no others. A run records what decides its bytes and is resumed under the same configuration only.
 """
 
@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 from ..engine import SCOPE, Engine, is_current, with_scope
 from ..errors import ConfigurationError
 from ..functions.envelope import kind_col
-from ..plans.declare import PROCEDURE_VERSION, Table, config_hash, differences, overrides, run_config
+from ..plans.declare import PROCEDURE_VERSION, Table, changed_paths, config_hash, overrides, run_config
 from .census import stored
 
+#: The column that a job's rows are partitioned by.
+UNIT = "seal_unit"
 CLASSES = ("null", "current", "pending", "anomalous")
 
 
@@ -62,13 +64,13 @@ def encrypt(engine: Engine, df: DataFrame, table: Table) -> DataFrame:
             held = F.encode(F.col(f"`{c.name}`").cast("string"), "UTF-8") if text else F.col(f"`{c.name}`")
         df = df.withColumn(f"__old_{c.name}", held)
         if c.index:
-            old = F.col(f"`{c.sibling}`") if c.sibling in df.columns else F.lit(None).cast("binary" if c.index.storage == "binary" else "string")
+            old = F.col(f"`{c.sibling}`") if c.sibling in df.columns else F.lit(None).cast("binary" if not c.index.as_hex else "string")
             df = df.withColumn(f"__oldx_{c.name}", old)
         pending = F.col(f"__k_{c.name}") == "pending"
         if c.source:
             continue
         plain = F.when(pending, F.col(f"`__old_{c.name}`"))
-        df = df.withColumn(c.name, plain if c.logical == "bytes" else _typed(plain, c.logical))
+        df = df.withColumn(c.name, plain if c.logical == "bytes" else _typed(plain, c))
     for c in table.columns:
         if c.source:
             df = df.withColumn(f"__src_{c.name}", F.col(f"`{c.source}`")).withColumn(c.source, F.when(F.col(f"__k_{c.name}") == "pending", F.col(f"`{c.source}`")))
@@ -84,10 +86,10 @@ def encrypt(engine: Engine, df: DataFrame, table: Table) -> DataFrame:
     return df
 
 
-def _typed(plain, logical: str):
+def _typed(plain, c):
     from ..functions.codec import parse
 
-    return parse(plain, logical)
+    return parse(plain, c.logical, c.spark_type)
 
 
 def rotation_pending(engine: Engine, df: DataFrame, table: Table) -> DataFrame:
@@ -191,7 +193,7 @@ class Runner:
         run = found[0]
         if run.procedure_version != PROCEDURE_VERSION:
             raise ConfigurationError(f"run {run_id} follows procedure {run.procedure_version}")
-        changed = differences(run.config, run_config(self.table, run.job, self.engine.write_suite))
+        changed = changed_paths(run.config, run_config(self.table, run.job, self.engine.write_suite))
         if changed:
             raise ConfigurationError(f"the configuration differs in {', '.join(changed)}")
         return run
@@ -202,21 +204,22 @@ class Runner:
         self._save(run, len(run.done) + 1_000_000)
 
     def work(self, run: Run, df: DataFrame, only: int | None = None) -> Run:
-        """Does the units that are not done yet (``only`` so many of them)."""
+        """Does the units that are not done yet (``only`` so many of them), in one job that reads and writes the table once.
+
+        Rows are written by unit; the units are done when the job is, and a job that is killed leaves none of them done.
+        """
         unit = F.pmod(F.xxhash64(*self.table.pk), F.lit(run.units)).cast("int")
-        todo = [u for u in range(run.units) if u not in run.done]
-        for u in todo[:only]:
-            rows = df.filter(unit == u)
-            before = {r["column"]: r for r in counts(rows, self.table).collect()} if run.job == "encrypt" else {}
-            pending = {r["column"]: r["n_pending"] for r in rotation_pending(self.engine, rows, self.table).collect()} if run.job == "rotate" else {}
+        todo = [u for u in range(run.units) if u not in run.done][:only]
+        if todo:
+            rows = df.withColumn(UNIT, unit).filter(F.col(UNIT).isin(todo))
+            before = self._counted(run, rows)
             new = encrypt(self.engine, rows, self.table) if run.job == "encrypt" else self.engine.rotate_table(rows, self.table)
-            new.write.mode("overwrite").parquet(f"{self.out}/unit={u}")
-            for c in self.table.columns:
-                own = run.counts.setdefault(c.uuid.hex(), {})
-                add = {k: before[c.name][f"values_{k}"] or 0 for k in CLASSES} if before else {"pending": pending[c.name] or 0}
-                for k, n in add.items():
-                    own[k] = own.get(k, 0) + n
-            run.done.append(u)
+            new.write.partitionBy(UNIT).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.out)
+            for name, counted in before.items():
+                own = run.counts.setdefault(self.table.column(name).uuid.hex(), {})
+                for k, n in counted.items():
+                    own[k] = own.get(k, 0) + (n or 0)
+            run.done += todo
             self._save(run, len(run.done))
         if len(run.done) == run.units and run.status == "running":
             run.status = "complete"
@@ -224,8 +227,14 @@ class Runner:
             self._save(run, len(run.done) + 1)
         return run
 
+    def _counted(self, run: Run, rows: DataFrame) -> dict[str, dict[str, int]]:
+        """By sealed column, the values of each class before a job."""
+        if run.job == "encrypt":
+            return {r["column"]: {k: r[f"values_{k}"] for k in CLASSES} for r in counts(rows, self.table).collect()}
+        return {r["column"]: {"pending": r["n_pending"]} for r in rotation_pending(self.engine, rows, self.table).collect()}
+
     def result(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.out).parquet(f"{self.out}/unit=*").drop("unit")
+        return self.spark.read.option("basePath", self.out).parquet(f"{self.out}/{UNIT}=*").drop(UNIT)
 
     def report(self, run: Run) -> dict:
         """Counts and exceptions of a run. Complete means that all units are done, not that every value is sealed."""

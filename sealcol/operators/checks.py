@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..errors import ConfigurationError
 from ..functions.codec import logical_type
-from ..plans.declare import ARGON2, META, Table
+from ..plans.declare import META, Table
 
 
 @dataclass(frozen=True)
@@ -37,11 +37,11 @@ def validate(tables: list[Table], frames: dict[str, DataFrame] | None = None) ->
             where = f"{t.name}.{c.name}"
             if c.sibling in names:
                 out.append(Issue("E003", where, "its index column is sealed itself"))
-            if c.index and c.index.on_unindexable == "bucket":
+            if c.index and c.index.bucket:
                 out.append(Issue("W002", where, "unindexable values share one bucket that is known by its frequency"))
-            if c.index and c.index.cardinality_override:
+            if c.index and c.index.few:
                 out.append(Issue("W003", where, "is indexed under an override: few or skewed values"))
-            if c.index and c.index.idf == ARGON2 and t.tenant:
+            if c.index and c.index.slow and t.tenant:
                 out.append(Issue("W004", where, "costs one argon2id call for each value and tenant"))
             if c.storage == "base64":
                 out.append(Issue("W005", where, "takes a third more room as text"))

@@ -17,14 +17,17 @@ from ..engine import SCOPE, Engine, tenant_bytes, with_scope
 from ..errors import NotSupported, SealError
 from ..functions import codec
 from ..functions import normalize as N
-from ..functions.crypto import hmac_padded, truncate_col
 from ..plans import predicates as P
 from ..plans.context import lit_bytes
-from ..plans.declare import ARGON2, Table
+from ..plans.declare import Table
 from ..plans.declare import Column as SealedColumn
 from ..plans.keys import Labels  # noqa: F401  (part of the public face)
 
 
+#: Index values up to which a lookup under many tenants is pushed to the scan as well.
+PUSHED = 1000
+
+
 class SealedFrame:
     def __init__(self, engine: Engine, df: DataFrame, table: Table):
         self.engine, self.df, self.table = engine, df, table
@@ -49,13 +52,11 @@ class SealedFrame:
         values = [v for v in term.values if v is not None]
         if not values:
             return c, [], []
-        kind = codec.spark_type(c.logical)
-        one = self.engine.spark.createDataFrame([(v,) for v in values], f"v {kind.simpleString()}")
-        rendered = [bytes(r["b"]) for r in one.select(codec.render(F.col("v"), kind).alias("b")).collect()]
+        rendered = [codec.canonical_bytes(v, c.logical) for v in values]
         norms, bare = [], []
         for raw in rendered:
-            norm = N.normalize(c.index.normalize, raw)
-            if norm is None and c.index.on_unindexable == "refuse":
+            norm = N.normalize(c.index.form, raw)
+            if norm is None and not c.index.bucket:
                 raise SealError("INVALID_ARGUMENT", "a value to look up has no normal form")
             (bare if norm is None else norms).append(raw if norm is None else norm)
         return c, norms, bare
@@ -67,19 +68,24 @@ class SealedFrame:
             return df.filter(F.lit(False))
         index, sibling = c.index, F.col(f"`{c.sibling}`")
         if self.table.tenant and tenant is None:
-            # every tenant has its own index key: targets are computed per row's tenant
-            if index.idf == ARGON2:
+            # every tenant has its own index key: the targets of each, once, meet the rows on tenant and index value
+            if index.slow:
                 raise NotSupported("an argon2id index of a table with tenants is asked for one tenant at a time")
+            scopes = self.engine._scopes(df, self.table)
+            self.engine.provider.warm(scopes)
+            targets = [(s, b) for s in scopes for b in dict.fromkeys(self.engine._derive(m, self.table.binding(c, s), index) for m in messages)]
+            told = list(dict.fromkeys(b for _, b in targets))
+            if len(told) <= PUSHED:  # the scan leaves out what no tenant asks for
+                df = df.filter(sibling.isin(*[b.hex() for b in told]) if index.as_hex else sibling.isin(*[lit_bytes(b) for b in told]))
+            rows = [(bytearray(s), b.hex() if index.as_hex else bytearray(b)) for s, b in targets]
+            asked = self.engine._small(rows, f"t_scope binary, t_index {'string' if index.as_hex else 'binary'}")
             df = with_scope(df, self.table)
-            df = df.join(self.engine.index_pads(self.engine._scopes(df, self.table), self.table, c), F.col(SCOPE) == F.col("x_scope"))
-            values = [truncate_col(hmac_padded(F.col("x_ipad"), F.col("x_opad"), lit_bytes(m)), index.truncate_bits) for m in messages]
-            values = [F.lower(F.hex(v)) if index.storage == "hex" else v for v in values]
-            return df.filter(reduce(lambda a, b: a | b, [sibling == v for v in values])).drop(SCOPE, "x_scope", "x_ipad", "x_opad", "x_salt")
-        ctx = self.table.context(c, tenant)
+            return df.join(asked, (F.col(SCOPE) == F.col("t_scope")) & (sibling == F.col("t_index")), "left_semi").drop(SCOPE)
+        ctx = self.table.binding(c, tenant)
         found = list(dict.fromkeys(self.engine._derive(m, ctx, index) for m in messages))
         if self.table.tenant:
             df = df.filter(tenant_bytes(df, self.table) == lit_bytes(tenant))
-        return df.filter(sibling.isin(*[b.hex() for b in found]) if index.storage == "hex" else sibling.isin(*[lit_bytes(b) for b in found]))
+        return df.filter(sibling.isin(*[b.hex() for b in found]) if index.as_hex else sibling.isin(*[lit_bytes(b) for b in found]))
 
     def _verify(self, df: DataFrame, term: P.In) -> DataFrame:
         """Rows whose own normal form is a target's; values without one are compared by their bytes."""
@@ -87,9 +93,8 @@ class SealedFrame:
         if not norms and not bare:
             return df.filter(F.lit(False))
         opened = self.engine.open(df.withColumn(f"__v_{c.name}", F.col(f"`{c.name}`")), self.table, (c.name,))
-        kind = codec.spark_type(c.logical)
-        plain = codec.render(F.col(f"`{c.name}`"), kind)
-        norm = N.normalize_col(c.index.normalize, F.col(f"`{c.name}`"), plain)
+        plain = codec.render(F.col(f"`{c.name}`"), c.spark_type)
+        norm = N.normalize_col(c.index.form, F.col(f"`{c.name}`"), plain)
         hit = F.lit(False)
         if norms:
             hit = hit | F.coalesce(norm.isin(*[lit_bytes(m) for m in norms]), F.lit(False))

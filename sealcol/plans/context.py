@@ -1,4 +1,9 @@
-"""What an envelope or an index value is bound to, and its injective encoding."""
+"""What sealed bytes belong to, and how that is laid out.
+
+A binding names a declared column of a table and what its bytes are for: envelopes, or the values of one of its indexes. Where
+tables have tenants or bound rows, it names those too. Its layout is injective: a byte that tells which optional parts are
+there, then each part behind its length.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +16,9 @@ from pyspark.sql import functions as F
 from ..errors import ConfigurationError, InvalidArgument
 from .suites import FORMAT, suite
 
-INDEX_ID = re.compile(r"[a-z0-9-]{1,32}\Z")
-ENCRYPT = "encrypt"
+INDEX_NAME = re.compile(r"[a-z0-9-]{1,32}\Z")
+#: Fixed values of the layout: what bytes are for.
+FOR_ENVELOPES, FOR_INDEX = b"encrypt", b"index:"
 
 
 def sized(b: bytes) -> bytes:
@@ -20,42 +26,42 @@ def sized(b: bytes) -> bytes:
 
 
 @dataclass(frozen=True)
-class FieldContext:
-    table_uuid: bytes
-    column_uuid: bytes
-    purpose: str = ENCRYPT
-    tenant_id: bytes | None = None
-    row_id: bytes | None = None
+class Binding:
+    """``owner``: the ids of table and column, 32 bytes. ``index``: the name of one of its indexes, or None for its envelopes."""
+
+    owner: bytes
+    index: str | None = None
+    tenant: bytes | None = None
+    row: bytes | None = None
 
     def __post_init__(self):
-        for name in ("table_uuid", "column_uuid"):
-            v = getattr(self, name)
-            if not isinstance(v, bytes) or len(v) != 16:
-                raise InvalidArgument(f"{name} is 16 bytes")
-        for name in ("tenant_id", "row_id"):
-            v = getattr(self, name)
-            if v is not None and not isinstance(v, bytes):
-                raise InvalidArgument(f"{name} is bytes or None")
-        if self.purpose != ENCRYPT and not (self.purpose.startswith("index:") and INDEX_ID.match(self.purpose[6:])):
-            raise ConfigurationError("a purpose is 'encrypt' or 'index:' with 1 to 32 of a-z, 0-9 and '-'")
-
-    def for_index(self, index_id: str) -> FieldContext:
-        return replace(self, purpose=f"index:{index_id}", row_id=None)
+        wrong = [type(x).__name__ for x in (self.owner, self.tenant, self.row) if not isinstance(x, (bytes, type(None)))]
+        if wrong or self.owner is None or len(self.owner) != 32:
+            raise InvalidArgument("a binding is of two ids of 16 bytes each; a tenant and a row are bytes")
+        if self.index is not None and not INDEX_NAME.match(self.index):
+            raise ConfigurationError("an index's name is 1 to 32 of a-z, 0-9 and '-'")
 
     @property
     def scope(self) -> bytes:
         """The tenant whose keys apply; empty where there are no tenants."""
-        return self.tenant_id or b""
+        return self.tenant or b""
 
+    def of_index(self, name: str) -> Binding:
+        """The values of an index belong to no row."""
+        return replace(self, index=name, row=None)
 
-def canonical(ctx: FieldContext, suite_id: int) -> bytes:
-    presence = (ctx.tenant_id is not None) | (ctx.row_id is not None) << 1
-    fields = [suite(suite_id).id.to_bytes(2, "big"), ctx.table_uuid, ctx.column_uuid, ctx.tenant_id, ctx.row_id, ctx.purpose.encode()]
-    return bytes([presence]) + b"".join(sized(f) for f in fields if f is not None)
+    def head(self, suite_id: int, tenant: bool, row: bool) -> bytes:
+        """The layout up to the tenant."""
+        there = sum(bit for bit, ok in ((1, tenant), (2, row)) if ok)
+        return bytes([there]) + b"".join(map(sized, (suite(suite_id).id.to_bytes(2, "big"), self.owner[:16], self.owner[16:])))
 
+    def tail(self) -> bytes:
+        """The layout after the row."""
+        return sized(FOR_ENVELOPES if self.index is None else FOR_INDEX + self.index.encode())
 
-def aad(key_id: bytes, seed: bytes, ctx: FieldContext, suite_id: int) -> bytes:
-    return sized(bytes([FORMAT])) + sized(key_id) + sized(seed) + canonical(ctx, suite_id)
+    def encoded(self, suite_id: int) -> bytes:
+        optional = [sized(x) for x in (self.tenant, self.row) if x is not None]
+        return self.head(suite_id, self.tenant is not None, self.row is not None) + b"".join(optional) + self.tail()
 
 
 def lit_bytes(b: bytes) -> Column:
@@ -66,17 +72,12 @@ def sized_col(c: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 16, "0")), c)
 
 
-def canonical_col(ctx: FieldContext, suite_id: int, tenant: Column | None = None, row: Column | None = None) -> Column:
-    """canonical() per row: tenant and row, where given, are binary columns that are never null."""
-    presence = (tenant is not None or ctx.tenant_id is not None) | (row is not None or ctx.row_id is not None) << 1
-    parts = [lit_bytes(bytes([presence]) + sized(suite_id.to_bytes(2, "big")) + sized(ctx.table_uuid) + sized(ctx.column_uuid))]
-    for c, fixed in ((tenant, ctx.tenant_id), (row, ctx.row_id)):
-        if c is not None:
-            parts.append(sized_col(c))
-        elif fixed is not None:
-            parts.append(lit_bytes(sized(fixed)))
-    return F.concat(*parts, lit_bytes(sized(ctx.purpose.encode())))
+def encoded_col(binding: Binding, suite_id: int, tenant: Column | None = None, row: Column | None = None) -> Column:
+    """encoded() per row: tenant and row, where given, are binary columns that are never null and stand for the binding's own."""
+    parts = [sized_col(c) if c is not None else lit_bytes(sized(own)) for c, own in ((tenant, binding.tenant), (row, binding.row)) if c is not None or own is not None]
+    head = binding.head(suite_id, tenant is not None or binding.tenant is not None, row is not None or binding.row is not None)
+    return F.concat(lit_bytes(head), *parts, lit_bytes(binding.tail()))
 
 
-def aad_col(key_id: Column, seed: Column, canonical_context: Column) -> Column:
-    return F.concat(lit_bytes(sized(bytes([FORMAT])) + (16).to_bytes(8, "big")), key_id, lit_bytes((32).to_bytes(8, "big")), seed, canonical_context)
+def aad_col(key_id: Column, seed: Column, layout: Column) -> Column:
+    return F.concat(lit_bytes(sized(bytes([FORMAT])) + (16).to_bytes(8, "big")), key_id, lit_bytes((32).to_bytes(8, "big")), seed, layout)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 from dataclasses import asdict, dataclass, field
 
 from ..errors import ConfigurationError
 from ..functions import normalize as N
-from ..functions.codec import LOGICAL
-from .context import INDEX_ID, FieldContext
+from ..functions.codec import LOGICAL, opening_type
+from .context import INDEX_NAME, Binding
 from .suites import AES_GCM, suite
 
 HMAC, ARGON2 = "hmac-sha512", "argon2id"
@@ -34,61 +33,80 @@ class Override:
             raise ConfigurationError("an override has a reason, a name and a date")
 
 
+@dataclass(frozen=True)
+class Slow:
+    """The cost of an argon2id index: passes, and KiB of memory."""
+
+    passes: int = LEAST_TIME
+    kib: int = LEAST_MEMORY
+
+
 @dataclass(frozen=True)
 class Index:
-    """A blind index on a column."""
-
-    truncate_bits: int
-    projected_population: int
-    suite_id: int
-    index_id: str = "exact"
-    idf: str = HMAC
-    normalize: str = N.IDENTITY
-    time_cost: int = LEAST_TIME
-    memory_kib: int = LEAST_MEMORY
-    storage: str = "binary"
+    """A blind index: how many leading bits of a keyed function of a value's normal form are stored.
+
+    ``population`` is how many different values are expected in time. ``slow`` makes it argon2id instead of HMAC. ``few`` is
+    the record that allows an index over few or skewed values, ``bucket`` the one that gives values without a normal form
+    a bucket of their own, where they would be refused.
+    """
+
+    bits: int
+    population: int
+    suite: int = AES_GCM.id
+    name: str = "exact"
+    form: str = N.IDENTITY
+    slow: Slow | None = None
+    as_hex: bool = False
     skewed: bool = False
-    cardinality_override: Override | None = None
-    on_unindexable: str = "refuse"
-    unindexable_override: Override | None = None
+    few: Override | None = None
+    bucket: Override | None = None
 
     def __post_init__(self):
-        def need(ok: bool, what: str) -> None:
-            if not ok:
-                raise ConfigurationError(f"index {self.index_id!r}: {what}")
-
-        whole = lambda x: isinstance(x, int) and not isinstance(x, bool)
-        need(isinstance(self.index_id, str) and bool(INDEX_ID.match(self.index_id)), "an id is 1 to 32 of a-z, 0-9 and '-'")
-        suite(self.suite_id)
-        need(self.idf in (HMAC, ARGON2), f"the function is {HMAC} or {ARGON2}")
-        if self.idf == ARGON2:
-            need(whole(self.time_cost) and self.time_cost >= LEAST_TIME and whole(self.memory_kib) and self.memory_kib >= LEAST_MEMORY, f"argon2id takes at least {LEAST_TIME} passes and {LEAST_MEMORY} KiB")
-        N.check(self.normalize)
-        need(self.storage in ("binary", "hex"), "storage is 'binary' or 'hex'")
-        p, b = self.projected_population, self.truncate_bits
-        need(whole(p) and p >= 16, "a projected population is an integer from 16 on")
-        need(whole(b) and 1 <= b <= 512, "bits are 1 to 512")
-        need(2 <= p / 2**b < math.sqrt(p), f"{b} bits are outside 2 <= P / 2**b < sqrt(P) for P = {p}")
-        need(not (p < CARDINALITY_GATE or self.skewed) or self.cardinality_override is not None, "few or skewed values need a recorded override")
-        need(self.on_unindexable in ("refuse", "bucket"), "on_unindexable is 'refuse' or 'bucket'")
-        if self.on_unindexable == "bucket":
-            need(self.normalize in N.REFUSING, "only a normal form that refuses values has a bucket for them")
-            need(self.unindexable_override is not None, "a bucket for unindexable values needs a recorded override")
+        suite(self.suite)
+        N.check(self.form)
+        for problem in self._problems():
+            raise ConfigurationError(f"index {self.name!r}: {problem}")
+
+    def _problems(self):
+        if not isinstance(self.name, str) or not INDEX_NAME.match(self.name):
+            yield "a name is 1 to 32 of a-z, 0-9 and '-'"
+        numbers = [self.bits, self.population, *([self.slow.passes, self.slow.kib] if self.slow else [])]
+        if any(type(x) is not int for x in numbers):
+            yield "bits, population and costs are integers"
+        if self.slow and (self.slow.passes < LEAST_TIME or self.slow.kib < LEAST_MEMORY):
+            yield f"argon2id takes at least {LEAST_TIME} passes and {LEAST_MEMORY} KiB"
+        if self.population < 16 or not 1 <= self.bits <= 512:
+            yield "a population is 16 at least, bits are 1 to 512"
+        values = self.population / 2**self.bits
+        if values < 2 or values * values >= self.population:
+            yield f"{self.bits} bits leave {values:.3g} values a bucket, outside 2 <= P / 2**b < sqrt(P) for P = {self.population}"
+        if (self.skewed or self.population < CARDINALITY_GATE) and not self.few:
+            yield "few or skewed values need a record that allows them"
+        if self.bucket and self.form not in N.REFUSING:
+            yield "only a normal form that refuses values has a bucket for them"
+
+    @property
+    def function(self) -> str:
+        return ARGON2 if self.slow else HMAC
 
     def recorded(self) -> dict:
-        """What decides the stored bytes."""
-        argon = {"memory_kib": self.memory_kib, "time_cost": self.time_cost} if self.idf == ARGON2 else None
-        return {"index_id": self.index_id, "idf": self.idf, "argon2": argon, "normalize": self.normalize, "truncate_bits": self.truncate_bits, "on_unindexable": self.on_unindexable, "storage": self.storage, "suite_id": self.suite_id}
+        """What decides the stored bytes, under the fixed names of the configuration document."""
+        costs = {"memory_kib": self.slow.kib, "time_cost": self.slow.passes} if self.slow else None
+        return {"index_id": self.name, "idf": self.function, "argon2": costs, "normalize": self.form, "truncate_bits": self.bits, "on_unindexable": "bucket" if self.bucket else "refuse", "storage": "hex" if self.as_hex else "binary", "suite_id": self.suite}
 
 
 def bits_for(population: int) -> int:
     """The most bits that leave two values a bucket on average."""
-    return int(math.log2(population / 2))
+    return population.bit_length() - 2
 
 
 @dataclass(frozen=True)
 class Column:
-    """A sealed column: its surrogate id, its logical type, its index, and where the envelope is stored."""
+    """A sealed column: its surrogate id, its logical type, its index, and where the envelope is stored.
+
+    ``opens_as`` is the Spark type that an int or a decimal opens to, where it is wider than bigint or not decimal(38,18); what
+    that type does not hold exactly is refused when it is sealed.
+    """
 
     name: str
     uuid: bytes
@@ -96,6 +114,7 @@ class Column:
     index: Index | None = None
     storage: str = "binary"
     source: str | None = None
+    opens_as: str | None = None
 
     def __post_init__(self):
         if len(self.uuid) != 16:
@@ -104,6 +123,11 @@ class Column:
             raise ConfigurationError(f"{self.name}: {self.logical!r} is none of {', '.join(LOGICAL)}")
         if self.storage not in ("binary", "base64"):
             raise ConfigurationError(f"{self.name}: storage is 'binary' or 'base64'")
+        self.spark_type  # noqa: B018  (refuses what is no type for it)
+
+    @property
+    def spark_type(self):
+        return opening_type(self.logical, self.opens_as)
 
     @property
     def sibling(self) -> str:
@@ -135,12 +159,12 @@ class Table:
             raise ConfigurationError(f"{name} is not a sealed column of {self.name}")
         return self.by_name[name]
 
-    def context(self, c: Column, tenant: bytes | None = None) -> FieldContext:
-        return FieldContext(self.uuid, c.uuid, tenant_id=tenant)
+    def binding(self, c: Column, tenant: bytes | None = None) -> Binding:
+        return Binding(self.uuid + c.uuid, tenant=tenant)
 
     def metadata(self, c: Column) -> dict:
         """A column's declaration, as it travels in a schema; what it must equal when read again."""
-        return {META: json.dumps({"table": self.uuid.hex(), "column": c.uuid.hex(), "logical": c.logical, "storage": c.storage, "tenant": self.tenant, "row": self.row, "index": c.index.recorded() if c.index else None}, sort_keys=True)}
+        return {META: json.dumps({"table": self.uuid.hex(), "column": c.uuid.hex(), "logical": c.logical, "storage": c.storage, "tenant": self.tenant, "row": self.row, "index": c.index.recorded() if c.index else None, **({"opens_as": c.opens_as} if c.opens_as else {})}, sort_keys=True)}
 
 
 def run_config(table: Table, job: str, write_suite: int = AES_GCM.id, cursor_types: dict[str, str] | None = None, tenant_type: str = "text") -> dict:
@@ -158,21 +182,18 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(text.encode("ascii")).hexdigest()
 
 
-def differences(stored: dict, live: dict, at: str = "") -> list[str]:
-    """Members that differ, by path."""
-    out = []
-    for k in sorted(set(stored) | set(live)):
-        a, b, path = stored.get(k), live.get(k), f"{at}{k}"
-        if isinstance(a, dict) and isinstance(b, dict):
-            out += differences(a, b, path + ".")
-        elif isinstance(a, list) and isinstance(b, list) and len(a) == len(b) and all(isinstance(x, dict) for x in a + b):
-            for i, (x, y) in enumerate(zip(a, b)):
-                out += differences(x, y, f"{path}[{i}].")
-        elif a != b or (k in stored) != (k in live):
-            out.append(path)
-    return out
+def leaves(config: object, at: str = "") -> set[tuple[str, str]]:
+    """A document as (path, value) pairs; empty lists and objects are values."""
+    inside = config.items() if isinstance(config, dict) else enumerate(config) if isinstance(config, list) else ()
+    found = {x for k, v in inside for x in leaves(v, f"{at}/{k}")}
+    return found or {(at, json.dumps(config))}
+
+
+def changed_paths(stored: dict, live: dict) -> list[str]:
+    """Where two documents do not hold the same."""
+    return sorted({path for path, _ in leaves(stored) ^ leaves(live)})
 
 
 def overrides(table: Table) -> list[dict]:
     """Exceptions on record, for reports."""
-    return [{"column": c.name, "kind": kind, **asdict(o)} for c in table.columns if c.index for kind, o in (("cardinality", c.index.cardinality_override), ("unindexable", c.index.unindexable_override)) if o]
+    return [{"column": c.name, "kind": kind, **asdict(o)} for c in table.columns if c.index for kind, o in (("cardinality", c.index.few), ("unindexable", c.index.bucket)) if o]

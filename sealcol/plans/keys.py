@@ -152,13 +152,18 @@ class KeyCache:
         held[0][:] = bytes(len(held[0]))
         self.evictions += 1
 
-    def put(self, name: tuple, key: bytes) -> None:
+    def put(self, name: tuple, key: bytes, keep: set[tuple] = frozenset()) -> None:
+        """Those in ``keep`` make no room: a job's own keys, which may be more than the capacity until the next job."""
         if name in self._held:
             self._drop(name)
-        while len(self._held) >= self.capacity:
-            self._drop(next(iter(self._held)))
+        if len(self._held) >= self.capacity:
+            self.trim(self.capacity - 1, keep)
         self._held[name] = [bytearray(key), self._clock(), 0]
 
+    def trim(self, size: int, keep: set[tuple] = frozenset()) -> None:
+        for name in [n for n in self._held if n not in keep][: max(0, len(self._held) - size)]:
+            self._drop(name)
+
     def peek(self, name: tuple) -> bool:
         held = self._held.get(name)
         return held is not None and self._clock() - held[1] < self.max_age
@@ -193,12 +198,17 @@ class EnvelopeKeyProvider:
         self.directory, self.wrapper, self.cache = directory, wrapper, cache or KeyCache()
 
     def warm(self, scopes: list[bytes]) -> None:
+        """Unwraps what a job needs. All of it stays until the next job is warmed, however many scopes there are."""
+        wrapped = {}
         for scope in dict.fromkeys(scopes):
-            for k in self.directory.keys.get(scope, []):
-                if not self.cache.peek(("dek", k.key_id)):
-                    self.cache.put(("dek", k.key_id), self.wrapper.unwrap(k.wrapped_dek))
-            if scope in self.directory.index_keys and not self.cache.peek(("index", scope)):
-                self.cache.put(("index", scope), self.wrapper.unwrap(self.directory.index_keys[scope]))
+            wrapped |= {("dek", k.key_id): k.wrapped_dek for k in self.directory.keys.get(scope, [])}
+            if scope in self.directory.index_keys:
+                wrapped["index", scope] = self.directory.index_keys[scope]
+        own = set(wrapped)
+        self.cache.trim(self.cache.capacity, own)
+        for name, key in wrapped.items():
+            if not self.cache.peek(name):
+                self.cache.put(name, self.wrapper.unwrap(key), own)
 
     def data_keys(self, scope: bytes) -> list[DataKey]:
         own = sorted(self.directory.keys.get(scope, []), key=lambda k: not k.active)

@@ -10,13 +10,6 @@ from pyspark.sql import Column as SparkColumn
 from ..errors import NotSupported
 from .declare import Table
 
-#: Lookups that no equality index answers.
-REFUSED_LOOKUPS = (
-    "contains", "icontains", "startswith", "istartswith", "endswith", "iendswith", "iexact", "gt", "gte", "lt", "lte", "range",
-    "regex", "iregex", "search", "year", "month", "day",
-)
-
-
 class Predicate:
     def __and__(self, other: Predicate) -> Predicate:
         return And((self, other))
@@ -147,9 +140,19 @@ def conjuncts(p: Predicate, table: Table, verified: bool) -> list[Predicate]:
 
 
 def check_plain(condition: SparkColumn, table: Table) -> None:
-    """Refuse conditions that read an envelope or an index value as if it were data."""
-    text = str(condition)
+    """Refuse conditions that read an envelope or an index value as if it were data: by the attributes an expression refers to."""
+    read = attributes(condition)
     for c in table.columns:
         for name in (c.name, c.sibling):
-            if re.search(rf"(?<!\w){re.escape(name)}(?!\w)", text):
+            if name.lower() in read:
                 raise NotSupported(f"{name} holds sealed bytes; filter with ref({c.name!r}) or on the decrypted view")
+
+
+def attributes(condition: SparkColumn) -> set[str]:
+    """The names of the columns that an expression refers to, lower-cased; of SQL text, all its words outside of strings."""
+    tree = condition._jc.node().toString()
+    names = {part for m in re.finditer(r"UnresolvedAttribute\(List\(([^()]*)\)", tree) for part in m[1].split(", ")}
+    names |= {m[1] for m in re.finditer(r"ExpressionColumnNode\((\w+)#\d+", tree)}
+    for m in re.finditer(r"SqlExpression\((.*?),Origin\(", tree, re.DOTALL):
+        names |= set(re.findall(r"\w+", re.sub(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\"""", "", m[1])))
+    return {n.lower() for n in names}

@@ -7,6 +7,7 @@ sealed table. Keys are of this module, for demonstration.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import warnings
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .engine import Engine
+from .errors import ConfigurationError
 from .functions import codec
 from .functions.normalize import CASEFOLD, DIGITS, IDENTITY, casefold, normalize_col
 from .operators import backfill, census, leakage
 from .operators.frame import SealedFrame
-from .plans.declare import ARGON2, Column, Index, Override, Table, bits_for
+from .plans.declare import Column, Index, Override, Slow, Table, bits_for
 from .plans.keys import DerivedKeyProvider
 from .plans.predicates import Plain, ref
 from .plans.suites import AES_GCM
@@ -45,7 +47,11 @@ def _engine(spark: SparkSession, provider=None, **options) -> Engine:
 def _stored(df: DataFrame) -> DataFrame:
     """Written to the folder that driver and executors share, and read again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "sealcol-shared")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ConfigurationError("spark.checkpoint.dir names the folder that driver and executors share; it is not set")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "sealcol-shared")
     path = f"{base.rstrip('/')}/sealed-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
@@ -54,7 +60,7 @@ def _stored(df: DataFrame) -> DataFrame:
 def _index(population: int, normalize: str = IDENTITY, **more) -> Index:
     """An index for a column of so many values; the override is on record for columns below the gate."""
     p = max(16, population)
-    return Index(truncate_bits=bits_for(p), projected_population=p, suite_id=SUITE, normalize=normalize, cardinality_override=DEMO, **more)
+    return Index(bits=bits_for(p), population=p, suite=SUITE, form=normalize, few=DEMO, **more)
 
 
 def _with_nulls(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -147,6 +153,15 @@ def candidates_superset(spark, sf):
     return _customers(spark, sf).candidates(ref("c_name").isin(*_some(spark, sf))).rows().select("c_custkey")
 
 
+@query(f"SELECT count(*) AS n_answers, true AS contained FROM {C} WHERE c_name IN {N3}")
+def candidates_contain_answers(spark, sf):
+    """Every verified row is among the candidates, which are no fewer."""
+    f, asked = _customers(spark, sf), ref("c_name").isin(*_some(spark, sf))
+    rows = f.candidates(asked).rows().select("c_custkey").withColumn("candidate", F.lit(True))
+    both = f.filter(asked).df.select("c_custkey").join(rows, "c_custkey", "left")
+    return both.agg(F.count(F.lit(1)).alias("n_answers"), F.coalesce(F.bool_and(F.coalesce("candidate", F.lit(False))), F.lit(True)).alias("contained"))
+
+
 @query(f"SELECT count(*) AS n FROM {C} WHERE c_name IN {N3}")
 def count_verified(spark, sf):
     return _one(spark, n=_customers(spark, sf).filter(ref("c_name").isin(*_some(spark, sf))).count())
@@ -248,19 +263,12 @@ def join_decrypted(spark, sf):
     return n.join_decrypted("n_nationkey", s, "s_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT o_orderkey, n FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 400) LEFT JOIN (SELECT c_custkey, count(*) AS n FROM {C} WHERE c_name IS NOT NULL AND c_custkey < 60 GROUP BY 1) ON c_custkey = o_custkey")
+@query(f"SELECT o_orderkey, n FROM orders LEFT JOIN (SELECT c_custkey, count(*) AS n FROM {C} WHERE c_name IS NOT NULL GROUP BY 1) ON c_custkey = o_custkey")
 def nested_include_verified(spark, sf):
-    """Verified children in an array under each parent row. Its SQL asks for some orders, and the children of some customers."""
-    return _nested(spark, sf).filter("o_orderkey < 400").select("o_orderkey", F.when(F.col("o_custkey") < 60, F.col("n")).alias("n"))
-
-
-def _nested(spark: SparkSession, sf: str) -> DataFrame:
-    """o_orderkey, o_custkey, n of all orders, stored: all customers are verified."""
+    """Verified children in an array under each parent row."""
     child = _customers(spark, sf).filter(ref("c_name").is_not_null())
-    nested = child.df.groupBy("c_custkey").agg(F.collect_list(F.struct("c_name")).alias("cs"))
-    orders = _read(spark, sf, "orders")
-    out = orders.join(nested, orders.o_custkey == nested.c_custkey, "left")
-    return _stored(out.select("o_orderkey", "o_custkey", F.when(F.col("cs").isNotNull(), F.size("cs").cast("long")).alias("n")))
+    parent = SealedFrame(child.engine, _read(spark, sf, "orders").select("o_orderkey", "o_custkey"), Table("orders", _id("orders"), (), pk=("o_custkey",)))
+    return parent.include(child, "c_custkey", "children").select("o_orderkey", F.when(F.col("children").isNotNull(), F.size("children").cast("long")).alias("n"))
 
 
 @query(f"SELECT c_custkey, c_name FROM {C} WHERE c_name IN {N3} OR c_name = {N1}")
@@ -295,6 +303,14 @@ def bucket_group(spark, sf):
     return _customers(spark, sf).bucket_groups("c_name")
 
 
+@query(f"SELECT count(*) AS n_rows, true AS bounded FROM {C}")
+def bucket_group_bounds(spark, sf):
+    """Buckets hold all rows, and are no more than the index has bits for, besides that of null."""
+    f = _customers(spark, sf)
+    bits = f.table.column("c_name").index.bits
+    return f.bucket_groups("c_name").agg(F.sum("bucket_rows").alias("n_rows"), (F.count("bucket_c_name") <= F.lit(2**bits)).alias("bounded"))
+
+
 @query(f"SELECT c_mktsegment, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS n FROM {C} GROUP BY 1")
 def conditional_count_after_decrypt(spark, sf):
     return _customers(spark, sf).decrypted("c_acctbal").groupBy("c_mktsegment").agg(F.sum(F.when(F.col("c_acctbal") > 0, 1).otherwise(0)).alias("n"))
@@ -320,14 +336,14 @@ def delete_verified(spark, sf):
     return f.delete(f.filter(ref("c_name").eq(_some(spark, sf)[0]))).select("c_custkey")
 
 
-def _codec(table: str, key: str, source, logical: str, sql: str):
+def _codec(table: str, key: str, source, logical: str, sql: str, opens_as: str | None = None, name: str = ""):
     """A type's canonical bytes as text, through an envelope and back."""
 
     def run(spark, sf):
         engine = _engine(spark)
         df = _read(spark, sf, table)
         df = df.select(key, source().alias("v"))
-        t = Table(f"codec-{logical}", _id(f"codec.{logical}"), (Column("v", _id(f"codec.{logical}.v"), logical),), pk=(key,))
+        t = Table(f"codec-{logical}", _id(f"codec.{logical}"), (Column("v", _id(f"codec.{logical}.v"), logical, opens_as=opens_as),), pk=(key,))
         kind = df.schema["v"].dataType
         sealed = _stored(engine.seal(df, t))
         raw = engine.open(sealed, t, ("v",), raw=True)
@@ -337,7 +353,7 @@ def _codec(table: str, key: str, source, logical: str, sql: str):
         again = codec.render(F.col("back"), kind)
         return joined.select(key, "canonical", (again.cast("string") == F.col("canonical") if logical != "bytes" else F.sha2("back", 256) == F.col("canonical")).alias("same"))
 
-    run.__name__ = f"codec_{logical}"
+    run.__name__ = f"codec_{name or logical}"
     query(sql)(run)
 
 
@@ -350,6 +366,11 @@ _codec("orders", "o_orderkey", lambda: F.col("o_totalprice") > 50000, "boolean",
 _codec("orders", "o_orderkey", lambda: F.col("o_orderdate").cast("date"), "date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS canonical, true AS same FROM orders")
 _codec("events", "event_id", lambda: F.to_utc_timestamp(F.col("ts").cast("string").cast("timestamp"), "UTC"), "datetime", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS canonical, true AS same FROM events")
 
+DIGITS22 = "1234567890123456789012"
+_codec("orders", "o_orderkey", lambda: F.concat((F.col("o_orderkey") % 10).cast("string"), F.lit(f".{DIGITS22}"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0")).cast("decimal(38,25)"), "decimal", f"SELECT o_orderkey, regexp_replace(concat(o_orderkey % 10, '.{DIGITS22}', lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0')), '\\.?0+$', '') AS canonical, true AS same FROM orders", "decimal(38,25)", "decimal_wide")
+_codec("orders", "o_orderkey", lambda: F.concat(F.lit(f"-{DIGITS22}"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(".50")).cast("decimal(38,4)"), "decimal", f"SELECT o_orderkey, concat('-{DIGITS22}', lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'), '.5') AS canonical, true AS same FROM orders", "decimal(38,4)", "decimal_long")
+_codec("orders", "o_orderkey", lambda: F.concat(F.lit(f"{DIGITS22}34"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")).cast("decimal(30,0)"), "int", f"SELECT o_orderkey, concat('{DIGITS22}34', lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0')) AS canonical, true AS same FROM orders", "decimal(38,0)", "int_wide")
+
 
 @query("SELECT p_partkey, regexp_replace(p_brand, '[^0-9]', '', 'g') AS digits FROM part")
 def normalize_digits(spark, sf):
@@ -371,7 +392,7 @@ def casefold_eq(spark, sf):
 def argon2_verified(spark, sf):
     """An argon2id index: derived once for each distinct value."""
     engine = _engine(spark)
-    t = Table("nation", _id("nation"), (Column("n_regionkey", _id("nation.region"), "int", _index(16, idf=ARGON2)),), pk=("n_nationkey",))
+    t = Table("nation", _id("nation"), (Column("n_regionkey", _id("nation.region"), "int", _index(16, slow=Slow())),), pk=("n_nationkey",))
     df = _read(spark, sf, "nation")
     f = SealedFrame(engine, _stored(engine.seal(df, t)), t)
     hits = [f.filter(ref("n_regionkey").eq(k)).count() for k in range(5)]
@@ -472,6 +493,14 @@ def leak_collisions(spark, sf):
     return leakage.collisions(df, "c_name", bits_for(max(16, df.count())))
 
 
+@query("SELECT count(DISTINCT c_name) AS n_values, true AS bounded FROM customer")
+def leak_collision_totals(spark, sf):
+    """A simulated index holds every value, in no more buckets than it has bits for."""
+    df = _read(spark, sf, "customer")
+    bits = bits_for(max(16, df.count()))
+    return leakage.collisions(df, "c_name", bits).select("n_values", (F.col("buckets") <= 2**bits).alias("bounded"))
+
+
 @query("SELECT * FROM (VALUES ('c_name'), ('event_type'), ('o_orderpriority'), ('user_id')) AS t(col), LATERAL (SELECT CASE WHEN col <> 'c_name' OR (SELECT count(DISTINCT c_name) FROM customer) < 1024 THEN 'REFUSE' ELSE 'OK' END AS verdict)")
 def leak_verdict(spark, sf):
     out = None
@@ -490,15 +519,10 @@ def tenant_scoped_eq(spark, sf):
     return f.filter(ref("c_name").isin(*_some(spark, sf))).decrypted("c_name").select("c_custkey", "c_nationkey", "c_name")
 
 
-@query(f"SELECT c_custkey, c_name FROM {C} WHERE c_custkey % 2 = 0")
+@query(f"SELECT c_custkey, c_name FROM {C}")
 def row_bound_open(spark, sf):
-    """Envelopes bound to their row's key. Its SQL asks for every second one."""
-    return _row_bound(spark, sf).filter("c_custkey % 2 = 0")
-
-
-def _row_bound(spark: SparkSession, sf: str) -> DataFrame:
-    """c_custkey, c_name of all customers, opened and stored."""
-    return _stored(_customers(spark, sf, row="c_custkey").decrypted("c_name").select("c_custkey", "c_name"))
+    """Envelopes bound to their row's key."""
+    return _customers(spark, sf, row="c_custkey").decrypted("c_name").select("c_custkey", "c_name")
 
 
 def _quiet(spark: SparkSession, mode: str) -> Engine:
@@ -539,14 +563,9 @@ def long_text_casefold_eq(spark, sf):
     return f.filter(ref("text").eq(casefold(first))).decrypted().select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE event_id < 200")
+@query("SELECT event_id, user_id, value FROM events")
 def stream_sealed(spark, sf):
-    """A stream of rows sealed batch by batch, read back. Its SQL asks for the first of them."""
-    return _streamed(spark, sf).filter("event_id < 200")
-
-
-def _streamed(spark: SparkSession, sf: str) -> DataFrame:
-    """event_id, user_id, value of all events, sealed by a stream, opened and stored."""
+    """A stream of rows sealed batch by batch, read back."""
     from .streaming.seal import read_sealed, seal_stream
 
     engine = _engine(spark)
@@ -556,4 +575,4 @@ def _streamed(spark: SparkSession, sf: str) -> DataFrame:
     base = source.inputFiles()[0].rsplit("/", 1)[0]
     stream = spark.readStream.schema(T.StructType(rows.schema.fields)).parquet(base)
     seal_stream(engine, stream, t, f"{base}-out", f"{base}-checkpoint").awaitTermination()
-    return _stored(SealedFrame(engine, read_sealed(engine, t, f"{base}-out"), t).decrypted().select("event_id", "user_id", "value"))
+    return SealedFrame(engine, read_sealed(engine, t, f"{base}-out"), t).decrypted().select("event_id", "user_id", "value")

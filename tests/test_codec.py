@@ -1,15 +1,15 @@
 import datetime as dt
 import math
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealcol.errors import ConfigurationError
-from sealcol.functions.codec import float_text, logical_type, parse, render
+from sealcol.functions.codec import canonical_bytes, fitting, float_text, holds, logical_type, opening_type, parse, render
 
 UTC = dt.timezone.utc
 CASES = [
@@ -34,7 +34,7 @@ def test_canonical_forms_round_trip(spark, logical, t, values, texts):
     assert [r["again"] for r in got] == [r["b"] for r in got]
 
 
-BAD = {"int": ["+1", "01", "-0", "", "1.0", "99999999999999999999"], "decimal": ["1.50", "1.", ".5", "1E2", "-0"], "float": ["1.0", "1e21", "NaN", "0.10", "01"], "boolean": ["True", "1"], "date": ["2020-2-29", "2021-02-29", "2020-02-29 "], "datetime": ["2020-02-29T01:02:03Z", "2020-02-29T01:02:03.000004", "2020-02-30T01:02:03.000004Z"]}
+BAD = {"int": ["+1", "01", "-0", "", "1.0"], "decimal": ["1.50", "1.", ".5", "1E2", "-0"], "float": ["1.0", "1e21", "NaN", "0.10", "01"], "boolean": ["True", "1"], "date": ["2020-2-29", "2021-02-29", "2020-02-29 "], "datetime": ["2020-02-29T01:02:03Z", "2020-02-29T01:02:03.000004", "2020-02-30T01:02:03.000004Z"]}
 
 
 @pytest.mark.parametrize("logical, text", [(k, x) for k, own in BAD.items() for x in own])
@@ -44,6 +44,47 @@ def test_readers_are_strict(spark, logical, text):
         df.select(parse(F.col("b"), logical)).collect()
 
 
+@pytest.mark.parametrize("logical, text", [("int", "99999999999999999999"), ("decimal", "1.1234567890123456789"), ("decimal", "123456789012345678901")])
+def test_what_the_opening_type_does_not_hold_is_refused_not_rounded(spark, logical, text):
+    """Canonical, and read by a wider type."""
+    df = spark.createDataFrame([(bytearray(text.encode()),)], "b binary")
+    with pytest.raises(Exception, match="RENDERING_REFUSED"):
+        df.select(parse(F.col("b"), logical)).collect()
+    wide = opening_type(logical, "decimal(38,0)" if logical == "int" else "decimal(38,19)" if "." in text else "decimal(38,2)")
+    assert Decimal(text) == df.select(parse(F.col("b"), logical, wide).alias("v")).first()["v"]
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(1, 38).flatmap(lambda p: st.tuples(st.just(p), st.integers(0, p), st.lists(st.integers(-(10**p) + 1, 10**p - 1), min_size=1, max_size=8))))
+def test_decimals_of_any_precision_and_scale_open_to_what_was_sealed(spark, case):
+    p, s, numbers = case
+    t = T.DecimalType(p, s)
+    with localcontext() as c:
+        c.prec = 60
+        values = [Decimal(n).scaleb(-s) for n in numbers]
+    df = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", t)]))
+    rows = df.select("v", render(F.col("v"), t).alias("b")).select("v", "b", parse(F.col("b"), "decimal", t).alias("again")).collect()
+    assert all(r["v"] == r["again"] and bytes(r["b"]) == canonical_bytes(r["v"], "decimal") for r in rows)
+
+
+def test_values_that_would_open_to_others_are_refused_on_sealing(spark):
+    wide = T.DecimalType(38, 25)
+    df = spark.createDataFrame([(Decimal("1.5"),), (None,)], T.StructType([T.StructField("v", wide)]))
+    assert [r["v"] for r in df.select(fitting(F.col("v"), wide, T.DecimalType(38, 18)).alias("v")).collect()] == [Decimal("1.5"), None]
+    bad = spark.createDataFrame([(Decimal("1.1234567890123456789012345"),)], T.StructType([T.StructField("v", wide)]))
+    with pytest.raises(Exception, match="RENDERING_REFUSED"):
+        bad.select(fitting(F.col("v"), wide, T.DecimalType(38, 18))).collect()
+    assert fitting(F.lit(1), T.LongType(), T.LongType()) is not None and not holds(T.LongType(), T.DecimalType(10, 0))
+    for logical, name in (("int", "decimal(10,2)"), ("string", "decimal(10,0)"), ("int", "bigint")):
+        with pytest.raises(ConfigurationError):
+            opening_type(logical, name)
+
+
+@pytest.mark.parametrize("logical, t, values, texts", CASES, ids=[c[0] for c in CASES])
+def test_one_value_on_the_driver_renders_alike(logical, t, values, texts):
+    assert [None if v is None else canonical_bytes(v, logical).decode() for v in values] == texts
+
+
 def test_not_utf8_and_not_finite_are_refused(spark):
     with pytest.raises(Exception, match="RENDERING_REFUSED"):
         spark.createDataFrame([(bytearray(b"\xff"),)], "b binary").select(parse(F.col("b"), "string")).collect()

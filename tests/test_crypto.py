@@ -11,9 +11,9 @@ from sealcol.errors import ConfigurationError
 from sealcol.functions import crypto
 from sealcol.functions.envelope import commitment, header_col, implied_plaintext_len_col, is_ciphertext_col, kind_col, open_envelope, record_key
 from sealcol.plans import suites
-from sealcol.plans.context import FieldContext, canonical, canonical_col, lit_bytes
+from sealcol.plans.context import Binding, encoded_col, lit_bytes
 
-CTX = FieldContext(bytes(range(16)), bytes(range(16, 32)), tenant_id=b"t")
+CTX = Binding(bytes(range(32)), tenant=b"t")
 
 
 def one(spark, column, **values):
@@ -42,11 +42,11 @@ def test_truncation(spark, bits):
 
 
 def test_contexts_are_told_apart(spark):
-    variants = [CTX, FieldContext(CTX.table_uuid, CTX.column_uuid), FieldContext(CTX.table_uuid, CTX.column_uuid, tenant_id=b""), FieldContext(CTX.table_uuid, CTX.column_uuid, row_id=b"t"), CTX.for_index("exact")]
-    assert len({canonical(c, 0xFF01) for c in variants} | {canonical(CTX, 0xFF02)}) == 6
-    assert one(spark, canonical_col(FieldContext(CTX.table_uuid, CTX.column_uuid), 0xFF01, F.col("t"), F.col("r")), t=b"t", r=b"row") == canonical(FieldContext(CTX.table_uuid, CTX.column_uuid, tenant_id=b"t", row_id=b"row"), 0xFF01)
+    variants = [CTX, Binding(CTX.owner), Binding(CTX.owner, tenant=b""), Binding(CTX.owner, row=b"t"), CTX.of_index("exact")]
+    assert len({c.encoded(0xFF01) for c in variants} | {CTX.encoded(0xFF02)}) == 6
+    assert one(spark, encoded_col(Binding(CTX.owner), 0xFF01, F.col("t"), F.col("r")), t=b"t", r=b"row") == Binding(CTX.owner, tenant=b"t", row=b"row").encoded(0xFF01)
     with pytest.raises(ConfigurationError):
-        FieldContext(CTX.table_uuid, CTX.column_uuid, purpose="index:UPPER")
+        Binding(CTX.owner, "UPPER")
 
 
 SHAPES = [b"", b"\x01", b"\x01\xff\x01" + bytes(107), b"\x01\xff\x01" + bytes(108), b"\x01\xff\x02" + bytes(119), b"\x01\xff\x02" + bytes(120), b"\x02" + bytes(109), b"\x02" + bytes(110), b"\x00" * 200, b"\x01\xff\x03" + bytes(200)]
@@ -86,7 +86,7 @@ def _vectors():
 def _context(v):
     c = v["context"]
     b = lambda x: None if x is None else bytes.fromhex(x)
-    return FieldContext(b(c["table_uuid"]), b(c["column_uuid"]), c["purpose"], b(c["tenant_id"]), b(c["row_id"]))
+    return Binding(b(c["table_uuid"]) + b(c["column_uuid"]), c["purpose"].partition(":")[2] or None, b(c["tenant_id"]), b(c["row_id"]))
 
 
 def test_pinned_vectors(spark):
@@ -98,11 +98,11 @@ def test_pinned_vectors(spark):
     for v in vectors:
         want, get = v.get("expected") or {}, lambda k, v=v: bytes.fromhex(v[k])
         if "record_key" in want:
-            ctx = canonical(_context(v), int(v["suite_id"], 16))
+            ctx = _context(v).encoded(int(v["suite_id"], 16))
             assert ctx.hex() == want["info"]
             assert one(spark, record_key(F.col("d"), F.col("k"), F.col("s"), lit_bytes(ctx)), d=get("tenant_dek"), k=get("key_id"), s=get("msg_seed")).hex() == want["record_key"]
         elif "index_key" in want:
-            ctx = canonical(_context(v).for_index(v["index_id"]), int(v["suite_id"], 16))
+            ctx = _context(v).of_index(v["index_id"]).encoded(int(v["suite_id"], 16))
             assert ctx.hex() == want["info"] and crypto.hkdf(get("tenant_index_key"), bytes.fromhex(want["salt"]), ctx, 32).hex() == want["index_key"]
         elif "commitment" in want:
             assert one(spark, commitment(F.col("k"), label), k=get("record_key")).hex() == want["commitment"]
@@ -113,7 +113,7 @@ def test_pinned_vectors(spark):
         elif v.get("operation") == "decrypt":
             allowed = tuple(int(s, 16) for s in v["config"]["allowed_suites"])
             deks = F.when(F.substring("e", 4, 16) == F.col("k"), F.array("d"))
-            got = one(spark, open_envelope(F.col("e"), deks, 1, lit_bytes(canonical(_context(v), 0xFF01)), label, allowed), e=get("input"), k=get("key_id"), d=get("tenant_dek"))
+            got = one(spark, open_envelope(F.col("e"), deks, 1, lit_bytes(_context(v).encoded(0xFF01)), label, allowed), e=get("input"), k=get("key_id"), d=get("tenant_dek"))
             expected = want.get("error", "OK" if "plaintext" in want else "NOT_CIPHERTEXT")
             assert got["status"] == expected, v["id"]
             if "plaintext" in want:

@@ -12,7 +12,7 @@ from sealcol.sources import tables
 from sealcol.streaming.seal import read_sealed, seal_stream
 
 ROOT = bytes(range(32))
-INDEX = Index(truncate_bits=9, projected_population=1500, suite_id=0xFF01)
+INDEX = Index(bits=9, population=1500, suite=0xFF01)
 TABLE = Table("t", b"t" * 16, (Column("v", b"v" * 16, "string", INDEX),), pk=("id",))
 
 
@@ -35,8 +35,8 @@ def test_a_killed_run_is_resumed(spark, engine, plain, tmp_path):
     assert run.status == "running" and len(run.done) == 2
     with pytest.raises(ConfigurationError):
         runner.start("encrypt")
-    other = Table("t", b"t" * 16, (Column("v", b"v" * 16, "string", Index(truncate_bits=8, projected_population=1500, suite_id=0xFF01)),), pk=("id",))
-    with pytest.raises(ConfigurationError, match=r"columns\[0\]"):
+    other = Table("t", b"t" * 16, (Column("v", b"v" * 16, "string", Index(bits=8, population=1500, suite=0xFF01)),), pk=("id",))
+    with pytest.raises(ConfigurationError, match="columns/0"):
         backfill.Runner(engine, other, str(tmp_path / "state"), str(tmp_path / "out")).resume(run.run_id)
     done = runner.work(runner.resume(run.run_id), df)
     report = runner.report(done)
@@ -76,7 +76,7 @@ def test_two_column_shape(spark, engine, plain, tmp_path):
 
 @pytest.mark.parametrize("storage, form", [("base64", "hex"), ("binary", "binary")])
 def test_storage_forms_sinks_and_views(spark, engine, plain, tmp_path, storage, form):
-    t = Table("t", b"x" * 16, (Column("v", b"y" * 16, "string", Index(truncate_bits=9, projected_population=1500, suite_id=0xFF01, storage=form), storage=storage),), pk=("id",))
+    t = Table("t", b"x" * 16, (Column("v", b"y" * 16, "string", Index(bits=9, population=1500, suite=0xFF01, as_hex=form == "hex"), storage=storage),), pk=("id",))
     f = tables.write(engine, plain, t, str(tmp_path / "w"), cluster_by="v")
     assert f.filter(ref("v").eq("v8")).count() == 1
     tables.dump(f, str(tmp_path / "d"))
@@ -107,11 +107,32 @@ def test_queries_of_the_operators_cover_whole_tables(spark):
 
     sf = "/root/testdata/sf0.001"
     customers = {r["c_custkey"]: r["c_name"] if r["c_custkey"] % 7 else None for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
-    assert {r["c_custkey"]: r["c_name"] for r in queries._row_bound(spark, sf).collect()} == customers
+    assert {r["c_custkey"]: r["c_name"] for r in queries.row_bound_open(spark, sf).collect()} == customers
     orders = [(r["o_orderkey"], r["o_custkey"]) for r in spark.read.parquet(f"{sf}/orders.parquet").collect()]
-    want = sorted((o, c, 1 if customers.get(c) else None) for o, c in orders)
-    assert sorted(tuple(r) for r in queries._nested(spark, sf).collect()) == want
-    got = sorted(tuple(r) for r in queries.nested_include_verified(spark, sf).collect())
-    assert got == [(o, n if c < 60 else None) for o, c, n in want if o < 400]
+    want = sorted((o, 1 if customers.get(c) else None) for o, c in orders)
+    assert sorted(tuple(r) for r in queries.nested_include_verified(spark, sf).collect()) == want
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "value")
-    assert sorted(tuple(r) for r in queries._streamed(spark, sf).collect()) == sorted(tuple(r) for r in events.collect())
+    assert sorted(tuple(r) for r in queries.stream_sealed(spark, sf).collect()) == sorted(tuple(r) for r in events.collect())
+
+
+def test_keys_of_many_scopes_are_all_warm(spark):
+    """A job of more scopes than the cache holds has all its keys; the next job's make room."""
+    from sealcol.plans.keys import EnvelopeKeyProvider, KeyCache, KeyDirectory, WrappedKey
+
+    class Plain:
+        def unwrap(self, wrapped):
+            return wrapped
+
+    scopes = [b"%05d" % i for i in range(5000)]
+    keys = [WrappedKey(s, 1, s.rjust(16, b"k"), s.rjust(32, b"d")) for s in scopes]
+    provider = EnvelopeKeyProvider(KeyDirectory(keys, {s: s.rjust(32, b"i") for s in scopes}), Plain(), KeyCache(capacity=1000))
+    provider.warm(scopes)
+    assert all(provider.data_keys(s) and provider.index_key(s) for s in scopes)
+    engine = Engine(spark, provider, arm_provisional=True)
+    table = Table("many", b"m" * 16, (Column("v", b"v" * 16, "string", INDEX),), pk=("id",), tenant="org")
+    df = spark.createDataFrame([(i, s.decode(), f"v{i % 7}") for i, s in enumerate(scopes)], "id long, org string, v string")
+    f = SealedFrame(engine, engine.seal(df, table).cache(), table)
+    assert f.decrypted("v").filter("v = 'v3'").count() == sum(i % 7 == 3 for i in range(5000))
+    assert f.filter(ref("v").eq("v3")).count() == sum(i % 7 == 3 for i in range(5000))
+    provider.warm(scopes[:10])
+    assert len(provider.cache._held) <= 1020 and all(provider.data_keys(s) for s in scopes[:10])
