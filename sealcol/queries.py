@@ -119,7 +119,7 @@ def eq_verified(spark, sf):
     """Equality through the index, verified; then a join on the plain key."""
     hit = _customers(spark, sf).filter(ref("c_name").eq(_some(spark, sf)[0]))
     orders = _read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
-    return hit.decrypted("c_name").join(orders, "c_custkey").groupBy("c_custkey", "c_name").agg(F.sum("o_totalprice").alias("total"))
+    return hit.decrypted("c_name").join(orders, "c_custkey").groupBy("c_custkey", "c_name").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @query(f"SELECT c_custkey, c_name, c_acctbal FROM {C} WHERE c_name IN {N3}")
