@@ -1,11 +1,18 @@
+import hashlib
 import re
+import zlib
+from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
+import pytest
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
+from sealcol.llm import queries
+
 from .fixtures import BASE, ITEM, bench, edited, prose, words
-from .test_operators import brute_groups, brute_windows
+from .test_operators import brute_groups, brute_secrets, brute_windows
 
 
 def table(spark):
@@ -49,3 +56,61 @@ def test_registration():
     assert [n for n in names if re.match(r"op\d+_", n)] == sorted((n for n in names if re.match(r"op\d+_", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
     assert {int(re.findall(r"\d+", n)[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_op2_columns(spark, documents):
+    got = {r["doc_id"]: r for r in queries.op2_quality_classifier(spark, SF).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert got.keys() == documents.keys()
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for i, r in got.items())
+    held = [i for i, r in got.items() if r["held_out"] and labels.get(i) is not None]
+    assert sum(got[i]["predicted"] == labels[i] for i in held) > 0.9 * len(held)
+
+
+def test_op6_and_op8_columns(spark, documents):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    ids = {i: np.array(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1]) for i, r in documents.items()}
+    pieces, sequences, seen = queries.op6_packing(spark, SF).collect(), defaultdict(list), defaultdict(int)
+    for r in pieces:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and r["doc_tokens"] == len(ids[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(part.astype("<u4").tobytes())
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        seen[r["doc_id"]] += r["length"]
+    assert seen == {i: len(x) for i, x in ids.items()}
+    for own in sequences.values():
+        own.sort()
+        assert [a for a, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()] and own[-1][0] + own[-1][1] <= 2048
+    total = sum(map(sum, ([n for _, n in own] for own in sequences.values())))
+    padded = sum(0 if (n := own[-1][0] + own[-1][1]) & (n - 1) == 0 else 2048 - n for own in sequences.values())
+    assert total == sum(map(len, ids.values())) and padded < 0.01 * total
+    rows = queries.op8_token_id_output(spark, SF).collect()
+    assert sorted((d, s, b - a) for r in rows for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:])) == sorted((i, a, min(2048, len(x) - a)) for i, x in ids.items() for a in range(0, len(x), 2048))
+
+
+def test_op9_columns(spark, documents):
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, SF).collect()}
+    assert got.keys() == documents.keys() and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    for i, r in documents.items():
+        assert (got[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+    held = [i for i, r in got.items() if r["held_out"] and documents[i]["lang"] and r["lang_pred"] != "und"]
+    assert sum(got[i]["lang_pred"] == documents[i]["lang"] for i in held) > 0.95 * len(held)
+
+
+def test_op10_columns(spark, documents):
+    kinds = ("assign", "access", "hex")
+    for r in queries.op10_secret_scan(spark, SF).collect():
+        want = brute_secrets(documents[r["doc_id"]]["text"])
+        assert [r[f"n_{k}"] for k in kinds] == [sum(x[1] == n for x in want) for n in range(3)]
+        base = [f"{kinds[k]}:{a}:{b}" for a, k, b in want]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("random")] == base
