@@ -8,8 +8,9 @@ exactly one piece. Packing is per partition and streams: the pool holds ``pool``
 what it cannot fill well waits for more. A partition's last, short sequence is dealt into sequences of a power of two.
 
 Defined cases: a null or empty text has ``end_id`` alone, an example without texts likewise; rows are independent, so
-repeated rows are packed as often as they come; ids may be null; an empty table gives no pieces. Sequence ids are unique:
-the partition's number above the count inside it, the same on every retry of a task.
+repeated rows are packed as often as they come; ids may be null; very long texts are cut into as many sequences as they fill; an
+empty table gives no pieces; extra columns are not looked at, whatever their names. Sequence ids are unique: the partition's
+number above the count inside it, the same on every retry of a task.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ The network - one hidden layer of tanh units, then a logistic unit - is fitted w
 logits are divided by. All other steps cover every row.
 
 Defined cases: a null or empty text has a zero vector and is scored like any other; labels of null id or class, and labels
-without a document, teach nothing; with labels of one class or none the score is that class's, or 0.5; repeated rows count as
-often as they come. Extra columns are not looked at.
+without a document, teach nothing; with labels of one class or none the score is that class's, or 0.5, which counts as class 1;
+very long texts are pooled whole; repeated rows count as often as they come. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ PLACES = 4
 STREAMS = 2
 #: Rows of the table that one record of its sum holds.
 RECORD = 512
+#: Tasks whose tables are added up first.
+FAN = 256
 
 _SHAPE = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -107,17 +110,21 @@ def word_vectors(docs: DataFrame, text_col: str = "text", reach: int = 2) -> np.
                             table += signs[p] * (np.bincount(a * DIMS + places[b, p], minlength=len(table)) + np.bincount(b * DIMS + places[a, p], minlength=len(table)))
         table = table.reshape(records, -1)
         used = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([table[i].astype("<i8").tobytes() for i in used.tolist()], pa.binary())], names=["record", "sums"])
+        part = np.full(len(used), TaskContext.get().partitionId() // FAN, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(part), pa.array([table[i].astype("<i8").tobytes() for i in used.tolist()], pa.binary())], names=["record", "part", "sums"])
 
     def add(batches):
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, part, b in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 x = np.frombuffer(b, "<i8")
-                total[k] = total[k] + x if k in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["record", "sums"])
+                total[k, part] = total[k, part] + x if (k, part) in total else x
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([p for _, p in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["record", "part", "sums"])
 
-    parts = src.mapInArrow(count, "record int, sums binary").repartition("record").mapInArrow(add, "record int, sums binary").toArrow()
+    # sums of FAN tasks, then sums of those
+    schema = "record int, part int, sums binary"
+    parts = src.mapInArrow(count, schema).repartition("record", "part").mapInArrow(add, schema)
+    parts = parts.select("record", F.lit(0).alias("part"), "sums").repartition("record").mapInArrow(add, schema).select("record", "sums").toArrow()
     table = np.zeros((records, RECORD * DIMS))
     for k, b in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
         table[k] += np.frombuffer(b, "<i8")

@@ -538,3 +538,18 @@ def test_decontamination_is_alike_for_any_size(spark, limit):
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "Before ; after", 2: texts[1][1], 3: None}
     kept = decontaminate.decontaminate(frame(spark, texts), items, broadcast_bytes=limit)
     assert {r["doc_id"] for r in kept.collect()} == {2, 3}
+
+
+def test_packing_with_null_ids_and_clashing_names(spark):
+    rows_ = [(None, "ka lo", 1, "x"), (None, "ka lo", 1, "x"), (5, "mi " * 6000, 2, "y"), (6, None, 3, None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, start int, ids string").withColumn("texts_", F.lit(1)).withColumn("text_", F.lit("z")).withColumn("row_id", F.lit(2))
+    got = packing.pack(docs, F.col("text"), tokenizer=TOKENIZER).collect()
+    size = defaultdict(int)
+    for r in got:
+        size[r["doc_id"]] += r["length"]
+    packed = binpack.pack(docs, tokenizer=TOKENIZER).collect()
+    held = defaultdict(int)
+    for r in packed:
+        for d, a, b in zip(r["doc_ids"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            held[d] += b - a
+    assert size == held and size[6] == 1 and size[5] > 6000 and size[None] % 2 == 0
