@@ -204,7 +204,7 @@ def test_shapes_tell_case_signs_and_repeats():
 def test_winnow_has_a_seed_in_every_window(n):
     h = np.concatenate([np.random.default_rng(n).integers(0, 1 << 60, n).astype(np.uint64), np.full(n, 7, np.uint64)])
     ptr = np.array([0, n, n, 2 * n])
-    at = substring.winnow(substring.runs_of(h, 35), ptr, 35, 16)
+    at = substring.winnow(substring.Runs(h).all(35), ptr, 35, 16)
     for a, b in ((0, n), (n, 2 * n)):
         assert all(np.any((at >= i) & (at < i + 16)) for i in range(a, b - 49))
         assert not np.any((at > b - 35) & (at < b))
@@ -213,7 +213,8 @@ def test_winnow_has_a_seed_in_every_window(n):
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 35])
 def test_runs_of_words(n):
     h = np.array([1, 2, 3, 1, 2, 3] * 12, np.uint64)
-    g = substring.runs_of(h, n)
+    g = substring.Runs(h).all(n)
+    assert np.array_equal(substring.Runs(h).at(np.arange(5), n), g[:5])
     assert len(g) == len(h) - n + 1 and len(set(g[:3].tolist())) == 3 and np.array_equal(g[3:], g[:-3])
     assert np.array_equal(substring.running(h, n, np.maximum), [h[i : i + n].max() for i in range(len(h) - n + 1)])
 
