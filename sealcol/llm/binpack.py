@@ -7,7 +7,7 @@ its cumulative segment lengths (from 0, in padding's absence to the row's ids) a
 segment. ``write_matrices`` stores blocks of rows as one binary id matrix each, beside those two.
 
 Defined cases: null and empty texts are ``end_id`` alone; repeated rows are packed as often as they come; ids may be null;
-an empty table gives no rows; extra columns are not looked at. Row numbers are the partition's number above a count inside it,
+very long texts fill rows of their own; an empty table gives no rows; extra columns are not looked at. Row numbers are the partition's number above a count inside it,
 the same on every retry.
 """
 
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, pad_id: int = 0, w
     return src.mapInArrow(run, f"row_id long, n_tokens long, doc_ids array<{kind}>, starts array<bigint>, cu_seqlens array<bigint>, ids binary, positions binary")
 
 
-def write_matrices(docs: DataFrame, path: str, *, tokenizer: str, rows: int = 128, end_id: int = 1, pad_id: int = 0, width: int = WIDTH, block: int = 8192, block_ids: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_matrices(docs: DataFrame, path: str, *, tokenizer: str, rows: int = 32, end_id: int = 1, pad_id: int = 0, width: int = WIDTH, block: int = 8192, block_ids: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """The rows of pack(), as Parquet files at ``path``: one record per matrix of up to ``rows`` neighbouring rows.
 
     matrix_id, n_rows, ids and positions (binary, row-major uint16), cu_seqlens (each row's, one after another) and
