@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, decontaminate, exact_dedup, langid, licenses, ngram_join, packing, quality, secrets, substring
+from . import bestfit, binpack, decontaminate, exact_dedup, fim, langid, licenses, ngram_join, packing, quality, search, secrets, substring
 from .common import bucket_of, shared_dir, table
 
 
@@ -86,4 +86,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_ngram_jaccard_join, op4_exact_dedup, op5_decontamination, op6_packing, op7_license_scan, op8_token_id_output, op9_language_id, op10_secret_scan)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build_index(table(spark, sf_dir, "documents"))
+    return search.search(index, table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bestfit.pack(table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json"))
+    return packed.pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_ngram_jaccard_join, op4_exact_dedup, op5_decontamination, op6_packing, op7_license_scan, op8_token_id_output, op9_language_id, op10_secret_scan, op11_ranked_search, op12_fill_in_middle, op13_best_fit_packing)}
