@@ -29,6 +29,8 @@ BROADCAST_KEYS = 10_000
 #: Bytes a core up to which a table is spread over all cores.
 SMALL = 16 << 20
 SCOPE = "__scope"
+#: Prefix of the columns that hold a sealed column's error codes, where errors are values.
+CODE = "__code_"
 
 
 @dataclass
@@ -42,7 +44,7 @@ class Metrics:
 class Engine:
     """Read modes: 'strict' raises for what is no envelope, 'permissive' and 'readonly' pass it through; 'readonly' seals nothing."""
 
-    def __init__(self, spark: SparkSession, provider: KeyProvider, *, mode: str = "strict", write_suite: int = suites.AES_GCM.id, allowed_suites: tuple[int, ...] = (suites.AES_GCM.id,), arm_provisional: bool = False, labels: Labels = Labels(), tables: tuple[Table, ...] = ()):
+    def __init__(self, spark: SparkSession, provider: KeyProvider, *, mode: str = "strict", write_suite: int = suites.AES_GCM.id, allowed_suites: tuple[int, ...] = (suites.AES_GCM.id,), arm_provisional: bool = False, labels: Labels = Labels(), tables: tuple[Table, ...] = (), max_plaintext: int = suites.MAX_PLAINTEXT):
         if mode not in MODES:
             raise ConfigurationError(f"a read mode is one of {', '.join(MODES)}")
         for s in (write_suite, *allowed_suites):
@@ -55,6 +57,9 @@ class Engine:
         self.tables = {t.name: t for t in tables}
         self.indexes = {f"{t.uuid.hex()}/{c.uuid.hex()}/{c.index.name}": c.index for t in tables for c in t.columns if c.index}
         self.metrics = Metrics()
+        if not 0 < max_plaintext <= suites.MAX_PLAINTEXT:
+            raise ConfigurationError("a plaintext has at most 2**31 - 1 bytes")
+        self.max_plaintext = max_plaintext
         if mode != "strict":
             warnings.warn(f"read mode {mode}: values that are no envelopes are passed through", stacklevel=2)
 
@@ -89,17 +94,29 @@ class Engine:
         out = self.spark.createDataFrame(rows, schema)
         return F.broadcast(out) if len(rows) <= BROADCAST_KEYS else out
 
-    def write_keys(self, scopes: list[bytes]) -> DataFrame:
+    def write_keys(self, scopes: list[bytes], lenient: bool = False) -> DataFrame:
+        """Each scope's active key. ``lenient``: a scope without one has no row, where otherwise it is an error."""
         self.provider.warm(scopes)
-        keys = [(bytearray(s), write_key(self.provider, s)) for s in scopes]
+        keys = []
+        for s in scopes:
+            try:
+                keys.append((bytearray(s), write_key(self.provider, s)))
+            except SealError as e:
+                if not lenient or e.code != "KEY_UNAVAILABLE":
+                    raise
         return self._small([(s, bytearray(k.key_id), bytearray(k.dek)) for s, k in keys], "k_scope binary, k_id binary, k_dek binary")
 
-    def index_pads(self, scopes: list[bytes], table: Table, c: Column) -> DataFrame:
+    def index_pads(self, scopes: list[bytes], table: Table, c: Column, lenient: bool = False) -> DataFrame:
         """Per scope what an index value starts from: an HMAC's two pads, or a salt, and the bucket for unindexable values."""
         self.provider.warm(scopes)
         rows = []
         for s in scopes:
-            key = self.index_key(table.binding(c, s if table.tenant else None), c.index)
+            try:
+                key = self.index_key(table.binding(c, s if table.tenant else None), c.index)
+            except SealError as e:
+                if not lenient or e.code != "KEY_UNAVAILABLE":
+                    raise
+                continue
             ipad, opad = crypto.pads(key)
             rows.append((bytearray(s), bytearray(ipad), bytearray(opad), bytearray(self.salt(key))))
         return self._small(rows, "x_scope binary, x_ipad binary, x_opad binary, x_salt binary")
@@ -139,8 +156,8 @@ class Engine:
         """One envelope, by the same expressions as a table's."""
         self.write_gate("encrypt")
         _bytes(plaintext)
-        if len(plaintext) > suites.MAX_PLAINTEXT:
-            raise SealError("LENGTH_EXCEEDED", "a plaintext has at most 2**31 - 1 bytes")
+        if len(plaintext) > self.max_plaintext:
+            raise SealError("LENGTH_EXCEEDED", f"a plaintext has at most {self.max_plaintext} bytes")
         self.provider.warm([ctx.scope])
         k = write_key(self.provider, ctx.scope)
         df = self.spark.createDataFrame([(bytearray(plaintext), bytearray(k.key_id), bytearray(k.dek))], "v binary, k binary, d binary")
@@ -179,18 +196,21 @@ class Engine:
 
     # whole tables
 
-    def index_column(self, df: DataFrame, out: str, table: Table, c: Column, canonical_bytes: SparkColumn, scope: str) -> DataFrame:
-        """Adds index values of a column: HMAC as expressions, argon2id once for each distinct value."""
+    def index_column(self, df: DataFrame, out: str, table: Table, c: Column, canonical_bytes: SparkColumn, scope: str, raises: bool = True) -> DataFrame:
+        """Adds index values of a column: HMAC as expressions, argon2id once for each distinct value.
+
+        ``raises=False``: a value without a normal form, or of a scope without an index key, has no index value; ``__<out>_bad`` says why.
+        """
         index = c.index
         norm = N.normalize_col(index.form, df[c.name] if c.name in df.columns else canonical_bytes, canonical_bytes)
         if index.form in N.REFUSING:
             if index.bucket:
                 norm = F.coalesce(norm, F.when(canonical_bytes.isNotNull(), lit_bytes(self.labels.unindexable)))
-            else:
+            elif raises:
                 norm = F.when(canonical_bytes.isNotNull() & norm.isNull(), F.raise_error(F.lit("INVALID_ARGUMENT: a value has no normal form")).cast("binary")).otherwise(norm)
         df = df.withColumn(f"__{out}_n", norm)
         n = F.col(f"`__{out}_n`")
-        pads = self.index_pads(self._scopes(df, table), table, c)
+        pads = self.index_pads(self._scopes(df, table), table, c, lenient=not raises)
         if index.slow:
             each = df.select(F.col(scope).alias("v_scope"), n.alias("v_n")).filter(n.isNotNull()).distinct().join(pads, F.col("v_scope") == F.col("x_scope"))
             each = each.select("v_scope", "v_n", crypto.truncate_col(crypto.argon2_col(F.col("v_n"), F.col("x_salt"), index.slow.passes, index.slow.kib), index.bits).alias(out))
@@ -201,12 +221,15 @@ class Engine:
             df = df.withColumn(out, F.when(n.isNotNull(), crypto.truncate_col(raw, index.bits))).drop("x_scope", "x_ipad", "x_opad", "x_salt")
         if index.as_hex:
             df = df.withColumn(out, F.lower(F.hex(F.col(f"`{out}`"))))
+        if not raises:  # what has a normal form and yet no value met no key
+            df = df.withColumn(f"__{out}_bad", F.when(canonical_bytes.isNotNull() & n.isNull(), "INVALID_ARGUMENT").when(n.isNotNull() & F.col(f"`{out}`").isNull(), "KEY_UNAVAILABLE"))
         return df.drop(f"__{out}_n")
 
-    def seal(self, df: DataFrame, table: Table, columns: tuple[str, ...] | None = None) -> DataFrame:
+    def seal(self, df: DataFrame, table: Table, columns: tuple[str, ...] | None = None, codes: bool = False) -> DataFrame:
         """Plain columns become envelopes, index siblings are added, declarations are put into the schema.
 
-        Every row gets entropy of its own. The result draws anew each time it runs: write it before using it twice.
+        Every row gets entropy of its own. The result draws anew each time it runs: write it before using it twice. ``codes``: a
+        value that cannot be sealed is null, its error code in a column CODE + name, and no row fails another.
         """
         self.write_gate("seal")
         names = [c.name for c in table.columns if columns is None or c.name in columns]
@@ -216,29 +239,49 @@ class Engine:
             if got != want and not (want == "int" and got == "decimal" and types[n].scale == 0):
                 raise ConfigurationError(f"{n}: a column of {types[n].simpleString()} is {got}, not {want}")
         df = with_scope(self.spread(df), table)
-        keys = self.write_keys(self._scopes(df, table))
+        keys = self.write_keys(self._scopes(df, table), lenient=codes)
         df = df.join(keys, F.col(SCOPE) == F.col("k_scope"), "left")
         for n in names:
             c = table.column(n)
-            source = F.col(f"`{c.source or n}`")
+            given = source = F.col(f"`{c.source or n}`")
             if c.logical in ("int", "decimal"):
-                source = codec.fitting(source, types[n], c.spark_type)
-            plain = codec.render(source, T.StringType() if c.logical == "string" else types[n])
+                source = codec.fitting(source, types[n], c.spark_type, raises=not codes)
+            plain = codec.render(source, T.StringType() if c.logical == "string" else types[n], raises=not codes)
             if c.logical == "int" and isinstance(types[n], T.DecimalType):
                 plain = F.encode(source.cast("string"), "UTF-8")
             df = df.withColumn(f"__{n}_pt", plain)
             pt = F.col(f"`__{n}_pt`")
+            if codes:
+                df = df.withColumn(CODE + n, self._refused(table, given, pt))
+                df = df.withColumn(f"__{n}_pt", F.when(F.col(CODE + n).isNull(), pt))
+            elif self.max_plaintext < suites.MAX_PLAINTEXT:
+                too_long = F.raise_error(F.lit(f"LENGTH_EXCEEDED: column {n}")).cast("binary")
+                df = df.withColumn(f"__{n}_pt", F.when(F.octet_length(pt) > self.max_plaintext, too_long).otherwise(pt))
             if c.index:
-                df = self.index_column(df, c.sibling, table, c, pt, SCOPE)
-            missing = F.when(pt.isNotNull() & F.col("k_id").isNull(), F.raise_error(F.lit("CONTEXT_UNAVAILABLE: a row without tenant")).cast("binary")).otherwise(pt)
+                df = self.index_column(df, c.sibling, table, c, pt, SCOPE, raises=not codes)
+            if codes:
+                if c.index:
+                    df = df.withColumn(CODE + n, F.coalesce(F.col(CODE + n), F.col(f"`__{c.sibling}_bad`"))).drop(f"__{c.sibling}_bad")
+                    df = df.withColumn(c.sibling, F.when(F.col(CODE + n).isNull(), F.col(f"`{c.sibling}`")))
+                ready = F.when(F.col(CODE + n).isNull(), pt)
+            else:
+                ready = F.when(pt.isNotNull() & F.col("k_id").isNull(), F.raise_error(F.lit("CONTEXT_UNAVAILABLE: a row without tenant")).cast("binary")).otherwise(pt)
             df = df.withColumn(f"__{n}_r", crypto.entropy_col())
-            df = df.withColumn(n, envelope.seal(missing, F.col("k_id"), F.col("k_dek"), context_col(df, table, c, self.write_suite), F.col(f"`__{n}_r`"), self.labels.commitment))
+            df = df.withColumn(n, envelope.seal(ready, F.col("k_id"), F.col("k_dek"), context_col(df, table, c, self.write_suite), F.col(f"`__{n}_r`"), self.labels.commitment))
             df = df.drop(f"__{n}_pt", f"__{n}_r")
             if c.storage == "base64":
                 df = df.withColumn(n, F.base64(n))
             df = df.withMetadata(n, table.metadata(c))
         return df.drop(SCOPE, "k_scope", "k_id", "k_dek")
 
+    def _refused(self, table: Table, given: SparkColumn, rendered: SparkColumn) -> SparkColumn:
+        """Why a value cannot be sealed, in this order: no tenant, no canonical form, too long, no key. Null if it can."""
+        scope = F.col(SCOPE)
+        code = F.when(given.isNull(), F.lit(None).cast("string"))
+        if table.tenant:
+            code = code.when(scope.isNull() | (F.octet_length(scope) == 0), "CONTEXT_UNAVAILABLE")
+        return code.when(rendered.isNull(), "RENDERING_REFUSED").when(F.octet_length(rendered) > self.max_plaintext, "LENGTH_EXCEEDED").when(F.col("k_id").isNull(), "KEY_UNAVAILABLE")
+
     def read_keys(self, scopes: list[bytes]) -> tuple[DataFrame, int]:
         """key_id -> candidate keys, the named one first; and the most candidates of any."""
         self.provider.warm(scopes)
@@ -277,17 +320,22 @@ class Engine:
             df = df.withColumn(n, value).drop(f"__{n}_e", "r_id", "r_deks")
         return df.drop(SCOPE)
 
-    def rotate_table(self, df: DataFrame, table: Table, columns: tuple[str, ...] | None = None) -> DataFrame:
-        """Envelopes whose suite or key is not the active one are opened and sealed anew; the others stay byte for byte."""
+    def rotate_table(self, df: DataFrame, table: Table, columns: tuple[str, ...] | None = None, codes: bool = False) -> DataFrame:
+        """Envelopes whose suite or key is not the active one are opened and sealed anew; the others stay byte for byte.
+
+        ``codes``: so does what cannot be opened, with its error code in a column CODE + name.
+        """
         self.write_gate("rotate")
         names = [c.name for c in table.columns if columns is None or c.name in columns]
         df = with_scope(self.spread(df), table)
         scopes = self._scopes(df, table)
         keys, most = self.read_keys(scopes)
-        df = df.join(self.write_keys(scopes), F.col(SCOPE) == F.col("k_scope"), "left")
+        df = df.join(self.write_keys(scopes, lenient=codes), F.col(SCOPE) == F.col("k_scope"), "left")
         for n in names:
             c = table.column(n)
             e = F.unbase64(F.col(f"`{n}`")) if c.storage == "base64" else F.col(f"`{n}`")
+            if codes and c.storage == "base64":
+                e = F.try_to_binary(F.col(f"`{n}`"), F.lit("base64"))
             df = df.withColumn(f"__{n}_e", e)
             e = F.col(f"`__{n}_e`")
             current = is_current(e, F.col("k_id"), self.write_suite)
@@ -295,11 +343,18 @@ class Engine:
             context = context_col(df, table, c, self.write_suite)
             df = df.withColumn(f"__{n}_o", envelope.open_envelope(F.when(~current, e), F.col("r_deks"), most, context, self.labels.commitment, self.allowed_suites))
             o = F.col(f"`__{n}_o`")
-            plain = F.when(o["status"] == "OK", o["plaintext"]).when(o["status"].isNotNull(), F.raise_error(F.concat(o["status"], F.lit(f": column {n}"))).cast("binary"))
+            plain = F.when(o["status"] == "OK", o["plaintext"])
+            if codes:
+                df = df.withColumn(CODE + n, F.when(F.col(f"`{n}`").isNotNull() & e.isNull(), "NOT_CIPHERTEXT").when(o["status"] != "OK", o["status"]).when(o["status"].isNotNull() & F.col("k_id").isNull(), "KEY_UNAVAILABLE"))
+                plain = F.when(F.col(CODE + n).isNull(), plain)
+                kept = current | e.isNull() | F.col(CODE + n).isNotNull()
+            else:
+                plain = plain.when(o["status"].isNotNull(), F.raise_error(F.concat(o["status"], F.lit(f": column {n}"))).cast("binary"))
+                kept = current | e.isNull()
             df = df.withColumn(f"__{n}_r", crypto.entropy_col())
             df = df.withColumn(f"__{n}_new", envelope.seal(plain, F.col("k_id"), F.col("k_dek"), context, F.col(f"`__{n}_r`"), self.labels.commitment)).drop(f"__{n}_r")
-            out = F.when(current | e.isNull(), e).otherwise(F.col(f"`__{n}_new`"))
-            df = df.withColumn(n, F.base64(out) if c.storage == "base64" else out).drop(f"__{n}_e", f"__{n}_o", f"__{n}_new", "r_id", "r_deks")
+            new = F.col(f"`__{n}_new`")
+            df = df.withColumn(n, F.when(kept, F.col(f"`{n}`")).otherwise(F.base64(new) if c.storage == "base64" else new)).drop(f"__{n}_e", f"__{n}_o", f"__{n}_new", "r_id", "r_deks")
             df = df.withMetadata(n, table.metadata(c))
         return df.drop(SCOPE, "k_scope", "k_id", "k_dek")
 

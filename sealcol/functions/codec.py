@@ -49,7 +49,7 @@ def opening_type(logical: str, wide: str | None = None) -> T.DataType:
 def float_text(x: float) -> str:
     """The shortest digits that round-trip, plain from 1e-6 to below 1e21, else with an exponent; -0 keeps its sign."""
     if math.isnan(x) or math.isinf(x):
-        raise ValueError("not a finite number")
+        raise ValueError("not a finite number", raises)
     sign = "-" if math.copysign(1, x) < 0 else ""
     if x == 0:
         return sign + "0"
@@ -73,8 +73,13 @@ def _float_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if v is None or pd.isna(v) or math.isinf(v) else float_text(v) for v in p.astype(object)], dtype=object)
 
 
-def _refuse(condition: Column, c: Column, what: str) -> Column:
-    return F.when(condition, F.raise_error(F.lit(f"RENDERING_REFUSED: {what}")).cast("string")).otherwise(c)
+def refusal(what: str, t: T.DataType | str, raises: bool) -> Column:
+    """What stands for a value that has no canonical form: an error, or null where errors are values."""
+    return F.raise_error(F.lit(f"RENDERING_REFUSED: {what}")).cast(t) if raises else F.lit(None).cast(t)
+
+
+def _refuse(condition: Column, c: Column, what: str, raises: bool) -> Column:
+    return F.when(condition, refusal(what, "string", raises)).otherwise(c)
 
 
 def plain_digits(s: Column) -> Column:
@@ -92,12 +97,12 @@ def holds(t: T.DataType, source: T.DataType) -> bool:
     return all(a >= b for a, b in zip(of(t), of(source)))
 
 
-def fitting(c: Column, source: T.DataType, t: T.DataType) -> Column:
+def fitting(c: Column, source: T.DataType, t: T.DataType, raises: bool = True) -> Column:
     """An int or decimal column, refusing values that would open to something else."""
     if holds(t, source):
         return c
     same = plain_digits(c.try_cast(t).cast("string")) == plain_digits(c.cast("string"))  # as numbers they would be rounded first
-    return F.when(c.isNotNull() & ~F.coalesce(same, F.lit(False)), F.raise_error(F.lit(f"RENDERING_REFUSED: no {t.simpleString()} is this number")).cast(source)).otherwise(c)
+    return F.when(c.isNotNull() & ~F.coalesce(same, F.lit(False)), refusal(f"no {t.simpleString()} is this number", source, raises)).otherwise(c)
 
 
 def canonical_bytes(value: object, logical: str) -> bytes:
@@ -122,8 +127,8 @@ def canonical_bytes(value: object, logical: str) -> bytes:
     return (at.strftime("%Y-%m-%dT%H:%M:%S").rjust(19, "0") + f".{at.microsecond:06d}Z").encode()
 
 
-def render(c: Column, t: T.DataType) -> Column:
-    """A column's canonical bytes."""
+def render(c: Column, t: T.DataType, raises: bool = True) -> Column:
+    """A column's canonical bytes. ``raises=False``: null for a value that has none."""
     kind = logical_type(t)
     if kind == "bytes":
         return c
@@ -134,31 +139,31 @@ def render(c: Column, t: T.DataType) -> Column:
         s = plain_digits(s)
     elif kind == "float":
         d = c.cast("double")
-        s = _refuse(F.isnan(d) | F.abs(d).eqNullSafe(F.lit(float("inf"))), _float_text(d), "not a finite number")
+        s = _refuse(F.isnan(d) | F.abs(d).eqNullSafe(F.lit(float("inf"))), _float_text(d), "not a finite number", raises)
     elif kind == "date":
-        s = _refuse((F.year(c) < 1) | (F.year(c) > 9999), s, "a year outside 0001 to 9999")
+        s = _refuse((F.year(c) < 1) | (F.year(c) > 9999), s, "a year outside 0001 to 9999", raises)
     elif kind == "datetime":
         utc = F.to_utc_timestamp(c, F.current_timezone())
-        s = _refuse((F.year(utc) < 1) | (F.year(utc) > 9999), F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "a year outside 0001 to 9999")
+        s = _refuse((F.year(utc) < 1) | (F.year(utc) > 9999), F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "a year outside 0001 to 9999", raises)
     return F.encode(s, "UTF-8")
 
 
-def parse(b: Column, logical: str, t: T.DataType | None = None) -> Column:
-    """The value of canonical bytes; raises for bytes that are not canonical."""
+def parse(b: Column, logical: str, t: T.DataType | None = None, raises: bool = True) -> Column:
+    """The value of canonical bytes; bytes that are not canonical are an error, or with ``raises=False`` null."""
     t = t or opening_type(logical)
     if logical == "bytes":
         return b
 
     def decoded(raw: Column) -> Column:
         s = raw.cast("string")
-        return F.when(raw.isNotNull() & ~F.is_valid_utf8(s), F.raise_error(F.lit(f"RENDERING_REFUSED: not UTF-8 ({logical})")).cast("string")).otherwise(s)
+        return F.when(raw.isNotNull() & ~F.is_valid_utf8(s), refusal(f"not UTF-8 ({logical})", "string", raises)).otherwise(s)
 
     text = let(b, decoded)
     if logical == "string":
         return text
 
     def strict(s: Column, valid: Column, value: Column) -> Column:
-        return F.when(s.isNull(), F.lit(None).cast(t)).when(valid, value).otherwise(F.raise_error(F.lit(f"RENDERING_REFUSED: not canonical ({logical})")).cast(t))
+        return F.when(s.isNull(), F.lit(None).cast(t)).when(valid, value).otherwise(refusal(f"not canonical ({logical})", t, raises))
 
     def checked(pattern: str, value) -> Column:
         return let(text, lambda s: let(value(s), lambda v: strict(s, s.rlike(pattern) & v.isNotNull(), v)))

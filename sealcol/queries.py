@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .engine import Engine
-from .errors import ConfigurationError
+from .errors import ConfigurationError, SealError
 from .functions import codec
 from .functions.normalize import CASEFOLD, DIGITS, IDENTITY, casefold, normalize_col
 from .operators import backfill, census, leakage
@@ -44,17 +44,21 @@ def _engine(spark: SparkSession, provider=None, **options) -> Engine:
     return Engine(spark, provider or DerivedKeyProvider(ROOT), arm_provisional=True, **options)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Written to the folder that driver and executors share, and read again."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ConfigurationError("spark.checkpoint.dir names the folder that driver and executors share; it is not set")
         base = "file://" + os.path.join(tempfile.gettempdir(), "sealcol-shared")
-    path = f"{base.rstrip('/')}/sealed-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sealed-{uuid.uuid4().hex}"
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, and read again."""
+    path = _shared(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _index(population: int, normalize: str = IDENTITY, **more) -> Index:
@@ -445,6 +449,86 @@ def backfill_verify(spark, sf):
     return backfill.verify(engine, _stored(backfill.encrypt(engine, df, t)), t, original)
 
 
+class Withheld(DerivedKeyProvider):
+    """Derived keys, but none for one scope."""
+
+    def __init__(self, root: bytes, scope: bytes):
+        super().__init__(root)
+        self.scope = scope
+
+    def data_keys(self, scope):
+        return [] if scope == self.scope else super().data_keys(scope)
+
+
+#: What a run does with each customer's name, by key: six kinds of values that cannot be sealed.
+BAD = """CASE WHEN c_custkey % 7 = 0 THEN 'null' WHEN c_custkey % 11 = 1 THEN 'UNKNOWN_FORMAT_VERSION' WHEN c_custkey % 13 = 0 THEN 'CONTEXT_UNAVAILABLE' WHEN c_custkey % 11 = 2 THEN 'RENDERING_REFUSED'
+WHEN c_custkey % 11 = 4 THEN 'LENGTH_EXCEEDED' WHEN c_nationkey = 3 THEN 'KEY_UNAVAILABLE' WHEN c_custkey % 11 = 3 THEN 'INVALID_ARGUMENT' ELSE 'written' END"""
+
+
+@query(f"SELECT outcome, count(*) AS n, count(*) AS n_counted, CASE WHEN outcome <> 'written' THEN count(*) ELSE 0 END AS n_unchanged FROM (SELECT {BAD} AS outcome FROM customer) GROUP BY 1")
+def backfill_failures(spark, sf):
+    """A run over a table with bad values ends complete: each is counted by its code and left byte for byte."""
+    name = F.encode("c_name", "UTF-8")
+    kind = F.col("c_custkey") % 11
+    raw = F.when(kind == 1, F.concat(F.lit(b"\2"), F.encode(F.lit("x" * 120), "UTF-8"))).when(kind == 2, F.concat(name, F.lit(b"\xff\xfe"))).when(kind == 3, F.encode(F.concat("c_name", F.lit("\u0378")), "UTF-8")).when(kind == 4, F.encode(F.repeat("c_name", F.lit(20)), "UTF-8")).otherwise(name)
+    df = _read(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 13 != 0, F.col("c_nationkey")).alias("c_nationkey"), F.when(F.col("c_custkey") % 7 != 0, raw).alias("c_name"))
+    source = _stored(df)
+    engine = _engine(spark, Withheld(ROOT, b"3"), max_plaintext=200)
+    t = Table("customer", _id("customer"), (Column("c_name", _id("customer.c_name"), "string", _index(1 << 11, CASEFOLD)),), pk=("c_custkey",), tenant="c_nationkey")
+    at = _shared(spark)
+    runner = backfill.Runner(engine, t, f"{at}/log", f"{at}/rows")
+    run = runner.work(runner.start("encrypt", source, ranges=4), source)
+    if run.status != "complete":
+        raise SealError("INTERNAL", "the run did not end")
+    counted = run.total("counts")[t.columns[0].uuid.hex()] | run.total("failures")[t.columns[0].uuid.hex()]
+    told = spark.createDataFrame([(k, n) for k, n in counted.items() if k != "failed"], "outcome string, n_counted long")
+    rows = runner.result(run).select("c_custkey", F.col("c_name").alias("now")).join(source.select("c_custkey", "c_name"), "c_custkey")
+    rows = rows.join(runner.quarantine(run).select("c_custkey", "code"), "c_custkey", "left")
+    rows = rows.select(F.coalesce("code", F.when(F.col("c_name").isNull(), "null").otherwise("written")).alias("outcome"), F.col("now").eqNullSafe(F.col("c_name")).cast("long").alias("same"))
+    return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("same").alias("n_unchanged")).join(told, "outcome").select("outcome", "n", "n_counted", "n_unchanged")
+
+
+def _priorities(spark: SparkSession, sf: str) -> tuple[DataFrame, Table, str]:
+    """orders with o_orderpriority as bytes, and a table to seal it in place."""
+    source = _stored(_read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.encode("o_orderpriority", "UTF-8").alias("o_orderpriority")))
+    return source, Table("orders", _id("orders"), (Column("o_orderpriority", _id("orders.o_orderpriority"), "string"),), pk=("o_orderkey",)), _shared(spark)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, 8 AS ranges, 5 AS resumed FROM orders")
+def range_resume(spark, sf):
+    """Ranges of the key, one committed output each: a second runner does what the first, stopped after three, left."""
+    source, t, at = _priorities(spark, sf)
+    engine = _engine(spark)
+    first = backfill.Runner(engine, t, f"{at}/log", f"{at}/rows")
+    run = first.lay_out(first.start("encrypt", source, ranges=8), source)
+    run = first.work(run, source, only=3)
+    second = backfill.Runner(engine, t, f"{at}/log", f"{at}/rows")
+    left = len(second.resume(run.run_id).todo)
+    run = second.work(run, source)
+    opened = SealedFrame(engine, second.result(run), t).decrypted()
+    return opened.select("o_orderkey", "o_custkey", "o_orderpriority", F.lit(run.ranges).alias("ranges"), F.lit(left).alias("resumed"))
+
+
+@query("SELECT o_orderkey, o_orderpriority, true AS refused FROM orders")
+def run_taken_over(spark, sf):
+    """A runner whose lease ran out is taken over; what it wrote in the meantime is refused and its rows are nowhere read."""
+    source, t, at = _priorities(spark, sf)
+    engine, now = _engine(spark), [1000.0]
+    slow, other = (backfill.Runner(engine, t, f"{at}/log", f"{at}/rows", holder=h, lease=60.0, clock=lambda: now[0]) for h in ("slow", "other"))
+    run = slow.work(slow.start("encrypt", source, ranges=4), source, only=1)
+    held = slow.claim(run.run_id)
+    now[0] += 61
+    run = other.work(other.resume(run.run_id), source, only=2)
+    refused = False
+    try:
+        slow._range(held, 1, backfill.in_range(source, t.pk, held.splits, 1))
+    except backfill.LostRun:
+        refused = True
+    run = other.work(run, source)
+    opened = SealedFrame(engine, other.result(run), t).decrypted()
+    return opened.select("o_orderkey", "o_orderpriority", F.lit(refused).alias("refused"))
+
+
 @query(f"SELECT 'c_name' AS column, count(*) FILTER (c_custkey % 3 = 0 AND c_name IS NOT NULL) AS n_pending FROM {M}")
 def rotate_pending(spark, sf):
     df, t = _migrating(spark, sf, _engine(spark))
