@@ -26,6 +26,7 @@ class Labels:
     commitment: bytes = b"sealcol-commit-v1"
     argon2_salt: bytes = b"sealcol-argon2-salt-v1"
     unindexable: bytes = b"\xffsealcol-unindexable-v1"
+    record: bytes = b"sealcol-record-v1"
     derived: bytes = b"sealcol-derived-provider-v1"
     derived_tag: bytes = b"SCDK"
 

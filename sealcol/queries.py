@@ -20,7 +20,7 @@ from .engine import Engine
 from .errors import ConfigurationError, SealError
 from .functions import codec
 from .functions.normalize import CASEFOLD, DIGITS, IDENTITY, casefold, normalize_col
-from .operators import backfill, census, leakage
+from .operators import backfill, census, leakage, prefix, record
 from .operators.frame import SealedFrame
 from .plans.declare import Column, Index, Override, Slow, Table, bits_for
 from .plans.keys import DerivedKeyProvider
@@ -609,6 +609,42 @@ def row_bound_open(spark, sf):
     return _customers(spark, sf, row="c_custkey").decrypted("c_name").select("c_custkey", "c_name")
 
 
+@query(f"""SELECT c_custkey, status, CASE WHEN status = 'OK' THEN c_acctbal END AS c_acctbal FROM (SELECT c_custkey, c_acctbal, CASE c_custkey % 10
+WHEN 1 THEN CASE WHEN c_name IS NULL THEN 'DROPPED' ELSE 'SWAPPED' END WHEN 2 THEN CASE WHEN c_name IS NULL THEN 'OK' ELSE 'REPLACED' END WHEN 3 THEN 'DROPPED'
+WHEN 4 THEN 'MAC_INVALID' WHEN 5 THEN 'MAC_MISSING' WHEN 6 THEN CASE WHEN c_name IS NULL THEN 'ADDED' ELSE 'OK' END ELSE 'OK' END AS status FROM {C})""")
+def record_mac_status(spark, sf):
+    """Fields swapped, rolled back, dropped, added, and tags of other records: each told apart before anything is opened."""
+    f = _customers(spark, sf)
+    older = _stored(f.engine.seal(_read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), f.table)).select("c_custkey", F.col("c_name").alias("old_name"))
+    df = _stored(record.attach(f.engine, f.df, f.table)).join(older, "c_custkey")
+    case, name, tag = F.col("c_custkey") % 10, F.col("c_name"), F.col("record_mac")
+    moved = F.overlay(tag, F.lit(b"\0"), F.octet_length(tag))
+    moved = F.when(F.substring(tag, F.octet_length(tag), F.lit(1)) == F.lit(b"\0"), F.overlay(tag, F.lit(b"\1"), F.octet_length(tag))).otherwise(moved)
+    replaced = {
+        "c_name": F.when(case == 1, F.col("c_acctbal")).when((case == 2) & name.isNotNull(), F.col("old_name")).when((case == 6) & name.isNull(), F.col("old_name")).otherwise(name),
+        "c_acctbal": F.when(case == 1, name).when(case != 3, F.col("c_acctbal")),
+        "record_mac": F.when(case == 4, moved).when(case != 5, tag),
+    }
+    got = record.open_checked(f.engine, df.withColumns(replaced).drop("old_name"), f.table, ("c_acctbal",), raises=False)
+    return got.select("c_custkey", F.col("record_mac_status").alias("status"), "c_acctbal")
+
+
+@query("SELECT 'part' AS source, p_partkey AS key, p_name AS name FROM part WHERE starts_with(p_name, (SELECT substring(min(p_name), 1, 4) FROM part)) OR starts_with(p_name, (SELECT substring(max(p_name), 1, 3) FROM part)) UNION ALL SELECT 'customer', c_custkey, c_name FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS c_name FROM customer) WHERE starts_with(c_name, 'Customer#00000001')")
+def prefix_verified(spark, sf):
+    """Prefix lookups through tables of keyed tokens, verified."""
+    engine, out = _engine(spark), None
+    names = _read(spark, sf, "part").agg(F.min("p_name").alias("a"), F.max("p_name").alias("z")).first()
+    for table, key, column, lengths, asked in (("part", "p_partkey", "p_name", (3, 6), (names["a"][:4], names["z"][:3])), ("customer", "c_custkey", "c_name", (9, 16), ("Customer#00000001",))):
+        df = _read(spark, sf, table).select(key, column)
+        df = _with_nulls(df, column, key) if table == "customer" else df
+        t = Table(table, _id(table), (Column(column, _id(f"{table}.{column}"), "string"),), pk=(key,))
+        f = SealedFrame(engine, _stored(engine.seal(df, t)), t)
+        found = prefix.build(f, prefix.Prefix(column, lengths, _index(1 << 10), DEMO), _shared(spark)).starts_with(*asked)
+        rows = found.decrypted().select(F.lit(table).alias("source"), F.col(key).alias("key"), F.col(column).alias("name"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def _quiet(spark: SparkSession, mode: str) -> Engine:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
