@@ -459,12 +459,47 @@ def test_substring_dedup_past_quotes_of_many_lengths(spark):
     assert all(x in found and x[::-1] in found for x in pairs)
 
 
-def test_substring_dedup_links_a_passage_of_many_holders(spark, monkeypatch):
-    """A passage in 300 texts: all hold it, in rows in proportion to them, also where its seeds are cut into parts."""
+def quoted(pairs, quotes):
+    """Pairs of texts that share exactly 50 words, of which others quote from 45 to 49."""
+    texts = []
+    for p in range(pairs):
+        passage = prose(16000 + p, 50).split()
+        for side in (0, 1):
+            texts.append((1000 * p + side * 500, " ".join([prose(16100 + 2 * p + side, 30), *passage, prose(16200 + 2 * p + side, 30)])))
+        for q in range(quotes):
+            n = 45 + q % 5
+            at = (q * 7) % (51 - n)
+            texts.append((1000 * p + 1 + q, " ".join([prose(17000 + 400 * p + q, 30), "q%dx%d" % (p, q), *passage[at : at + n], "r%dx%d" % (p, q), prose(27000 + 400 * p + q, 30)])))
+    return texts, [(1000 * p, 1000 * p + 500) for p in range(pairs)]
+
+
+@pytest.mark.parametrize("partitions, at_a_time, wide", [(4, 200_000, 4096), (300, 200_000, 4096), (4, 40, 4096), (8, 200_000, 3)])
+def test_substring_dedup_loses_no_pair_wherever_seeds_are_cut(spark, monkeypatch, partitions, at_a_time, wide):
+    """Over any number of partitions, lists cut anywhere, and with or without whole hashes: the same pairs, all of them."""
+    monkeypatch.setattr(substring, "ROWS", at_a_time)
+    monkeypatch.setattr(substring, "WIDE", wide)
+    monkeypatch.setattr(substring, "TAIL", 4)
+    texts, pairs = quoted(8, 120)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {(r[0], r[3]) for r in rows(substring.passages(frame(spark, texts), identity=1.0))}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(x in found and x[::-1] in found for x in pairs)
+    assert found == set(pairs) | {x[::-1] for x in pairs}
+
+
+def test_substring_dedup_links_a_passage_of_many_holders(spark):
+    """A passage in 300 texts: all hold it, in rows in proportion to them, each with its partners."""
     passage = prose(9000, 70)
     texts = [(i, " ".join([prose(9100 + i, 40), passage, prose(9500 + i, 20)])) for i in range(300)]
     got = rows(substring.passages(frame(spark, texts)))
-    assert {r[0] for r in got if r[1] <= 42 and r[2] >= 108} == set(range(300)) and len(got) < 300 * 12
+    assert {r[0] for r in got if r[1] <= 42 and r[2] >= 108} == set(range(300)) and len(got) < 300 * 24
+    told = {(r[0], r[3]) for r in got}
+    assert told == {x[::-1] for x in told}
     root = list(range(300))
     for _ in range(60):
         for r in got:
