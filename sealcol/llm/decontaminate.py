@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over training token windows.
 
 An item's windows are its runs of ``window`` words (10); an item of fewer words, but not none, is one window. Each hit is
-verified word by word, so a hash collision never counts. The hash set is broadcast only while the benchmark's text is at
-most ``broadcast_bytes``. Beyond that, windows whose hash a bitmap of FILTER_BITS does not rule out are joined with the
+verified word by word, so a hash collision never counts. The hash set (flat arrays, some ten times the text) is broadcast only
+while the benchmark's text is at most ``broadcast_bytes``. Beyond that, windows whose hash a bitmap of FILTER_BITS does not rule out are joined with the
 benchmark's on hash and words, by sort-merge, and their places put together by row; the result is the same. The corpus is
 then written once, with row numbers, and each text is marked before anything is cut.
 
@@ -28,29 +28,54 @@ FILTER_BITS = 1 << 25
 
 
 class WindowSet:
-    """Windows of the benchmark, by number of words: sorted hashes, the words to verify with, and the items of each."""
+    """Windows of the benchmark in flat arrays, by number of words: some ten bytes for each byte of its text, in all.
+
+    Of each number of words: sorted hashes; of each hash its distinct windows (almost always one), told by the word of the
+    benchmark at which one begins; and of each window the items that have it.
+    """
 
     def __init__(self, ids: list[str | None], texts: pa.Array, window: int):
         w = find_words(*buffers(texts))
-        self.ids, self.window = ids, window
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[tuple[bytes, ...], list[int]]]]] = {}
-        found: dict[int, dict[int, dict[tuple[bytes, ...], set[int]]]] = {}
-        counts = np.diff(w.ptr)
-        for size in sorted({int(min(c, window)) for c in counts if c}):
+        self.ids = ids
+        self.words = Words(np.zeros(0, np.uint64), w.start.astype(np.int32), w.end.astype(np.int32), np.zeros(1, np.int64), w.low)
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
+        least = np.minimum(np.diff(w.ptr), window)
+        for size in np.unique(least[least > 0]).tolist():
             at, g = windows(w, size)
-            row = w.row[at]
-            for p, h, r in zip(at.tolist(), g.tolist(), row.tolist()):
-                if min(counts[r], window) == size:
-                    found.setdefault(size, {}).setdefault(h, {}).setdefault(words_at(w, p, size), set()).add(r)
-        for size, by_hash in found.items():
-            table = np.array(sorted(by_hash), np.uint64)
-            self.by_size[size] = (table, bitmap(table), [[(t, sorted(rows)) for t, rows in by_hash[int(h)].items()] for h in table])
+            row = np.searchsorted(w.ptr, at, "right") - 1
+            own = least[row] == size
+            self.by_size[size] = self._table(size, at[own], g[own], row[own])
+
+    def _table(self, size: int, at: np.ndarray, g: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((at, g))
+        at, g, row = at[order].astype(np.int32), g[order], row[order].astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        of = np.repeat(first, np.diff(np.append(first, len(g))))
+        kind = np.zeros(len(g), np.int32)  # of one hash: which of its distinct windows
+        for i in np.flatnonzero(of != np.arange(len(g))).tolist():
+            if not same_words(self.words, int(at[i]), self.words, int(at[of[i]]), size):
+                texts = [words_at(self.words, int(x), size) for x in at[of[i] : i + 1]]
+                kind[i] = kind[of[i] + texts.index(texts[-1])] if texts[-1] in texts[:-1] else kind[of[i] : i].max() + 1
+        order = np.lexsort((row, kind, g))
+        at, g, row, kind = at[order], g[order], row[order], kind[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (kind[1:] != kind[:-1])])
+        keep = new.copy()  # an item once for each window
+        keep[1:] |= row[1:] != row[:-1]
+        group = np.flatnonzero(new)
+        table, starts = np.unique(g[group], return_index=True)
+        items = np.searchsorted(np.flatnonzero(keep), group).astype(np.int32)
+        return table, bitmap(table), np.append(starts, len(group)).astype(np.int32), at[group], np.append(items, keep.sum()).astype(np.int32), row[keep]
+
+    @property
+    def size(self) -> int:
+        """Bytes of its arrays."""
+        return sum(x.nbytes for own in self.by_size.values() for x in own) + sum(x.nbytes for x in (self.words.start, self.words.end, self.words.low))
 
     def scan(self, w: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """For each word whether it is hit, and the items by row."""
         edge = np.zeros(len(w) + 1, np.int64)
         items: dict[int, set[str]] = {}
-        for size, (table, bits, entries) in self.by_size.items():
+        for size, (table, bits, kinds, begins, of, rows_of) in self.by_size.items():
             at, g = windows(w, size)
             hits = member(g, table, bits)
             if not len(hits):
@@ -58,15 +83,18 @@ class WindowSet:
             which = np.searchsorted(table, g[hits])
             rows = np.searchsorted(w.ptr, at[hits], "right") - 1
             for p, k, r in zip(at[hits].tolist(), which.tolist(), rows.tolist()):
-                words = words_at(w, p, size)
-                for text, of in entries[k]:
-                    if text == words:
+                for x in range(kinds[k], kinds[k + 1]):
+                    if same_words(w, p, self.words, int(begins[x]), size):
                         edge[p] += 1
                         edge[p + size] -= 1
-                        items.setdefault(r, set()).update(self.ids[i] for i in of if self.ids[i] is not None)
+                        items.setdefault(r, set()).update(self.ids[i] for i in rows_of[of[x] : of[x + 1]].tolist() if self.ids[i] is not None)
         return np.cumsum(edge[:-1]) > 0, items
 
 
+def same_words(x: Words, p: int, y: Words, q: int, n: int) -> bool:
+    return words_at(x, p, n) == words_at(y, q, n)
+
+
 def words_at(w: Words, p: int, n: int) -> tuple[bytes, ...]:
     return tuple(filter(None, w.low[w.start[p] : w.end[p + n - 1]].tobytes().split(b"\0")))
 

@@ -265,3 +265,45 @@ def test_long_words_are_summed_over_all_cuts():
     scorer = langid.Scorer(langid.Model(["a", "b"], p, vocabulary("piece_bpe_32k.model")))
     both = scorer.words(np.arange(5, dtype=np.uint64), raw, offs[:-1], offs[1:])
     assert np.allclose(both[order], got)
+
+
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_window_set_in_flat_arrays(monkeypatch, bits):
+    """Hits and items as by plain comparison, also where many windows share a hash; ten bytes a byte of text or so."""
+    import pyarrow as pa
+
+    from sealcol.llm import decontaminate as D
+    from sealcol.llm.vectext import buffers, find_words, windows
+
+    from .fixtures import prose, words
+
+    mask = np.uint64((1 << bits) - 1)
+    monkeypatch.setattr(D, "windows", lambda w, n: (lambda at, g: (at, g & mask))(*windows(w, n)))
+    items = [prose(i % 9, 6 + i % 9) for i in range(40)] + ["", None, "ka", "KA", prose(3, 60)]
+    ids = [str(i) for i in range(len(items))]
+    known = D.WindowSet(ids, pa.array(items, pa.string()), 8)
+    docs = [prose(i % 9, 80) + " ka " + prose(100 + i, 30) for i in range(12)] + ["", "lo ka", prose(3, 59)]
+    w = find_words(*buffers(pa.array(docs)))
+    hit, found = known.scan(w)
+    for r, text in enumerate(docs):
+        own, want, of = words(text), [False] * len(words(text)), set()
+        for i, item in enumerate(items):
+            x = words(item)
+            m = min(8, len(x))
+            runs = {tuple(x[a : a + m]) for a in range(len(x) - m + 1)} if m else set()
+            for a in range(len(own) - m + 1):
+                if m and tuple(own[a : a + m]) in runs:
+                    want[a : a + m] = [True] * m
+                    of.add(ids[i])
+        assert hit[w.ptr[r] : w.ptr[r + 1]].tolist() == want and found.get(r, set()) == of
+
+
+def test_window_set_is_small():
+    import pyarrow as pa
+
+    from sealcol.llm.decontaminate import BROADCAST_BYTES, WindowSet
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50_000, 40)) for _ in range(4000)]
+    size = sum(map(len, texts))
+    assert WindowSet([str(i) for i in range(len(texts))], pa.array(texts), 10).size * BROADCAST_BYTES / size < 150e6
