@@ -20,7 +20,7 @@ from .engine import Engine
 from .errors import ConfigurationError, SealError
 from .functions import codec
 from .functions.normalize import CASEFOLD, DIGITS, IDENTITY, casefold, normalize_col
-from .operators import backfill, census, leakage, prefix, record
+from .operators import backfill, census, correlation, leakage, prefix, record
 from .operators.frame import SealedFrame
 from .plans.declare import Column, Index, Override, Slow, Table, bits_for
 from .plans.keys import DerivedKeyProvider
@@ -596,6 +596,31 @@ def leak_verdict(spark, sf):
     return out
 
 
+#: Pairs of columns: independent, one a function of the other, and in part.
+PAIRS = (("customer", "c_nationkey", "c_mktsegment", 4), ("lineitem", "l_returnflag", "l_linestatus", 3), ("orders", "o_orderkey", "o_custkey", 5), ("supplier", "s_nationkey", "s_name", 3))
+
+
+def _pair_sql(table: str, a: str, b: str, bits: int) -> str:
+    of = lambda c: f"CAST('0x' || substr(sha256(CAST({c} AS VARCHAR)), 1, 15) AS BIGINT) % {2**bits}"
+    return f"""(WITH p AS (SELECT {of(a)} AS x, {of(b)} AS y, count(*) AS n FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT sum(n) AS n, max(n) AS top FROM p GROUP BY x), y AS (SELECT sum(n) AS n, max(n) AS top FROM p GROUP BY y),
+t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * log2(n)) AS s FROM p), tx AS (SELECT count(*) AS k, sum(n * log2(n)) AS s, sum(top) AS r, max(n) AS m FROM x), ty AS (SELECT count(*) AS k, sum(n * log2(n)) AS s, sum(top) AS r, max(n) AS m FROM y),
+h AS (SELECT CAST(t.n AS BIGINT) AS n, t.k AS k, log2(t.n) - tx.s / t.n AS ha, log2(t.n) - ty.s / t.n AS hb, log2(t.n) - t.s / t.n AS hab, (t.k - tx.k - ty.k + 1) / (2 * t.n * ln(2)) AS bias, (ty.r - tx.m) / t.n AS pa, (tx.r - ty.m) / t.n AS pb FROM t, tx, ty),
+v AS (SELECT *, greatest(0, ha + hb - hab - bias) AS i, CASE WHEN least(ha, hb) > 0 THEN greatest(0, ha + hb - hab - bias) / least(ha, hb) ELSE 0 END AS sh FROM h)
+SELECT '{a}' AS a, '{b}' AS b, n AS n_rows, k AS counters, round(hab, 6) AS entropy_ab, round(i, 6) AS shared_bits, round(sh, 6) AS shared, round(pa, 6) AS predicts_a, round(pb, 6) AS predicts_b, CASE WHEN sh >= 0.05 OR greatest(pa, pb) >= 0.05 THEN 'CORRELATED' ELSE 'INDEPENDENT' END AS verdict FROM v)"""
+
+
+@query(" UNION ALL ".join(_pair_sql(*p) for p in PAIRS))
+def correlated_pairs(spark, sf):
+    """What two indexes would tell about each other, from bounded counters of bucket pairs."""
+    out = None
+    for table, a, b, bits in PAIRS:
+        p = correlation.profile(_read(spark, sf, table), a, b, bits)
+        p = p.select("a", "b", "n_rows", "counters", *[F.round(c, 6).alias(c) for c in ("entropy_ab", "shared_bits", "shared", "predicts_a", "predicts_b")], "verdict")
+        out = p if out is None else out.union(p)
+    return out
+
+
 @query(f"SELECT c_custkey, c_nationkey, c_name FROM {C} WHERE c_name IN {N3}")
 def tenant_scoped_eq(spark, sf):
     """Every nation has keys of its own; the lookup is made under each row's."""
