@@ -10,11 +10,11 @@ import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column as SparkColumn
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import ConfigurationError, InvalidArgument, SealError
+from .errors import CODES, ConfigurationError, InvalidArgument, SealError
 from .functions import codec, crypto, envelope
 from .functions import normalize as N
 from .plans import suites
@@ -41,6 +41,55 @@ class Metrics:
     decrypt_errors: dict[str, int] = field(default_factory=dict)
 
 
+#: Keys up to which a counted read tells its values by key, too.
+COUNTED_KEYS = 32
+
+
+class Counts:
+    """What a counted read has seen, once an action over it has run: values by column and outcome, and by key.
+
+    Outcomes are OK, PLAIN (what was passed through as it is), null and the codes of errors. They are observed in the stage
+    that opens the values, per finished task: retried and speculative tasks count once where that stage is the action's last, as
+    in a write of the opened rows.
+    """
+
+    def __init__(self, engine: Engine, columns: tuple[str, ...], keys: list[bytes]):
+        self.engine, self.columns, self.keys, self.seen, self._told = engine, columns, keys, Observation(), False
+
+    OUTCOMES = ("OK", "PLAIN", "null", *CODES)
+
+    def watch(self, df: DataFrame, outcome: dict[str, SparkColumn], key: dict[str, SparkColumn]) -> DataFrame:
+        count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+        sums = [count(outcome[n] == x).alias(f"{i} {x}") for i, n in enumerate(self.columns) for x in self.OUTCOMES]
+        sums += [count((outcome[n] == "OK") & (key[n] == lit_bytes(k))).alias(f"{i} key {k.hex()}") for i, n in enumerate(self.columns) for k in self.keys]
+        return df.observe(self.seen, *sums)
+
+    def values(self) -> dict[str, dict[str, int]]:
+        """By column, the values of each outcome that there is. The first call adds them to the engine's metrics."""
+        got = self.seen.get
+        out = {n: {x: got[f"{i} {x}"] for x in self.OUTCOMES if got[f"{i} {x}"]} for i, n in enumerate(self.columns)}
+        if not self._told:
+            self._told = True
+            m = self.engine.metrics
+            for own in out.values():
+                for x, n in own.items():
+                    if x == "PLAIN":
+                        m.plaintext_reads += n
+                    elif x not in ("OK", "null"):
+                        m.decrypt_errors[x] = m.decrypt_errors.get(x, 0) + n
+        return out
+
+    def by_key(self) -> dict[str, dict[bytes, int]]:
+        """By column, the values that each key has opened; empty where there are more than COUNTED_KEYS (see census.by_key)."""
+        got = self.seen.get
+        return {n: {k: got[f"{i} key {k.hex()}"] for k in self.keys if got[f"{i} key {k.hex()}"]} for i, n in enumerate(self.columns)}
+
+    def rows(self) -> DataFrame:
+        """column, outcome, n."""
+        told = [(n, x, k) for n, own in self.values().items() for x, k in own.items()]
+        return self.engine.spark.createDataFrame(told, "column string, outcome string, n long")
+
+
 class Engine:
     """Read modes: 'strict' raises for what is no envelope, 'permissive' and 'readonly' pass it through; 'readonly' seals nothing."""
 
@@ -293,11 +342,22 @@ class Engine:
         most = max(map(len, rows.values()), default=0)
         return self._small([(bytearray(i), [bytearray(d) for d in dict.fromkeys(deks)]) for i, deks in rows.items()], "r_id binary, r_deks array<binary>"), most
 
-    def open(self, df: DataFrame, table: Table, columns: tuple[str, ...], *, raw: bool = False) -> DataFrame:
+    def counted(self, df: DataFrame, table: Table, columns: tuple[str, ...], *, raw: bool = False) -> tuple[DataFrame, Counts]:
+        """open(), and the counts of what it has read, which are there after one action. Errors are counted where they are values (raw)."""
+        known = [k.key_id for s in self._scopes(df, table) for k in self._known(s)] if not table.tenant else []
+        counts = Counts(self, tuple(columns), known if len(known) <= COUNTED_KEYS else [])
+        return self.open(df, table, columns, raw=raw, counts=counts), counts
+
+    def _known(self, scope: bytes):
+        self.provider.warm([scope])
+        return self.provider.data_keys(scope)
+
+    def open(self, df: DataFrame, table: Table, columns: tuple[str, ...], *, raw: bool = False, counts: Counts | None = None) -> DataFrame:
         """Envelopes become values (raw: struct(status, plaintext)). Lazy: only these columns are opened."""
         check_metadata(df, table)
         df = with_scope(self.spread(df), table)
         keys, most = self.read_keys(self._scopes(df, table))
+        outcome, key = {}, {}
         for n in columns:
             c = table.column(n)
             stored = F.unbase64(F.col(f"`{n}`")) if c.storage == "base64" else F.col(f"`{n}`")
@@ -306,6 +366,12 @@ class Engine:
             df = df.join(keys, F.substring(e, 4, 16) == F.col("r_id"), "left")
             found = envelope.open_envelope(e, F.col("r_deks"), most, context_col(df, table, c, self.write_suite), self.labels.commitment, self.allowed_suites)
             strict = self.mode == "strict"
+            if counts is not None:  # bound to columns: what is observed is what is opened
+                df = df.withColumn(f"__{n}_o", found)
+                found = F.col(f"`__{n}_o`")
+                passed = (found["status"] == "NOT_CIPHERTEXT") & F.lit(not strict and not raw)
+                df = df.withColumn(f"__{n}_seen", F.when(e.isNull(), "null").when(passed, "PLAIN").otherwise(found["status"])).withColumn(f"__{n}_by", F.substring(e, 4, 16))
+                outcome[n], key[n] = F.col(f"`__{n}_seen`"), F.col(f"`__{n}_by`")
 
             def checked(o: SparkColumn, e: SparkColumn = e, n: str = n) -> SparkColumn:
                 out = F.when(o["status"].isNull() | (o["status"] == "OK"), o["plaintext"])
@@ -317,7 +383,9 @@ class Engine:
                 value = codec.parse(F.col(f"`__{n}_e`"), c.logical, c.spark_type)
             else:
                 value = found if raw else codec.parse(crypto.let(found, checked), c.logical, c.spark_type)
-            df = df.withColumn(n, value).drop(f"__{n}_e", "r_id", "r_deks")
+            df = df.withColumn(n, value).drop(f"__{n}_e", f"__{n}_o", "r_id", "r_deks")
+        if counts is not None:
+            df = counts.watch(df, outcome, key).drop(*[x for n in columns for x in (f"__{n}_seen", f"__{n}_by")])
         return df.drop(SCOPE)
 
     def rotate_table(self, df: DataFrame, table: Table, columns: tuple[str, ...] | None = None, codes: bool = False) -> DataFrame:

@@ -26,6 +26,7 @@ from .plans.declare import Column, Index, Override, Slow, Table, bits_for
 from .plans.keys import DerivedKeyProvider
 from .plans.predicates import Plain, ref
 from .plans.suites import AES_GCM
+from .sources.store import SealedStore
 
 ROOT = bytes(range(32))
 SUITE = AES_GCM.id
@@ -670,6 +671,37 @@ def prefix_verified(spark, sf):
     return out
 
 
+@query(f"SELECT 'c_name' AS column, outcome, count(*) AS n FROM (SELECT CASE WHEN c_name IS NULL THEN 'null' WHEN c_custkey % 3 <> 0 THEN 'NOT_CIPHERTEXT' WHEN c_custkey % 10 = 1 THEN 'COMMITMENT_INVALID' WHEN c_custkey % 10 = 2 THEN 'KEY_UNAVAILABLE' ELSE 'OK' END AS outcome FROM {C}) GROUP BY 2")
+def read_counts(spark, sf):
+    """Outcomes of a read, counted in the pass that opens the values."""
+    engine = _engine(spark)
+    df, t = _migrating(spark, sf, engine)
+    e, n = F.col("c_name"), F.octet_length("c_name")
+    case, sealed = F.col("c_custkey") % 10, F.col("c_custkey") % 3 == 0
+    last = F.when(F.substring(e, n, F.lit(1)) == F.lit(b"\0"), F.lit(b"\1")).otherwise(F.lit(b"\0"))
+    broken = F.when(sealed & (case == 1), F.overlay(e, last, n)).when(sealed & (case == 2), F.overlay(e, F.lit(b"?" * 16), F.lit(4))).otherwise(e)
+    opened, counts = engine.counted(df.withColumn("c_name", broken).withMetadata("c_name", t.metadata(t.columns[0])), t, ("c_name",), raw=True)
+    opened.write.format("noop").mode("overwrite").save()
+    return counts.rows()
+
+
+@query("SELECT event_id, user_id, (SELECT count(*) FROM events) AS used, true AS refused FROM events")
+def key_uses(spark, sf):
+    """Batches of a store under a budget of uses a key: the one that would exceed it is refused, the others are read."""
+    events = _read(spark, sf, "events").select("event_id", "user_id")
+    t = Table("events", _id("events"), (Column("user_id", _id("events.user_id"), "int"),), pk=("event_id",))
+    store = SealedStore(_engine(spark), t, _shared(spark), max_uses=events.count())
+    for part in (0, 1):
+        store.append(events.filter(F.col("event_id") % 2 == part))
+    refused = False
+    try:
+        store.append(events)
+    except SealError as e:
+        refused = e.code == "KEY_UNAVAILABLE"
+    used = store.uses().agg(F.sum("n").alias("used"))
+    return store.read().decrypted().select("event_id", "user_id").join(F.broadcast(used)).withColumn("refused", F.lit(refused))
+
+
 def _quiet(spark: SparkSession, mode: str) -> Engine:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
