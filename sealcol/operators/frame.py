@@ -17,6 +17,7 @@ from ..engine import SCOPE, Engine, tenant_bytes, with_scope
 from ..errors import NotSupported, SealError
 from ..functions import codec
 from ..functions import normalize as N
+from ..plans import lineage
 from ..plans import predicates as P
 from ..plans.context import lit_bytes
 from ..plans.declare import Table
@@ -109,6 +110,7 @@ class SealedFrame:
         df = self.df
         for t in terms:
             if isinstance(t, P.Plain):
+                lineage.guard_over(self.df.filter(t.condition), self.df, self.table, tests=False)
                 df = df.filter(t.condition)
             elif isinstance(t, P.Null):
                 e = F.col(f"`{t.column}`")
@@ -135,6 +137,7 @@ class SealedFrame:
                 if isinstance(t, P.Or):
                     df = walk(t, df)
                 elif isinstance(t, P.Plain):
+                    lineage.guard_over(self.df.filter(t.condition), self.df, self.table, tests=False)
                     df = df.filter(t.condition)
                 elif isinstance(t, P.Null):
                     df = df.filter(F.col(f"`{t.column}`").isNotNull() if t.negated else F.col(f"`{t.column}`").isNull())
@@ -187,9 +190,8 @@ class SealedFrame:
         return self.df.select(*names).distinct()
 
     def aggregate(self, **functions: Column) -> DataFrame:
-        for e in functions.values():
-            P.check_plain(e, self.table)
-        return self.df.agg(*[e.alias(k) for k, e in functions.items()])
+        """Aggregates of plain columns, and counts of sealed ones."""
+        return lineage.guard_over(self.df.agg(*[e.alias(k) for k, e in functions.items()]), self.df, self.table)
 
     def join(self, other: DataFrame | SealedFrame, on: str, how: str = "inner") -> DataFrame:
         """An equi-join on a plain key."""
@@ -312,8 +314,7 @@ class Candidates:
         return self._df
 
     def filter(self, condition: Column) -> Candidates:
-        P.check_plain(condition, self.table)
-        return Candidates(self.engine, self._df.filter(condition), self.table)
+        return Candidates(self.engine, lineage.guard_over(self._df.filter(condition), self._df, self.table, tests=False), self.table)
 
     def union(self, other: Candidates) -> Candidates:
         return Candidates(self.engine, self._df.unionByName(other._df).dropDuplicates(list(self.table.pk) or None), self.table)

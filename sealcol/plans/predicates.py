@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column as SparkColumn
@@ -118,7 +117,6 @@ def conjuncts(p: Predicate, table: Table, verified: bool) -> list[Predicate]:
         table.column(p.column)
         return [p]
     if isinstance(p, Plain):
-        check_plain(p.condition, table)
         return [p]
     if isinstance(p, Lookup):
         raise NotSupported(f"{p.name} on {p.column}: an index answers equality and membership only; use the decrypted view")
@@ -137,22 +135,3 @@ def conjuncts(p: Predicate, table: Table, verified: bool) -> list[Predicate]:
             conjuncts(part, table, verified)
         return [p]
     raise NotSupported(f"{type(p).__name__} is no predicate that an index answers")
-
-
-def check_plain(condition: SparkColumn, table: Table) -> None:
-    """Refuse conditions that read an envelope or an index value as if it were data: by the attributes an expression refers to."""
-    read = attributes(condition)
-    for c in table.columns:
-        for name in (c.name, c.sibling):
-            if name.lower() in read:
-                raise NotSupported(f"{name} holds sealed bytes; filter with ref({c.name!r}) or on the decrypted view")
-
-
-def attributes(condition: SparkColumn) -> set[str]:
-    """The names of the columns that an expression refers to, lower-cased; of SQL text, all its words outside of strings."""
-    tree = condition._jc.node().toString()
-    names = {part for m in re.finditer(r"UnresolvedAttribute\(List\(([^()]*)\)", tree) for part in m[1].split(", ")}
-    names |= {m[1] for m in re.finditer(r"ExpressionColumnNode\((\w+)#\d+", tree)}
-    for m in re.finditer(r"SqlExpression\((.*?),Origin\(", tree, re.DOTALL):
-        names |= set(re.findall(r"\w+", re.sub(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\"""", "", m[1])))
-    return {n.lower() for n in names}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .engine import Engine
-from .errors import ConfigurationError, SealError
+from .errors import ConfigurationError, NotSupported, SealError
 from .functions import codec
 from .functions.normalize import CASEFOLD, DIGITS, IDENTITY, casefold, normalize_col
 from .operators import backfill, census, correlation, leakage, prefix, record
@@ -26,6 +26,7 @@ from .plans.declare import Column, Index, Override, Slow, Table, bits_for
 from .plans.keys import DerivedKeyProvider
 from .plans.predicates import Plain, ref
 from .plans.suites import AES_GCM
+from .sources import tables
 from .sources.store import SealedStore
 
 ROOT = bytes(range(32))
@@ -702,6 +703,18 @@ def key_uses(spark, sf):
     return store.read().decrypted().select("event_id", "user_id").join(F.broadcast(used)).withColumn("refused", F.lit(refused))
 
 
+@query(f"SELECT c_nationkey, count(*) AS n, count(c_name) AS named, 5 AS refused FROM {C} GROUP BY 1")
+def sql_over_envelopes(spark, sf):
+    """SQL that passes envelopes on and counts them is served; what would read them, under another name too, is refused."""
+    f, refused = _customers(spark, sf), 0
+    for text in ("SELECT x FROM (SELECT c_name AS x FROM t) ORDER BY x", "SELECT c_name, count(*) FROM t GROUP BY 1", "SELECT max(c_acctbal) FROM t", "SELECT a.c_custkey FROM t a JOIN t b ON a.c_name_bidx = b.c_name_bidx", "SELECT c_custkey FROM t WHERE c_name IN (SELECT c_name FROM t)"):
+        try:
+            tables.sql(text, t=f)
+        except NotSupported:
+            refused += 1
+    return tables.sql("SELECT c_nationkey, count(*) AS n, count(name) AS named FROM (SELECT c_nationkey, c_name AS name FROM t) GROUP BY c_nationkey", t=f).withColumn("refused", F.lit(refused))
+
+
 def _quiet(spark: SparkSession, mode: str) -> Engine:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")

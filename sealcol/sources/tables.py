@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine, check_metadata
 from ..operators.frame import SealedFrame
+from ..plans import lineage
 from ..plans.declare import Table
 
 
@@ -53,5 +54,16 @@ def expose(frame: SealedFrame, name: str, *columns: str) -> None:
 
 
 def expose_sealed(frame: SealedFrame, name: str) -> None:
-    """A view of stored bytes: SQL over it sees envelopes only."""
+    """A view of stored bytes: SQL over it sees envelopes only. ``sql`` refuses what would read them as values."""
     frame.df.createOrReplaceTempView(name)
+
+
+def sql(text: str, **frames: SealedFrame) -> DataFrame:
+    """The rows of a query over views of sealed tables, by their names, if it only passes envelopes on, counts them or tests them for null.
+
+    Any other reading, under whatever name and however deep, is refused before anything runs.
+    """
+    for name, frame in frames.items():
+        expose_sealed(frame, name)
+    spark = next(iter(frames.values())).engine.spark
+    return lineage.guard(spark.sql(text), {name: f.table for name, f in frames.items()})

@@ -127,7 +127,7 @@ def test_shapes_that_would_be_wrong_are_refused(people):
 
 
 def test_conditions_are_refused_by_what_they_read(people):
-    for c in (F.col("email") == "a", F.expr("length(email) > 3"), people.df["EMAIL_bidx"].isNull(), F.col("t.email").isNull(), F.exists(F.array(F.lit(1)), lambda x: F.col("note") == "n")):
+    for c in (F.col("email") == "a", F.expr("length(email) > 3"), people.df["EMAIL_bidx"].isNull(), F.col("email").isNull(), F.when(F.col("id") > 1, F.col("note")).isNotNull(), F.exists(F.array(F.lit(1)), lambda x: F.col("note") == "n")):
         with pytest.raises(NotSupported):
             people.filter(Plain(c))
     for c in (F.col("id") == 1, F.lit("email") == "email", F.expr("id = 1 or 'email' = 'note'"), F.col("id").cast("string") != "note"):
