@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import os
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column as SparkColumn
@@ -20,6 +23,7 @@ from .functions import normalize as N
 from .plans import suites
 from .plans.context import Binding, encoded_col, lit_bytes
 from .plans.declare import META, Column, Index, Table
+from .plans.derived import Derivation
 from .plans.keys import KeyProvider, Labels, write_key
 
 ARM = "SEALCOL_ARM_PROVISIONAL"
@@ -91,9 +95,12 @@ class Counts:
 
 
 class Engine:
-    """Read modes: 'strict' raises for what is no envelope, 'permissive' and 'readonly' pass it through; 'readonly' seals nothing."""
+    """Read modes: 'strict' raises for what is no envelope, 'permissive' and 'readonly' pass it through; 'readonly' seals nothing.
 
-    def __init__(self, spark: SparkSession, provider: KeyProvider, *, mode: str = "strict", write_suite: int = suites.AES_GCM.id, allowed_suites: tuple[int, ...] = (suites.AES_GCM.id,), arm_provisional: bool = False, labels: Labels = Labels(), tables: tuple[Table, ...] = (), max_plaintext: int = suites.MAX_PLAINTEXT):
+    ``closed``: tables with tenants are touched within a bound tenant only (see within()).
+    """
+
+    def __init__(self, spark: SparkSession, provider: KeyProvider, *, mode: str = "strict", write_suite: int = suites.AES_GCM.id, allowed_suites: tuple[int, ...] = (suites.AES_GCM.id,), arm_provisional: bool = False, labels: Labels = Labels(), tables: tuple[Table, ...] = (), max_plaintext: int = suites.MAX_PLAINTEXT, closed: bool = False):
         if mode not in MODES:
             raise ConfigurationError(f"a read mode is one of {', '.join(MODES)}")
         for s in (write_suite, *allowed_suites):
@@ -109,6 +116,7 @@ class Engine:
         if not 0 < max_plaintext <= suites.MAX_PLAINTEXT:
             raise ConfigurationError("a plaintext has at most 2**31 - 1 bytes")
         self.max_plaintext = max_plaintext
+        self.closed, self._bound = closed, ContextVar("tenant", default=None)
         if mode != "strict":
             warnings.warn(f"read mode {mode}: values that are no envelopes are passed through", stacklevel=2)
 
@@ -130,10 +138,51 @@ class Engine:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         return df.repartition(cores) if size < SMALL * cores else df
 
+    # tenants
+
+    @contextmanager
+    def within(self, tenant: bytes | str) -> Iterator[None]:
+        """Binds the tenant of what is sealed, opened and looked up in this block: a plan that is made here raises
+        CONTEXT_UNAVAILABLE at a row of any other. Blocks nest; threads and coroutines have their own."""
+        bound = tenant.encode() if isinstance(tenant, str) else tenant
+        if not isinstance(bound, bytes) or not bound:
+            raise InvalidArgument("a tenant is text or bytes, and not empty")
+        token = self._bound.set(bound)
+        try:
+            yield
+        finally:
+            self._bound.reset(token)
+
+    def bound(self, table: Table) -> bytes | None:
+        """The tenant that is bound here, for a table with tenants; None if all are meant. A closed engine refuses that."""
+        if not table.tenant:
+            return None
+        tenant = self._bound.get()
+        if tenant is None and self.closed:
+            raise SealError("CONTEXT_UNAVAILABLE", f"{table.name} has tenants and none is bound")
+        return tenant
+
+    def scoped(self, df: DataFrame, table: Table) -> DataFrame:
+        """Rows with their scope; a row of another tenant than the bound one is an error when it is read."""
+        df, tenant = with_scope(df, table), self.bound(table)
+        if tenant is None:
+            return df
+        other = F.raise_error(F.lit("CONTEXT_UNAVAILABLE: a row of another tenant")).cast("binary")
+        return df.withColumn(SCOPE, F.when(F.col(SCOPE) == lit_bytes(tenant), F.col(SCOPE)).otherwise(other))
+
+    def derivation(self, table: Table) -> Derivation | None:
+        """For tables with tenants whose keys a plan can derive by itself."""
+        return Derivation(self.spark, self.provider, self.labels) if table.tenant and getattr(self.provider, "in_plan", False) else None
+
+    def few_scopes(self, df: DataFrame, table: Table, most: int) -> list[bytes] | None:
+        """The tenants of a table, or None if there are more than ``most``: no more than that reaches the driver."""
+        rows = df.select(tenant_bytes(df, table).alias("s")).filter("s is not null").distinct().limit(most + 1).collect()
+        return [bytes(r["s"]) for r in rows] if len(rows) <= most else None
+
     # keys as rows
 
     def _scopes(self, df: DataFrame, table: Table) -> list[bytes]:
-        """The tenants of a table: few distinct values, resolved on the driver."""
+        """The tenants of a table whose keys come from a directory on the driver, which holds them all anyway."""
         if not table.tenant:
             return [b""]
         rows = df.select(tenant_bytes(df, table).alias("s")).distinct().collect()
@@ -155,6 +204,28 @@ class Engine:
                     raise
         return self._small([(s, bytearray(k.key_id), bytearray(k.dek)) for s, k in keys], "k_scope binary, k_id binary, k_dek binary")
 
+    def with_write_keys(self, df: DataFrame, table: Table, lenient: bool = False) -> DataFrame:
+        """Adds k_id and k_dek, the active key of each row's scope; null without a scope and, if lenient, without a key."""
+        derived = self.derivation(table)
+        if derived:
+            return derived.bare(derived.write_key(derived.rooted(df), SCOPE, "k_id", "k_dek"))
+        keys = self.write_keys(self._scopes(df, table), lenient)
+        return df.join(keys, F.col(SCOPE) == F.col("k_scope"), "left").drop("k_scope")
+
+    def with_read_keys(self, df: DataFrame, e: str, read: tuple[DataFrame, int] | Derivation) -> DataFrame:
+        """Adds r_deks, the candidate keys of the envelope in column ``e``."""
+        if isinstance(read, Derivation):
+            return df.withColumn("r_deks", read.named(F.col(f"`{e}`"), F.col("__stem"), F.col(SCOPE)))
+        return df.join(read[0], F.substring(F.col(f"`{e}`"), 4, 16) == F.col("r_id"), "left").drop("r_id")
+
+    def _reading(self, df: DataFrame, table: Table) -> tuple[DataFrame, tuple[DataFrame, int] | Derivation, int]:
+        """The rows, what with_read_keys() takes, and the most candidates of any envelope."""
+        derived = self.derivation(table)
+        if derived:
+            return derived.rooted(df).withColumn("__stem", derived.stem(F.col(SCOPE))), derived, 1
+        read = self.read_keys(self._scopes(df, table))
+        return df, read, read[1]
+
     def index_pads(self, scopes: list[bytes], table: Table, c: Column, lenient: bool = False) -> DataFrame:
         """Per scope what an index value starts from: an HMAC's two pads, or a salt, and the bucket for unindexable values."""
         self.provider.warm(scopes)
@@ -259,11 +330,20 @@ class Engine:
                 norm = F.when(canonical_bytes.isNotNull() & norm.isNull(), F.raise_error(F.lit("INVALID_ARGUMENT: a value has no normal form")).cast("binary")).otherwise(norm)
         df = df.withColumn(f"__{out}_n", norm)
         n = F.col(f"`__{out}_n`")
-        pads = self.index_pads(self._scopes(df, table), table, c, lenient=not raises)
+        derived = self.derivation(table)
+        pads = None if derived else self.index_pads(self._scopes(df, table), table, c, lenient=not raises)
         if index.slow:
-            each = df.select(F.col(scope).alias("v_scope"), n.alias("v_n")).filter(n.isNotNull()).distinct().join(pads, F.col("v_scope") == F.col("x_scope"))
+            each = df.select(F.col(scope).alias("v_scope"), n.alias("v_n")).filter(n.isNotNull()).distinct()
+            if derived:
+                each = derived.rooted(each.filter("v_scope is not null"))
+                each = each.withColumn("x_salt", derived.salt(derived.index_key(F.col("v_scope"), table.binding(c), index)))
+            else:
+                each = each.join(pads, F.col("v_scope") == F.col("x_scope"))
             each = each.select("v_scope", "v_n", crypto.truncate_col(crypto.argon2_col(F.col("v_n"), F.col("x_salt"), index.slow.passes, index.slow.kib), index.bits).alias(out))
             df = df.join(each, (F.col(scope) == F.col("v_scope")) & (n == F.col("v_n")), "left").drop("v_scope", "v_n")
+        elif derived:
+            raw = crypto.hmac_col(derived.index_key(F.col(scope), table.binding(c), index), 32, n)
+            df = derived.bare(derived.rooted(df).withColumn(out, F.when(n.isNotNull(), crypto.truncate_col(raw, index.bits))))
         else:
             df = df.join(pads, F.col(scope) == F.col("x_scope"), "left")
             raw = crypto.hmac_padded(F.col("x_ipad"), F.col("x_opad"), n)
@@ -287,9 +367,7 @@ class Engine:
             got, want = codec.logical_type(types[n]), table.column(n).logical
             if got != want and not (want == "int" and got == "decimal" and types[n].scale == 0):
                 raise ConfigurationError(f"{n}: a column of {types[n].simpleString()} is {got}, not {want}")
-        df = with_scope(self.spread(df), table)
-        keys = self.write_keys(self._scopes(df, table), lenient=codes)
-        df = df.join(keys, F.col(SCOPE) == F.col("k_scope"), "left")
+        df = self.with_write_keys(self.scoped(self.spread(df), table), table, lenient=codes)
         for n in names:
             c = table.column(n)
             given = source = F.col(f"`{c.source or n}`")
@@ -321,7 +399,7 @@ class Engine:
             if c.storage == "base64":
                 df = df.withColumn(n, F.base64(n))
             df = df.withMetadata(n, table.metadata(c))
-        return df.drop(SCOPE, "k_scope", "k_id", "k_dek")
+        return df.drop(SCOPE, "k_id", "k_dek", "__stem", "__root_i", "__root_o")
 
     def _refused(self, table: Table, given: SparkColumn, rendered: SparkColumn) -> SparkColumn:
         """Why a value cannot be sealed, in this order: no tenant, no canonical form, too long, no key. Null if it can."""
@@ -355,16 +433,17 @@ class Engine:
     def open(self, df: DataFrame, table: Table, columns: tuple[str, ...], *, raw: bool = False, counts: Counts | None = None) -> DataFrame:
         """Envelopes become values (raw: struct(status, plaintext)). Lazy: only these columns are opened."""
         check_metadata(df, table)
-        df = with_scope(self.spread(df), table)
-        keys, most = self.read_keys(self._scopes(df, table))
+        df, read, most = self._reading(self.scoped(self.spread(df), table), table)
         outcome, key = {}, {}
         for n in columns:
             c = table.column(n)
             stored = F.unbase64(F.col(f"`{n}`")) if c.storage == "base64" else F.col(f"`{n}`")
             df = df.withColumn(f"__{n}_e", stored)
             e = F.col(f"`__{n}_e`")
-            df = df.join(keys, F.substring(e, 4, 16) == F.col("r_id"), "left")
-            found = envelope.open_envelope(e, F.col("r_deks"), most, context_col(df, table, c, self.write_suite), self.labels.commitment, self.allowed_suites)
+            df = self.with_read_keys(df, f"__{n}_e", read)
+            context = context_col(df, table, c, self.write_suite)
+            # bound once, since a filter that is pushed down copies it
+            found = crypto.let(F.col("r_deks"), lambda d, e=e, context=context: envelope.open_envelope(e, d, most, context, self.labels.commitment, self.allowed_suites))
             strict = self.mode == "strict"
             if counts is not None:  # bound to columns: what is observed is what is opened
                 df = df.withColumn(f"__{n}_o", found)
@@ -383,10 +462,10 @@ class Engine:
                 value = codec.parse(F.col(f"`__{n}_e`"), c.logical, c.spark_type)
             else:
                 value = found if raw else codec.parse(crypto.let(found, checked), c.logical, c.spark_type)
-            df = df.withColumn(n, value).drop(f"__{n}_e", f"__{n}_o", "r_id", "r_deks")
+            df = df.withColumn(n, value).drop(f"__{n}_e", f"__{n}_o", "r_deks")
         if counts is not None:
             df = counts.watch(df, outcome, key).drop(*[x for n in columns for x in (f"__{n}_seen", f"__{n}_by")])
-        return df.drop(SCOPE)
+        return df.drop(SCOPE, "__stem", "__root_i", "__root_o")
 
     def rotate_table(self, df: DataFrame, table: Table, columns: tuple[str, ...] | None = None, codes: bool = False) -> DataFrame:
         """Envelopes whose suite or key is not the active one are opened and sealed anew; the others stay byte for byte.
@@ -395,10 +474,8 @@ class Engine:
         """
         self.write_gate("rotate")
         names = [c.name for c in table.columns if columns is None or c.name in columns]
-        df = with_scope(self.spread(df), table)
-        scopes = self._scopes(df, table)
-        keys, most = self.read_keys(scopes)
-        df = df.join(self.write_keys(scopes, lenient=codes), F.col(SCOPE) == F.col("k_scope"), "left")
+        df = self.with_write_keys(self.scoped(self.spread(df), table), table, lenient=codes)
+        df, read, most = self._reading(df, table)
         for n in names:
             c = table.column(n)
             e = F.unbase64(F.col(f"`{n}`")) if c.storage == "base64" else F.col(f"`{n}`")
@@ -407,7 +484,7 @@ class Engine:
             df = df.withColumn(f"__{n}_e", e)
             e = F.col(f"`__{n}_e`")
             current = is_current(e, F.col("k_id"), self.write_suite)
-            df = df.join(keys, F.substring(e, 4, 16) == F.col("r_id"), "left")
+            df = self.with_read_keys(df, f"__{n}_e", read)
             context = context_col(df, table, c, self.write_suite)
             df = df.withColumn(f"__{n}_o", envelope.open_envelope(F.when(~current, e), F.col("r_deks"), most, context, self.labels.commitment, self.allowed_suites))
             o = F.col(f"`__{n}_o`")
@@ -422,9 +499,9 @@ class Engine:
             df = df.withColumn(f"__{n}_r", crypto.entropy_col())
             df = df.withColumn(f"__{n}_new", envelope.seal(plain, F.col("k_id"), F.col("k_dek"), context, F.col(f"`__{n}_r`"), self.labels.commitment)).drop(f"__{n}_r")
             new = F.col(f"`__{n}_new`")
-            df = df.withColumn(n, F.when(kept, F.col(f"`{n}`")).otherwise(F.base64(new) if c.storage == "base64" else new)).drop(f"__{n}_e", f"__{n}_o", f"__{n}_new", "r_id", "r_deks")
+            df = df.withColumn(n, F.when(kept, F.col(f"`{n}`")).otherwise(F.base64(new) if c.storage == "base64" else new)).drop(f"__{n}_e", f"__{n}_o", f"__{n}_new", "r_deks")
             df = df.withMetadata(n, table.metadata(c))
-        return df.drop(SCOPE, "k_scope", "k_id", "k_dek")
+        return df.drop(SCOPE, "k_id", "k_dek", "__stem", "__root_i", "__root_o")
 
 
 def _bytes(x: object) -> None:

@@ -122,20 +122,18 @@ def _outcome(df: DataFrame, table: Table, c: Column, pending: SparkColumn) -> Sp
 def rotate(engine: Engine, df: DataFrame, table: Table) -> DataFrame:
     """rotate_table() with each value's outcome in a column CODE + name; what is no envelope at all is anomalous."""
     df = df.withColumns({f"__was_{c.name}": stored(table, c.name) for c in table.columns})
-    key = engine.write_keys(engine._scopes(df, table), lenient=True)
     df = engine.rotate_table(df, table, codes=True)
-    df = with_scope(df, table).join(key, F.col(SCOPE) == F.col("k_scope"), "left")
+    df = engine.with_write_keys(with_scope(df, table), table, lenient=True)
     for c in table.columns:
         was, code = F.col(f"`__was_{c.name}`"), F.col(CODE + c.name)
         outcome = F.when(F.col(f"`{c.name}`").isNull(), "null").when(code == "NOT_CIPHERTEXT", "anomalous").when(code.isNotNull(), code)
         df = df.withColumn(CODE + c.name, outcome.when(is_current(was, F.col("k_id"), engine.write_suite), "current").otherwise("written"))
-    return df.drop(SCOPE, "k_scope", "k_id", "k_dek", *[f"__was_{c.name}" for c in table.columns])
+    return df.drop(SCOPE, "k_id", "k_dek", *[f"__was_{c.name}" for c in table.columns])
 
 
 def rotation_pending(engine: Engine, df: DataFrame, table: Table) -> DataFrame:
     """One row per sealed column: envelopes that a rotation would touch, by header alone."""
-    df = with_scope(df, table)
-    df = df.join(engine.write_keys(engine._scopes(df, table)), F.col(SCOPE) == F.col("k_scope"), "left")
+    df = engine.with_write_keys(with_scope(df, table), table)
     parts = [F.struct(F.lit(c.name).alias("column"), F.sum((F.coalesce(kind_col(stored(table, c.name)) == "envelope", F.lit(False)) & ~is_current(stored(table, c.name), F.col("k_id"), engine.write_suite)).cast("long")).alias("n_pending")) for c in table.columns]
     return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..engine import SCOPE, Engine, tenant_bytes, with_scope
 from ..errors import NotSupported, SealError
-from ..functions import codec
+from ..functions import codec, crypto
 from ..functions import normalize as N
 from ..plans import lineage
 from ..plans import predicates as P
@@ -63,6 +63,7 @@ class SealedFrame:
         return c, norms, bare
 
     def _candidates(self, df: DataFrame, term: P.In, tenant: bytes | None) -> DataFrame:
+        tenant = self.engine.bound(self.table) if tenant is None else tenant
         c, norms, bare = self._targets(term)
         messages = list(dict.fromkeys(norms + ([self.engine.labels.unindexable] if bare else [])))
         if not messages:
@@ -72,7 +73,15 @@ class SealedFrame:
             # every tenant has its own index key: the targets of each, once, meet the rows on tenant and index value
             if index.slow:
                 raise NotSupported("an argon2id index of a table with tenants is asked for one tenant at a time")
-            scopes = self.engine._scopes(df, self.table)
+            derived = self.engine.derivation(self.table)
+            scopes = self.engine.few_scopes(df, self.table, PUSHED) if derived else self.engine._scopes(df, self.table)
+            if scopes is None:  # more than the driver should see: targets are derived where the scopes are
+                own = derived.rooted(with_scope(df, self.table).select(SCOPE).filter(F.col(SCOPE).isNotNull()).distinct())
+                own = own.withColumn("__key", derived.index_key(F.col(SCOPE), self.table.binding(c), index))
+                own = own.select(F.col(SCOPE).alias("t_scope"), "__key", F.explode(F.array(*[lit_bytes(m) for m in messages])).alias("__m"))
+                target = crypto.truncate_col(crypto.hmac_col(F.col("__key"), 32, F.col("__m")), index.bits)
+                asked = own.select("t_scope", (F.lower(F.hex(target)) if index.as_hex else target).alias("t_index"))
+                return self._met(df, sibling, asked)
             self.engine.provider.warm(scopes)
             targets = [(s, b) for s in scopes for b in dict.fromkeys(self.engine._derive(m, self.table.binding(c, s), index) for m in messages)]
             told = list(dict.fromkeys(b for _, b in targets))
@@ -80,14 +89,17 @@ class SealedFrame:
                 df = df.filter(sibling.isin(*[b.hex() for b in told]) if index.as_hex else sibling.isin(*[lit_bytes(b) for b in told]))
             rows = [(bytearray(s), b.hex() if index.as_hex else bytearray(b)) for s, b in targets]
             asked = self.engine._small(rows, f"t_scope binary, t_index {'string' if index.as_hex else 'binary'}")
-            df = with_scope(df, self.table)
-            return df.join(asked, (F.col(SCOPE) == F.col("t_scope")) & (sibling == F.col("t_index")), "left_semi").drop(SCOPE)
+            return self._met(df, sibling, asked)
         ctx = self.table.binding(c, tenant)
         found = list(dict.fromkeys(self.engine._derive(m, ctx, index) for m in messages))
         if self.table.tenant:
             df = df.filter(tenant_bytes(df, self.table) == lit_bytes(tenant))
         return df.filter(sibling.isin(*[b.hex() for b in found]) if index.as_hex else sibling.isin(*[lit_bytes(b) for b in found]))
 
+    def _met(self, df: DataFrame, sibling: Column, asked: DataFrame) -> DataFrame:
+        """Rows whose index value is asked for under their own tenant's key."""
+        return with_scope(df, self.table).join(asked, (F.col(SCOPE) == F.col("t_scope")) & (sibling == F.col("t_index")), "left_semi").drop(SCOPE)
+
     def _verify(self, df: DataFrame, term: P.In) -> DataFrame:
         """Rows whose own normal form is a target's; values without one are compared by their bytes."""
         c, norms, bare = self._targets(term)

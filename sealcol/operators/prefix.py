@@ -22,7 +22,7 @@ from ..functions import codec, crypto
 from ..functions import normalize as N
 from ..plans.context import lit_bytes
 from ..plans.declare import Index, Override
-from .frame import SealedFrame, Verified
+from .frame import PUSHED, SealedFrame, Verified
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,12 @@ def tokens(frame: SealedFrame, prefix: Prefix) -> DataFrame:
     df = with_scope(df.withColumn("__text", norm.cast("string")), table)
     of = F.array(*[F.struct(F.lit(n).alias("length"), F.when(F.char_length("__text") >= n, F.substring("__text", 1, n)).alias("text")) for n in prefix.lengths])
     df = df.select(*table.pk, SCOPE, F.explode(of).alias("p")).filter("p.text is not null").withColumn("__length", F.col("p.length"))
+    derived = engine.derivation(table)
+    if derived:
+        df, length = derived.rooted(df), F.col("__length")
+        key = F.coalesce(*[F.when(length == n, derived.index_key(F.col(SCOPE), table.binding(c), prefix.of(n))) for n in prefix.lengths])
+        raw = crypto.hmac_col(key, 32, F.encode("p.text", "UTF-8"))
+        return df.select(crypto.truncate_col(raw, prefix.index.bits).alias("token"), length.alias("prefix_length"), *table.pk)
     scopes = engine._scopes(frame.df, table)
     engine.provider.warm(scopes)
     rows = []
@@ -112,7 +118,17 @@ class PrefixFrame:
         """Normal forms, and primary keys of the rows with one of their tokens."""
         engine, table = self.frame.engine, self.frame.table
         norms = [self._norm(t) for t in texts]
-        scopes = [tenant] if tenant is not None else engine._scopes(self.frame.df, table)
+        tenant = engine.bound(table) if tenant is None else tenant
+        derived = engine.derivation(table)
+        few = engine.few_scopes(self.frame.df, table, PUSHED) if derived and tenant is None else None
+        if derived and tenant is None and few is None:
+            of = F.array(*[F.struct(F.lit(self.prefix.longest(t)).alias("n"), F.lit(t[: self.prefix.longest(t)]).alias("t")) for t in dict.fromkeys(norms)])
+            own = derived.rooted(with_scope(self.frame.df, table).select(SCOPE).filter(F.col(SCOPE).isNotNull()).distinct()).withColumn("p", F.explode(of))
+            key = F.coalesce(*[F.when(F.col("p.n") == n, derived.index_key(F.col(SCOPE), table.binding(self.column), self.prefix.of(n))) for n in self.prefix.lengths])
+            token = crypto.truncate_col(crypto.hmac_col(key, 32, F.encode("p.t", "UTF-8")), self.prefix.index.bits)
+            asked = own.select(F.col("p.n").alias("prefix_length"), token.alias("token"))
+            return norms, self.stored.join(asked, ["prefix_length", "token"], "left_semi").select(*table.pk)
+        scopes = [tenant] if tenant is not None else few if few is not None else engine._scopes(self.frame.df, table)
         engine.provider.warm(scopes)
         wanted: dict[int, dict[bytes, None]] = {}
         for text in norms:
@@ -131,6 +147,7 @@ class PrefixFrame:
 
     def _found(self, keys: DataFrame, tenant: bytes | None) -> DataFrame:
         table = self.frame.table
+        tenant = self.frame.engine.bound(table) if tenant is None else tenant
         df = self.frame.df.join(keys, list(table.pk), "left_semi")
         if tenant is not None and table.tenant:
             df = df.filter(tenant_bytes(df, table) == lit_bytes(tenant))

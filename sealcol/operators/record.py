@@ -79,6 +79,15 @@ def _keys(engine: Engine, scopes: list[bytes]) -> DataFrame:
     return engine._small(rows, "m_scope binary, m_ipad binary, m_opad binary")
 
 
+def _with_keys(engine: Engine, df: DataFrame, table: Table) -> DataFrame:
+    """Adds m_ipad and m_opad, the pads of each row's scope; null without one."""
+    derived = engine.derivation(table)
+    if derived:
+        df = derived.rooted(df).withColumn("__m_root", derived.record_root(F.col(SCOPE)))
+        return derived.bare(df.withColumns(dict(zip(("m_ipad", "m_opad"), crypto.pads_col(F.col("__m_root"), 64))))).drop("__m_root")
+    return df.join(_keys(engine, engine._scopes(df, table)), F.col(SCOPE) == F.col("m_scope"), "left").drop("m_scope")
+
+
 def _mac(fields: Fields, df: DataFrame, manifest: Column) -> Column:
     """The MAC of a manifest, under the record's own key; null for a row without tenant."""
     t = fields.table
@@ -94,12 +103,12 @@ def attach(engine: Engine, sealed: DataFrame, table: Table, name: str = "record_
     if name in table.by_name:
         raise InvalidArgument(f"{name} is a sealed column")
     fields = Fields(table)
-    df = with_scope(sealed.drop(name), table)
-    df = df.join(_keys(engine, engine._scopes(df, table)), F.col(SCOPE) == F.col("m_scope"), "left")
+    df = engine.scoped(sealed.drop(name), table)
+    df = _with_keys(engine, df, table)
     df = df.withColumn("__manifest", F.concat(lit_bytes(bytes([VERSION])), *[fields.digest(df, n) for _, n in fields.named]))
     tag = F.concat(F.col("__manifest"), _mac(fields, df, F.col("__manifest")))
-    tag = F.when(F.col("m_scope").isNull(), F.raise_error(F.lit("CONTEXT_UNAVAILABLE: a row without tenant")).cast("binary")).otherwise(tag)
-    return df.withColumn(name, tag).drop("__manifest", SCOPE, "m_scope", "m_ipad", "m_opad")
+    tag = F.when(F.col("m_ipad").isNull(), F.raise_error(F.lit("CONTEXT_UNAVAILABLE: a row without tenant")).cast("binary")).otherwise(tag)
+    return df.withColumn(name, tag).drop("__manifest", SCOPE, "m_ipad", "m_opad")
 
 
 def with_status(engine: Engine, df: DataFrame, table: Table, name: str = "record_mac") -> DataFrame:
@@ -109,8 +118,8 @@ def with_status(engine: Engine, df: DataFrame, table: Table, name: str = "record
     REPLACED: it holds bytes the tag knows nowhere, an older envelope say. Of several the first in this order is the status.
     """
     fields = Fields(table)
-    out = with_scope(df, table)
-    out = out.join(_keys(engine, engine._scopes(out, table)), F.col(SCOPE) == F.col("m_scope"), "left")
+    out = engine.scoped(df, table)
+    out = _with_keys(engine, out, table)
     tag, last = F.col(f"`{name}`"), fields.size - 32
     out = out.withColumn("__mac", _mac(fields, out, F.substring(tag, 1, last)))
     out = out.withColumn("__now", F.array(*[fields.digest(out, n) for _, n in fields.named]))
@@ -129,7 +138,7 @@ def with_status(engine: Engine, df: DataFrame, table: Table, name: str = "record
     bad = F.transform(F.filter(F.arrays_zip(F.col("__told").alias("s"), names.alias("n")), lambda x: x["s"] != "OK"), lambda x: x["n"])
     authentic = ~F.col(f"{name}_status").isin("MAC_MISSING", "MAC_INVALID")
     out = out.withColumn(f"{name}_fields", F.when(authentic, bad))
-    return out.drop("__mac", "__now", "__then", "__told", SCOPE, "m_scope", "m_ipad", "m_opad")
+    return out.drop("__mac", "__now", "__then", "__told", SCOPE, "m_ipad", "m_opad")
 
 
 def open_checked(engine: Engine, df: DataFrame, table: Table, columns: tuple[str, ...], name: str = "record_mac", raises: bool = True) -> DataFrame:

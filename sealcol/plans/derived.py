@@ -1,0 +1,84 @@
+"""Tenants' keys derived row by row in the plan: no list of tenants is made, collected or joined.
+
+The root's pads are one row, broadcast and joined to every row (a relation, since literals are printed in plans). Everything
+else is an expression of the row's scope, so a table may have as many tenants as it has rows, and a tenant that holds a third of
+them skews nothing. A row without scope has no keys.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column as SparkColumn
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import crypto
+from .context import Binding, encoded_col, lit_bytes, sized_col
+from .declare import Index
+from .keys import DerivedKeyProvider, Labels
+
+INNER, OUTER = "__root_i", "__root_o"
+
+
+class Derivation:
+    """A DerivedKeyProvider's answers as expressions over a scope column. ``rooted`` comes first, ``bare`` last."""
+
+    def __init__(self, spark: SparkSession, provider: DerivedKeyProvider, labels: Labels):
+        self.spark, self.provider, self.labels = spark, provider, labels
+
+    def rooted(self, df: DataFrame) -> DataFrame:
+        if INNER in df.columns:
+            return df
+        inner, outer = self.provider.pads()
+        row = self.spark.createDataFrame([(bytearray(inner), bytearray(outer))], f"{INNER} binary, {OUTER} binary")
+        return df.crossJoin(F.broadcast(row))
+
+    def bare(self, df: DataFrame) -> DataFrame:
+        return df.drop(INNER, OUTER)
+
+    def _expand(self, what: bytes | SparkColumn, scope: SparkColumn, n: int) -> SparkColumn:
+        what = lit_bytes(what) if isinstance(what, bytes) else what
+        info = F.concat(what, sized_col(scope), lit_bytes(b"\1"))
+        return F.substring(crypto.hmac_padded(F.col(INNER), F.col(OUTER), info), 1, n)
+
+    def stem(self, scope: SparkColumn) -> SparkColumn:
+        """A scope's key ids without their versions: 12 bytes."""
+        return F.concat(lit_bytes(self.provider.labels.derived_tag), self._expand(b"scope-tag", scope, 8))
+
+    def key_id(self, scope: SparkColumn) -> SparkColumn:
+        """The active key's."""
+        return F.concat(self.stem(scope), lit_bytes(self.provider.active.to_bytes(4, "big")))
+
+    def dek(self, version: bytes | SparkColumn, scope: SparkColumn) -> SparkColumn:
+        """A version is four bytes."""
+        return self._expand(b"dek" + version if isinstance(version, bytes) else F.concat(lit_bytes(b"dek"), version), scope, 32)
+
+    def write_key(self, df: DataFrame, scope: str, key_id: str, dek: str) -> DataFrame:
+        s = F.col(scope)
+        return df.withColumns({key_id: self.key_id(s), dek: self.dek(self.provider.active.to_bytes(4, "big"), s)})
+
+    def named(self, e: SparkColumn, stem: SparkColumn, scope: SparkColumn) -> SparkColumn:
+        """The key that an envelope's header names, in an array; null if it is none of its scope's.
+
+        One candidate is enough: the header's key id is part of what a record's key is derived from.
+        """
+        version = F.substring(e, 16, 4)
+        known = version.isin(*[lit_bytes(v.to_bytes(4, "big")) for v in self.provider.versions])
+        return F.when((F.substring(e, 4, 12) == stem) & known, F.array(self.dek(version, scope)))
+
+    def scope_index_key(self, scope: SparkColumn) -> SparkColumn:
+        return self._expand(b"index-key", scope, 32)
+
+    def index_key(self, scope: SparkColumn, binding: Binding, index: Index) -> SparkColumn:
+        """An index's key under each scope: engine.index_key() per row."""
+        inner, outer = crypto.pads(self.labels.index)
+        prk = crypto.hmac_padded(lit_bytes(inner), lit_bytes(outer), self.scope_index_key(scope))
+        return crypto.expand_col(prk, encoded_col(binding.of_index(index.name), index.suite, scope))
+
+    def salt(self, index_key: SparkColumn) -> SparkColumn:
+        return crypto.expand_col(crypto.extract_zero_col(index_key), lit_bytes(self.labels.argon2_salt), 16)
+
+    def record_root(self, scope: SparkColumn) -> SparkColumn:
+        """HKDF's first step over the scope's index key, for records' tags."""
+        inner, outer = crypto.pads(self.labels.record)
+        return crypto.hmac_padded(lit_bytes(inner), lit_bytes(outer), self.scope_index_key(scope))
+

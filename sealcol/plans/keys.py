@@ -5,13 +5,14 @@ Keys are rows, never literals: literals are printed in plans. Providers work on
 
 from __future__ import annotations
 
+import hmac
 import time
 from collections import OrderedDict
 from dataclasses import dataclass, field
 from typing import Protocol
 
 from ..errors import ConfigurationError, InvalidArgument, SealError
-from ..functions.crypto import hkdf
+from ..functions.crypto import hkdf, pads
 from .context import sized
 from .suites import KEY_ID_LEN
 
@@ -91,6 +92,16 @@ class DerivedKeyProvider:
         if self.active not in self.versions:
             raise ConfigurationError("the active version is one of the versions")
 
+    @property
+    def in_plan(self) -> bool:
+        """Whether a plan may derive what the methods below give: not where a subclass answers in another way."""
+        own = type(self)
+        return all(getattr(own, n) is getattr(DerivedKeyProvider, n) for n in ("key_id", "data_keys", "index_key", "_derive"))
+
+    def pads(self) -> tuple[bytes, bytes]:
+        """What every derivation starts from: the two blocks of HMAC under the root's extracted key."""
+        return pads(hmac.digest(self.labels.derived, self._root, "sha512"))
+
     def _derive(self, what: bytes, scope: bytes, n: int) -> bytes:
         return hkdf(self._root, self.labels.derived, what + sized(scope), n)
 

@@ -1,0 +1,181 @@
+"""Keys of tenants derived in the plan, against those of the driver; and tenants that are bound."""
+
+import asyncio
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from sealcol.engine import Engine
+from sealcol.errors import InvalidArgument, SealError
+from sealcol.functions.normalize import CASEFOLD
+from sealcol.operators import frame as frames
+from sealcol.operators import prefix as prefixes
+from sealcol.operators import record
+from sealcol.operators.frame import SealedFrame
+from sealcol.plans.declare import Column, Index, Override, Slow, Table
+from sealcol.plans.keys import DerivedKeyProvider
+from sealcol.plans.predicates import ref
+
+ROOT = bytes(range(32))
+NOTE = Override("test", "tests", "2026-01-01")
+INDEX = Index(bits=9, population=1500, suite=0xFF01, form=CASEFOLD)
+TABLE = Table("people", b"p" * 16, (Column("name", b"n" * 16, "string", INDEX), Column("age", b"a" * 16, "int")), pk=("id",), tenant="org")
+ROWS = [(1, "a", "Ada", 36), (2, "b", "ada", 45), (3, "a", None, 41), (4, "ü", "Grace", None), (5, "c", "", 7), (6, "a", "Ada", 8)]
+
+
+class Driver(DerivedKeyProvider):
+    """The same keys, asked for on the driver."""
+
+    in_plan = False
+
+
+@pytest.fixture(scope="module")
+def both(spark):
+    return [Engine(spark, p, arm_provisional=True, tables=(TABLE,)) for p in (DerivedKeyProvider(ROOT, (1, 7)), Driver(ROOT, (1, 7)))]
+
+
+@pytest.fixture(scope="module")
+def plain(spark):
+    return spark.createDataFrame(ROWS, "id long, org string, name string, age long")
+
+
+@pytest.fixture(scope="module")
+def stored(spark, both, plain, tmp_path_factory):
+    at = tmp_path_factory.mktemp("tenants")
+    out = []
+    for i, e in enumerate(both):
+        e.seal(plain, TABLE).write.parquet(f"{at}/{i}")
+        out.append(spark.read.parquet(f"{at}/{i}"))
+    return out
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_plan_and_driver_derive_the_same(both, stored, plain):
+    for engine in both:
+        for df in stored:
+            assert rows(engine.open(df, TABLE, ("name", "age")).select("id", "org", "name", "age")) == rows(plain)
+    sibling = TABLE.column("name").sibling
+    assert rows(stored[0].select("id", sibling)) == rows(stored[1].select("id", sibling))
+    ids = F.substring("name", 4, 16)
+    assert rows(stored[0].select("id", ids)) == rows(stored[1].select("id", ids))
+    c = TABLE.column("name")
+    value = stored[0].filter("id = 4").first()
+    assert bytes(value[sibling]) == both[0].blind_index("Grace", TABLE.binding(c, "ü".encode()), INDEX)
+    assert both[0].decrypt(bytes(value["name"]), TABLE.binding(c, "ü".encode())) == b"Grace"
+
+
+def test_no_join_by_tenant_in_the_plan(both, stored, plain):
+    plan = both[0].seal(plain, TABLE)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "HashJoin" not in plan
+    opened = SealedFrame(both[0], stored[0], TABLE).decrypted("name")
+    plan = opened._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" not in plan and "hashpartitioning" not in plan
+    inner, _ = both[0].provider.pads()
+    assert inner.hex() not in plan.lower() and ROOT.hex() not in plan.lower()
+
+
+@pytest.mark.parametrize("pushed", [0, 1000])
+def test_lookups_under_every_tenant(both, stored, pushed, monkeypatch):
+    monkeypatch.setattr(frames, "PUSHED", pushed)
+    for engine, df in zip(both, stored):
+        f = SealedFrame(engine, df, TABLE)
+        assert rows(f.filter(ref("name").isin("ADA", "", "nobody")).df.select("id")) == [(1,), (2,), (5,), (6,)]
+        assert rows(f.filter(ref("name").eq("ada"), tenant=b"a").df.select("id")) == [(1,), (6,)]
+
+
+@pytest.mark.parametrize("pushed", [0, 1000])
+def test_prefixes(spark, both, stored, pushed, monkeypatch, tmp_path):
+    monkeypatch.setattr(prefixes, "PUSHED", pushed)
+    p = prefixes.Prefix("name", (1, 2), Index(bits=5, population=256, suite=0xFF01, form=CASEFOLD, few=NOTE), NOTE)
+    built = [prefixes.build(SealedFrame(e, df, TABLE), p, str(tmp_path / str(i))) for i, (e, df) in enumerate(zip(both, stored))]
+    assert rows(built[0].stored) == rows(built[1].stored)
+    for found in built:
+        assert rows(found.starts_with("AD", "g").df.select("id")) == [(1,), (2,), (4,), (6,)]
+        assert rows(found.starts_with("ada", tenant=b"b").df.select("id")) == [(2,)]
+
+
+def test_records(both, stored):
+    tagged = [record.attach(e, df, TABLE) for e, df in zip(both, stored)]
+    for engine in both:
+        for df in tagged:
+            assert rows(record.with_status(engine, df, TABLE).select("record_mac_status").distinct()) == [("OK",)]
+
+
+def test_a_row_without_tenant_has_no_key(both, spark):
+    df = spark.createDataFrame([(1, None, "x", 1)], "id long, org string, name string, age long")
+    for engine in both:
+        with pytest.raises(PySparkException, match="CONTEXT_UNAVAILABLE"):
+            engine.seal(df, TABLE).collect()
+        got = engine.seal(df, TABLE, codes=True).first()
+        assert got["name"] is None and got["__code_name"] == "CONTEXT_UNAVAILABLE"
+
+
+def test_an_envelope_of_another_tenant_opens_for_nobody(both, stored):
+    moved = stored[0].withColumn("org", F.when(F.col("id") == 1, "b").otherwise(F.col("org")))
+    status = both[0].open(moved, TABLE, ("name",), raw=True).filter("id = 1").first()["name"]["status"]
+    assert status == "KEY_UNAVAILABLE"
+
+
+def test_rotation(spark, stored, plain):
+    newer = Engine(spark, DerivedKeyProvider(ROOT, (1, 7, 8)), arm_provisional=True)
+    turned = newer.rotate_table(stored[0], TABLE).cache()
+    assert rows(newer.open(turned, TABLE, ("name", "age")).select("id", "org", "name", "age")) == rows(plain)
+    assert {bytes(r[0]) for r in turned.select(F.substring("name", 16, 4)).filter("name is not null").collect() if r[0]} == {b"\0\0\0\x08"}
+
+
+def test_slow_index_derives_its_salt_in_the_plan(both, plain):
+    slow = Index(bits=9, population=1500, suite=0xFF01, slow=Slow())
+    table = Table("people", b"p" * 16, (Column("name", b"n" * 16, "string", slow),), pk=("id",), tenant="org")
+    sibling = table.column("name").sibling
+    a, b = (rows(e.seal(plain, table).select("id", sibling)) for e in both)
+    assert a == b and sum(r[1] is not None for r in a) == 5
+
+
+def test_a_bound_tenant_is_checked_in_the_plan(both, stored):
+    engine = both[0]
+    with engine.within("a"):
+        mine = stored[0].filter("org = 'a'")
+        assert rows(engine.open(mine, TABLE, ("name",)).select("id", "name")) == [(1, "Ada"), (3, None), (6, "Ada")]
+        with pytest.raises(PySparkException, match="another tenant"):
+            engine.open(stored[0], TABLE, ("name",)).collect()
+        assert rows(SealedFrame(engine, stored[0], TABLE).filter(ref("name").eq("ada")).df.select("id")) == [(1,), (6,)]
+        with engine.within(b"b"):
+            assert rows(SealedFrame(engine, stored[0], TABLE).filter(ref("name").eq("ada")).df.select("id")) == [(2,)]
+        assert engine.bound(TABLE) == b"a"
+    assert engine.bound(TABLE) is None
+    for bad in ("", 3, None):
+        with pytest.raises(InvalidArgument), engine.within(bad):
+            pass
+
+
+def test_a_closed_engine_refuses_what_no_tenant_is_bound_for(spark, stored, plain):
+    engine = Engine(spark, DerivedKeyProvider(ROOT, (1, 7)), arm_provisional=True, closed=True)
+    for touch in (lambda: engine.open(stored[0], TABLE, ("name",)), lambda: engine.seal(plain, TABLE), lambda: engine.rotate_table(stored[0], TABLE), lambda: SealedFrame(engine, stored[0], TABLE).filter(ref("name").eq("x")), lambda: record.attach(engine, stored[0], TABLE)):
+        with pytest.raises(SealError) as e:
+            touch()
+        assert e.value.code == "CONTEXT_UNAVAILABLE"
+
+    async def own(tenant, expected):
+        with engine.within(tenant):
+            await asyncio.sleep(0)
+            assert rows(SealedFrame(engine, stored[0], TABLE).filter(ref("name").eq("ada")).df.select("id")) == expected
+
+    async def side_by_side():
+        await asyncio.gather(own("a", [(1,), (6,)]), own("b", [(2,)]))
+
+    asyncio.run(side_by_side())
+
+
+def test_many_tenants(spark, both, tmp_path):
+    """A tenant a row, and one that holds a third of all rows."""
+    n = 6000
+    org = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id")))
+    df = spark.range(n).select("id", org.alias("org"), F.concat(F.lit("v"), F.col("id") % 50).alias("name"), F.col("id").alias("age"))
+    both[0].seal(df, TABLE).write.parquet(str(tmp_path / "t"))
+    f = SealedFrame(both[0], spark.read.parquet(str(tmp_path / "t")), TABLE)
+    assert f.filter(ref("name").eq("v7")).df.count() == n // 50
+    assert f.decrypted().exceptAll(df.select(*f.decrypted().columns)).count() == 0
