@@ -66,11 +66,6 @@ def hmac_col(key: Column, size: int, message: Column) -> Column:
     return let(key, lambda k: hmac_padded(_block(k, size, IPAD), _block(k, size, OPAD), message))
 
 
-def pads_col(key: Column, size: int) -> tuple[Column, Column]:
-    """pads() of a key column of ``size`` bytes."""
-    return _block(key, size, IPAD), _block(key, size, OPAD)
-
-
 def extract_col(salt: Column, size: int, ikm: Column) -> Column:
     return hmac_col(salt, size, ikm)
 

@@ -630,15 +630,6 @@ def tenant_scoped_eq(spark, sf):
     return f.filter(ref("c_name").isin(*_some(spark, sf))).decrypted("c_name").select("c_custkey", "c_nationkey", "c_name")
 
 
-@query(f"SELECT c_custkey, c_name, c_acctbal FROM {C} WHERE c_name IN {N3} OR c_name LIKE '%7'")
-def tenants_many(spark, sf):
-    """Every customer is a tenant: keys and index targets are derived in the plan, and no list of tenants is made."""
-    f = _customers(spark, sf, tenant="c_custkey")
-    asked = f.filter(ref("c_name").isin(*_some(spark, sf))).decrypted("c_name", "c_acctbal")
-    read = f.decrypted("c_name", "c_acctbal").filter(F.col("c_name").endswith("7"))
-    return asked.unionByName(read).select("c_custkey", "c_name", "c_acctbal").distinct()
-
-
 @query(f"SELECT c_custkey, c_name FROM {C}")
 def row_bound_open(spark, sf):
     """Envelopes bound to their row's key."""
