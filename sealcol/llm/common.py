@@ -30,9 +30,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go when the driver's collector finds their plans unused: asked for here, before the next job writes its own."""
-    spark.sparkContext._jvm.System.gc()
+#: Spark removes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Written tables of one run. A table goes when all that is made of it is written: then no plan reads it, and a lost executor asks for nothing older.
+
+    The shuffle files of a write go with its end; elsewhere they stay until the driver happens to collect its garbage.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._at: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As materialise() does, under a name of this run."""
+        path = self._at[name] = f"{shared_dir(self._spark)}/{name}-{uuid.uuid4().hex}"
+        before = self._spark.conf.get(CLEANUP)
+        self._spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self._spark.conf.set(CLEANUP, before)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more. One that was never written is none."""
+        for name in names:
+            if name in self._at:
+                path = self._spark._jvm.org.apache.hadoop.fs.Path(self._at.pop(name))
+                path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
