@@ -11,8 +11,7 @@ one count per piece and language. Predictions cover every row.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows of null language teach nothing; if no
 row teaches, every text is ``und``, and an empty table gives no rows; ties go to the language that sorts first; repeated rows
-teach as often as they are drawn. Very long texts and words are scored whole; for training alone, words of over ``LONGEST``
-bytes are counted in parts of that size. Pieces with capitals never occur, since texts are lower-cased first. Columns other
+teach as often as they are drawn. Very long texts and words are summed whole, in training too. Pieces with capitals never occur, since texts are lower-cased first. Columns other
 than the named ones are carried by ``keep_known`` and not looked at.
 """
 
@@ -30,7 +29,7 @@ from .common import col, materialise, with_fields
 from .vectext import BASE, chunks, find_words, mix, powers
 
 UNDETERMINED = "und"
-#: Bytes of a word in one lattice; longer ones are scored with rescaling. Thirty-three factors of at least FLOOR stay far above the least float.
+#: Bytes of a word in one lattice; longer ones are summed with rescaling. Thirty-three factors of at least FLOOR stay far above the least float.
 LONGEST = 32
 FLOOR = 1e-8
 #: The byte that stands for the vocabulary's mark of a word's beginning.
@@ -137,13 +136,14 @@ class Lattice:
         return out[:-1]
 
 
-def parts(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut into parts of at most LONGEST bytes: start, size, and the word each part is of."""
-    size = end - start
-    n = np.maximum(1, -(-size // LONGEST))
-    of = np.repeat(np.arange(len(start)), n)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    return start[of] + k * LONGEST, np.minimum(LONGEST, size[of] - k * LONGEST), of
+def long_blocks(size: np.ndarray):
+    """Places of the words of over LONGEST bytes, longest first, in blocks of half a million bytes or one word."""
+    long = np.flatnonzero(size > LONGEST)
+    long, a = long[np.argsort(-size[long], kind="stable")], 0
+    while a < len(long):
+        own = long[a : a + max(1, min(4096, 500_000 // int(size[long[a]])))]
+        yield own
+        a += len(own)
 
 
 def lattices(pieces: Pieces, low: np.ndarray, start: np.ndarray, size: np.ndarray, n_langs: int):
@@ -179,6 +179,45 @@ def long_words(pieces: Pieces, p: np.ndarray, low: np.ndarray, start: np.ndarray
     return logs
 
 
+def long_expected(pieces: Pieces, p: np.ndarray, low: np.ndarray, start: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in each language by words of any length, longest first; counts[word, language].
+
+    Forward sums are kept as logarithms. Backwards goes what share of a word's uses passes through each place: that of a place
+    is dealt to the pieces that end there, by their share of the sum, so no sum of what follows is needed.
+    """
+    rows, most = padded(low, start, size), pieces.longest
+    wide, n_langs = rows.shape[1], p.shape[1]
+    up, down = powers(wide + 1)
+    total = np.zeros((len(rows), wide + 1), np.uint64)
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * up[:wide], axis=1, out=total[:, 1:])
+
+    def ending(e: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """How many words have e bytes (the mark is one); word, length and number of each piece that ends there. One byte always is a piece."""
+        n, k = int(np.searchsorted(-size, 1 - e, "right")), np.arange(1, min(e, most) + 1)
+        ids = pieces.find(mix((total[:n, e, None] - total[:n, e - k]) * down[e - k]).ravel()).reshape(n, len(k))
+        w, at = np.nonzero(ids < len(p) - 1)
+        return n, w, at + 1, ids[w, at]
+
+    log_p, logs = np.log(p[:-1]), np.zeros((len(rows), wide + 1, n_langs))
+    for e in range(1, wide + 1):
+        n, w, k, ids = ending(e)
+        terms, first = log_p[ids] + logs[w, e - k], np.flatnonzero(np.diff(w, prepend=-1))
+        top = np.maximum.reduceat(terms, first, axis=0)
+        logs[:n, e] = top + np.log(np.add.reduceat(np.exp(terms - top[w]), first, axis=0))
+    through = np.zeros((most + 1, len(rows), n_langs))  # of a place and the ``most`` before it
+    out = np.zeros((len(p), n_langs))
+    for e in range(wide, 0, -1):
+        n, w, k, ids = ending(e)
+        now = through[e % (most + 1)]
+        now[:n][size[:n] + 1 == e] = 1
+        uses = now[w] * np.exp(log_p[ids] + logs[w, e - k] - logs[w, e])
+        now[:] = 0
+        through[(e - k) % (most + 1), w] += uses  # each pair of word and length comes once
+        for j in range(n_langs):
+            out[:, j] += np.bincount(ids, uses[:, j] * counts[w, j], len(out))
+    return out[:-1]
+
+
 @dataclass
 class Model:
     """Languages in order, and log-free piece probabilities p[piece, language] with a last row of zeros."""
@@ -209,12 +248,8 @@ class Scorer:
             short = np.flatnonzero(size <= LONGEST)
             for own, lattice in lattices(self.pieces, low, s[short], size[short], n):
                 out[new[short[own]]] = np.log(np.maximum(lattice.total(self.model.p), 1e-300))
-            long = np.flatnonzero(size > LONGEST)
-            long, a = long[np.argsort(-size[long], kind="stable")], 0
-            while a < len(long):
-                own = long[a : a + max(1, min(4096, 500_000 // int(size[long[a]])))]
+            for own in long_blocks(size):
                 out[new[own]] = long_words(self.pieces, self.model.p, low, s[own], size[own])
-                a += len(own)
             if len(self.known) + len(new) > self.keep:
                 self.known, self.scores = h, out
             else:
@@ -270,9 +305,12 @@ def train(docs: DataFrame, allowed: Column, vocabulary: str, *, text_col: str =
                     start, end = offs[:-1], offs[1:]
                     n = np.zeros((b - a, n_langs))
                     n[np.arange(b - a), batch.column("lang").slice(a, b - a).to_numpy()] = batch.column("n").slice(a, b - a).to_numpy()
-                    s, size, of = parts(raw, start, end)
-                    for own, lattice in lattices(pieces, raw, s, size, n_langs):
-                        total += lattice.expected(held.value, n[of[own]])
+                    size = end - start
+                    short = np.flatnonzero(size <= LONGEST)
+                    for own, lattice in lattices(pieces, raw, start[short], size[short], n_langs):
+                        total += lattice.expected(held.value, n[short[own]])
+                    for own in long_blocks(size):
+                        total += long_expected(pieces, held.value, raw, start[own], size[own], n[own])
             i, j = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["piece", "lang", "uses"])
 
