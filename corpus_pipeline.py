@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
 columns of ``documents``; the last returns the pieces of packed sequences.
+
+Defined cases: null and empty texts, and those without a letter, go with the first stage, since they have no language; ids may
+be null or repeated (null comes last where the least id decides); very long texts are looked at whole by every stage; other
+columns are carried along, whatever their names; of rows that are equal in all that a stage compares any one stays; no
+documents give no pieces, and no benchmark hits nothing.
 """
 
 from __future__ import annotations
