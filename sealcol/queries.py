@@ -83,11 +83,15 @@ def _customers(spark: SparkSession, sf: str, engine: Engine | None = None, **tab
     return SealedFrame(engine, _stored(engine.seal(df, t)), t)
 
 
+#: Values of events.user_id that its index is declared for.
+USERS = 256
+
+
 def _events(spark: SparkSession, sf: str) -> SealedFrame:
     """events with sealed user_id (indexed) and value."""
     engine = _engine(spark)
     df = _read(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    t = Table("events", _id("events"), (Column("user_id", _id("events.user_id"), "int", _index(256)), Column("value", _id("events.value"), "float")), pk=("event_id",))
+    t = Table("events", _id("events"), (Column("user_id", _id("events.user_id"), "int", _index(USERS)), Column("value", _id("events.value"), "float")), pk=("event_id",))
     return SealedFrame(engine, _stored(engine.seal(df, t)), t)
 
 
@@ -589,11 +593,12 @@ def leak_collision_totals(spark, sf):
 
 @query("SELECT * FROM (VALUES ('c_name'), ('event_type'), ('o_orderpriority'), ('user_id')) AS t(col), LATERAL (SELECT CASE WHEN col <> 'c_name' OR (SELECT count(DISTINCT c_name) FROM customer) < 1024 THEN 'REFUSE' ELSE 'OK' END AS verdict)")
 def leak_verdict(spark, sf):
+    """Verdicts on indexes: for user_id as it is declared, for the others as many values as there are."""
     out = None
-    for table, c in (("customer", "c_name"), ("events", "event_type"), ("orders", "o_orderpriority"), ("events", "user_id")):
+    for table, c, declared in (("customer", "c_name", None), ("events", "event_type", None), ("orders", "o_orderpriority", None), ("events", "user_id", USERS)):
         df = _read(spark, sf, table)
-        n = df.select(c).distinct().count()
-        row = leakage.verdict(df, c, bits_for(max(16, n))).select(F.lit(c).alias("col"), "verdict")
+        n = declared or df.select(c).distinct().count()
+        row = leakage.verdict(df, c, bits_for(max(16, n)), declared).select(F.lit(c).alias("col"), "verdict")
         out = row if out is None else out.union(row)
     return out
 
@@ -759,7 +764,7 @@ def stream_sealed(spark, sf):
     from .streaming.seal import read_sealed, seal_stream
 
     engine = _engine(spark)
-    t = Table("events", _id("events"), (Column("user_id", _id("events.user_id"), "int", _index(256)), Column("value", _id("events.value"), "float")), pk=("event_id",))
+    t = Table("events", _id("events"), (Column("user_id", _id("events.user_id"), "int", _index(USERS)), Column("value", _id("events.value"), "float")), pk=("event_id",))
     rows = _read(spark, sf, "events").select("event_id", "user_id", "value")
     source = _stored(rows)
     base = source.inputFiles()[0].rsplit("/", 1)[0]
