@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +24,7 @@ def first_unassigned(text: str) -> int | None:
 
 def casefold(text: str) -> str | None:
     """NFC, full case folding, NFC; None where a code point is unassigned."""
-    if first_unassigned(text) is not None:
+    if any(unicodedata.category(c) in ("Cn", "Cs") for c in set(text)):
         return None
     return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
 
@@ -50,10 +49,27 @@ def check(name: str) -> None:
         raise ConfigurationError(f"{name!r} is no normal form; they are {', '.join(NORMALIZERS)}")
 
 
-@F.pandas_udf(T.StringType())
-def _casefold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for p in parts:
-        yield pd.Series([None if v is None else casefold(v) for v in p], dtype=object)
+#: Texts that are folded before they leave Python's memory, but for a longer one bytes of them.
+TEXTS, BYTES = 512, 4 << 20
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    """casefold() of an array, a text at a time: besides the two arrays a few texts are held."""
+    out, held, size = [], [], 0
+    for x in texts:
+        text = x.as_py()
+        folded = None if text is None else casefold(text)
+        held.append(None if folded is None else folded.encode())
+        size += len(held[-1] or b"")
+        if len(held) >= TEXTS or size >= BYTES:
+            out.append(pa.array(held, pa.binary()))
+            held, size = [], 0
+    return pa.concat_arrays([*out, pa.array(held, pa.binary())])
+
+
+@F.arrow_udf(T.BinaryType())
+def _casefold(texts: pa.Array) -> pa.Array:
+    return _folded(texts)
 
 
 def normalize_col(name: str, value: Column, canonical: Column) -> Column:
@@ -66,4 +82,4 @@ def normalize_col(name: str, value: Column, canonical: Column) -> Column:
         return F.encode(F.regexp_replace(text, "[^0-9]", ""), "UTF-8")
     plain = text.rlike(r"^[\x00-\x7F]*$")
     # the interpreter gets the other rows' texts only
-    return F.encode(F.when(plain, F.lower(text)).otherwise(_casefold(F.when(~plain & F.is_valid_utf8(text), text))), "UTF-8")
+    return F.when(plain, F.encode(F.lower(text), "UTF-8")).otherwise(_casefold(F.when(~plain & F.is_valid_utf8(text), text)))
