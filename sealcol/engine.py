@@ -26,8 +26,8 @@ ARM = "SEALCOL_ARM_PROVISIONAL"
 MODES = ("strict", "permissive", "readonly")
 #: Rows of the key relation up to which it is broadcast; a key's row is under 1 KB.
 BROADCAST_KEYS = 10_000
-#: Bytes a core up to which a table is spread over all cores.
-SMALL = 16 << 20
+#: Bytes a core up to which a table is spread over all cores, and in how many parts for each.
+SMALL, PARTS = 128 << 20, 3
 SCOPE = "__scope"
 #: Prefix of the columns that hold a sealed column's error codes, where errors are values.
 CODE = "__code_"
@@ -122,13 +122,15 @@ class Engine:
             raise SealError("SUITE_PROVISIONAL", f"suite {self.write_suite:#06x} is provisional; set {ARM}=1 or arm_provisional=True to use it")
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """The rows in as many partitions as there are cores, where the optimizer knows them to be little: sealing and opening take
-        far longer a row than reading, and a small file is one partition. What is larger has its partitions from the scan."""
+        """The rows in a few partitions for each core, where the optimizer knows them to be little: sealing and opening take far
+        longer a row than reading, and a small file or row group is one partition. What is larger has its partitions from the scan."""
         cores = self.spark.sparkContext.defaultParallelism
         if df.isStreaming or cores < 2:
             return df
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return df.repartition(cores) if size < SMALL * cores else df
+        if size >= SMALL * cores:
+            return df
+        return df.repartition(cores if size < cores << 20 else PARTS * cores)
 
     # keys as rows
 
@@ -365,19 +367,14 @@ class Engine:
             e = F.col(f"`__{n}_e`")
             df = df.join(keys, F.substring(e, 4, 16) == F.col("r_id"), "left")
             found = envelope.open_envelope(e, F.col("r_deks"), most, context_col(df, table, c, self.write_suite), self.labels.commitment, self.allowed_suites)
-            strict = self.mode == "strict"
             if counts is not None:  # bound to columns: what is observed is what is opened
                 df = df.withColumn(f"__{n}_o", found)
                 found = F.col(f"`__{n}_o`")
-                passed = (found["status"] == "NOT_CIPHERTEXT") & F.lit(not strict and not raw)
+                passed = (found["status"] == "NOT_CIPHERTEXT") & F.lit(self.mode != "strict" and not raw)
                 df = df.withColumn(f"__{n}_seen", F.when(e.isNull(), "null").when(passed, "PLAIN").otherwise(found["status"])).withColumn(f"__{n}_by", F.substring(e, 4, 16))
                 outcome[n], key[n] = F.col(f"`__{n}_seen`"), F.col(f"`__{n}_by`")
 
-            def checked(o: SparkColumn, e: SparkColumn = e, n: str = n) -> SparkColumn:
-                out = F.when(o["status"].isNull() | (o["status"] == "OK"), o["plaintext"])
-                out = out if strict else out.when(o["status"] == "NOT_CIPHERTEXT", e)
-                return out.otherwise(F.raise_error(F.concat(o["status"], F.lit(f": column {n}"))).cast("binary"))
-
+            checked = self._checked(n, e)
             if not raw and c.logical == "float":  # its reader is no expression, and cannot stand inside one
                 df = df.withColumn(f"__{n}_e", crypto.let(found, checked))
                 value = codec.parse(F.col(f"`__{n}_e`"), c.logical, c.spark_type)
@@ -388,6 +385,22 @@ class Engine:
             df = counts.watch(df, outcome, key).drop(*[x for n in columns for x in (f"__{n}_seen", f"__{n}_by")])
         return df.drop(SCOPE)
 
+    def _checked(self, n: str, stored: SparkColumn | None = None):
+        """An outcome's plaintext, and an error for any outcome but OK; stored bytes pass where the mode lets them."""
+
+        def checked(o: SparkColumn) -> SparkColumn:
+            out = F.when(o["status"].isNull() | (o["status"] == "OK"), o["plaintext"])
+            out = out if stored is None or self.mode == "strict" else out.when(o["status"] == "NOT_CIPHERTEXT", stored)
+            return out.otherwise(F.raise_error(F.concat(o["status"], F.lit(f": column {n}"))).cast("binary"))
+
+        return checked
+
+    def values(self, raw: DataFrame, table: Table, n: str, out: str) -> DataFrame:
+        """Adds the values of a column that open(raw=True) has opened, without opening it again. Other outcomes than OK are errors."""
+        c = table.column(n)
+        raw = raw.withColumn(f"__{n}_p", crypto.let(F.col(f"`{n}`"), self._checked(n)))
+        return raw.withColumn(out, codec.parse(F.col(f"`__{n}_p`"), c.logical, c.spark_type)).drop(f"__{n}_p")
+
     def rotate_table(self, df: DataFrame, table: Table, columns: tuple[str, ...] | None = None, codes: bool = False) -> DataFrame:
         """Envelopes whose suite or key is not the active one are opened and sealed anew; the others stay byte for byte.
 

@@ -67,10 +67,18 @@ def float_text(x: float) -> str:
     return sign + s[0] + ("." + s[1:] if k > 1 else "") + "e" + ("+" if e > 0 else "-") + str(abs(e))
 
 
+def _short_text(x: float) -> str:
+    """float_text(); the digits of repr() are the shortest, and plain from 1e-4 to below 1e16."""
+    s = repr(x)
+    if "e" in s:
+        return float_text(x)
+    return s[:-2] if s.endswith(".0") else s
+
+
 @F.pandas_udf(T.StringType())
 def _float_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for p in parts:
-        yield pd.Series([None if v is None or pd.isna(v) or math.isinf(v) else float_text(v) for v in p.astype(object)], dtype=object)
+        yield pd.Series([_short_text(v) if v is not None and math.isfinite(v) else None for v in p.tolist()], dtype=object)
 
 
 def refusal(what: str, t: T.DataType | str, raises: bool) -> Column:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hmac
+from hashlib import sha512
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.context import aad_col, lit_bytes
 from ..plans.suites import AES_GCM, FORMAT, REGISTRY, RESERVED_FORMAT, RESERVED_LEAST
-from .crypto import expand_col, extract_col, extract_zero_col, let
+from .crypto import BLOCK, IPAD, OPAD, expand_col, extract_col, extract_zero_col, let
+
+#: An HMAC key's bytes under both pads, by bytes.translate().
+INNER, OUTER = (bytes(b ^ pad for b in range(256)) for pad in (IPAD, OPAD))
 
 
 def kind_col(x: Column) -> Column:
@@ -48,22 +56,70 @@ def commitment(key: Column, label: bytes) -> Column:
     return expand_col(extract_zero_col(key), lit_bytes(label))
 
 
+def _deriver(label: bytes):
+    """record_key and commitment of a row, in Python: there XORing a key with a pad is one call, in expressions a call a character."""
+    # HKDF's first step with no salt, and what its second ends with
+    zero_in, zero_out = sha512(bytes([IPAD]) * BLOCK), sha512(bytes([OPAD]) * BLOCK)
+    closing = label + b"\1"
+
+    def mac(key: bytes, message: bytes) -> bytes:
+        key = key.ljust(BLOCK, b"\0")
+        return sha512(key.translate(OUTER) + sha512(key.translate(INNER) + message).digest()).digest()
+
+    def derive(dek: bytes, key_id: bytes, seed: bytes, context: bytes) -> tuple[bytes, bytes]:
+        key = mac(mac(key_id + seed, dek), context + b"\1")[:32]
+        inner, outer = zero_in.copy(), zero_out.copy()
+        inner.update(key)
+        outer.update(inner.digest())
+        return key, mac(outer.digest(), closing)[:32]
+
+    return derive
+
+
+def derived_keys(dek: Column, key_id: Column, seed: Column, context: Column, label: bytes) -> Column:
+    """record_key and its commitment, 64 bytes; null where any input is."""
+
+    @F.arrow_udf(T.BinaryType())
+    def run(dek: pa.Array, key_id: pa.Array, seed: pa.Array, context: pa.Array) -> pa.Array:
+        derive = _deriver(label)
+        rows = zip(*[x.to_pylist() for x in (dek, key_id, seed, context)])
+        return pa.array([None if None in row else b"".join(derive(*row)) for row in rows], pa.binary())
+
+    return run(dek, key_id, seed, context)
+
+
+def committed_key(deks: Column, key_id: Column, seed: Column, context: Column, held: Column, label: bytes) -> Column:
+    """The first key, of candidates by preference, whose commitment is the one held; null if there is none."""
+
+    @F.arrow_udf(T.BinaryType())
+    def run(deks: pa.Array, key_id: pa.Array, seed: pa.Array, context: pa.Array, held: pa.Array) -> pa.Array:
+        derive, out = _deriver(label), []
+        for own, *rest, there in zip(*[x.to_pylist() for x in (deks, key_id, seed, context, held)]):
+            found = None
+            if own and there is not None and None not in rest:
+                found = next((key for key, c in (derive(dek, *rest) for dek in own if dek is not None) if hmac.compare_digest(c, there)), None)
+            out.append(found)
+        return pa.array(out, pa.binary())
+
+    return run(deks, key_id, seed, context, held)
+
+
 def seal(plaintext: Column, key_id: Column, dek: Column, context: Column, entropy: Column, label: bytes) -> Column:
     """Envelopes of plaintexts, null for null. entropy: a column of 44 bytes a row that is used for nothing else."""
     seed, nonce = F.substring(entropy, 1, 32), F.substring(entropy, 33, 12)
 
-    def whole(key: Column) -> Column:
-        body = F.aes_encrypt(plaintext, key, F.lit("GCM"), F.lit("DEFAULT"), nonce, aad_col(key_id, seed, context))
-        return F.concat(lit_bytes(bytes([FORMAT]) + AES_GCM.id.to_bytes(2, "big")), key_id, seed, body, commitment(key, label))
+    def whole(both: Column) -> Column:
+        body = F.aes_encrypt(plaintext, F.substring(both, 1, 32), F.lit("GCM"), F.lit("DEFAULT"), nonce, aad_col(key_id, seed, context))
+        return F.concat(lit_bytes(bytes([FORMAT]) + AES_GCM.id.to_bytes(2, "big")), key_id, seed, body, F.substring(both, 33, 32))
 
-    return F.when(plaintext.isNotNull(), let(record_key(dek, key_id, seed, context), whole))
+    return F.when(plaintext.isNotNull(), let(derived_keys(dek, key_id, seed, context, label), whole))
 
 
 def open_envelope(e: Column, deks: Column, versions: int, context: Column, label: bytes, allowed: tuple[int, ...]) -> Column:
     """struct(status, plaintext). deks: candidate keys by preference, up to ``versions``, null if there are none.
 
     The order of outcomes is fixed by one CASE: recognition, allowed suite, key, commitment, tag. No key opens an envelope
-    whose commitment it does not reproduce. (Catalyst's comparison takes no constant time.)
+    whose commitment it does not reproduce. Keys are derived for envelopes of an allowed suite only.
     """
     seed, key_id = F.substring(e, 20, 32), F.substring(e, 4, 16)
     body, held = F.substring(e, F.lit(52), F.octet_length(e) - 83), F.substring(e, F.octet_length(e) - 31, F.lit(32))
@@ -71,20 +127,18 @@ def open_envelope(e: Column, deks: Column, versions: int, context: Column, label
     def outcome(status: str | Column, plaintext: Column | None = None) -> Column:
         return F.struct((F.lit(status) if isinstance(status, str) else status).alias("status"), (F.lit(None).cast("binary") if plaintext is None else plaintext).alias("plaintext"))
 
-    def candidate(i: int) -> Column:
-        key = record_key(F.get(deks, F.lit(i)), key_id, seed, context)
-        return let(key, lambda k: F.when(commitment(k, label) == held, k))
-
     def opened(key: Column) -> Column:
         tried = F.try_aes_decrypt(body, key, F.lit("GCM"), F.lit("DEFAULT"), aad_col(key_id, seed, context))
         return F.when(key.isNull(), outcome("COMMITMENT_INVALID")).otherwise(let(tried, lambda p: F.when(p.isNull(), outcome("TAG_INVALID")).otherwise(outcome("OK", p))))
 
-    key = F.coalesce(*[candidate(i) for i in range(versions)]) if versions else F.lit(None).cast("binary")
-    return let(kind_col(e), lambda kind: (
-        F.when(kind.isNull(), outcome(F.lit(None).cast("string")))
-        .when(kind == "reserved", outcome("UNKNOWN_FORMAT_VERSION"))
-        .when(kind == "plain", outcome("NOT_CIPHERTEXT"))
+    fit = (kind_col(e) == "envelope") & suite_id_col(e).isin(*allowed)
+    key = committed_key(F.when(fit, F.slice(deks, 1, versions)), key_id, seed, context, held, label) if versions else F.lit(None).cast("binary")
+    # a Python function cannot stand inside a lambda
+    return let(F.struct(kind_col(e).alias("kind"), key.alias("key")), lambda x: (
+        F.when(x["kind"].isNull(), outcome(F.lit(None).cast("string")))
+        .when(x["kind"] == "reserved", outcome("UNKNOWN_FORMAT_VERSION"))
+        .when(x["kind"] == "plain", outcome("NOT_CIPHERTEXT"))
         .when(~suite_id_col(e).isin(*allowed), outcome("SUITE_NOT_ALLOWED"))
         .when(deks.isNull() | (F.size(deks) < 1), outcome("KEY_UNAVAILABLE"))
-        .otherwise(let(key, opened))
+        .otherwise(opened(x["key"]))
     ))

@@ -356,12 +356,11 @@ def _codec(table: str, key: str, source, logical: str, sql: str, opens_as: str |
         t = Table(f"codec-{logical}", _id(f"codec.{logical}"), (Column("v", _id(f"codec.{logical}.v"), logical, opens_as=opens_as),), pk=(key,))
         kind = df.schema["v"].dataType
         sealed = _stored(engine.seal(df, t))
-        raw = engine.open(sealed, t, ("v",), raw=True)
-        opened = engine.open(sealed, t, ("v",)).select(key, F.col("v").cast(kind).alias("back"))
+        opened = engine.values(engine.open(sealed, t, ("v",), raw=True), t, "v", "back")
         text = F.col("v.plaintext").cast("string") if logical != "bytes" else F.sha2("v.plaintext", 256)
-        joined = raw.select(key, text.alias("canonical")).join(opened, key)
+        opened = opened.select(key, text.alias("canonical"), F.col("back").cast(kind).alias("back"))
         again = codec.render(F.col("back"), kind)
-        return joined.select(key, "canonical", (again.cast("string") == F.col("canonical") if logical != "bytes" else F.sha2("back", 256) == F.col("canonical")).alias("same"))
+        return opened.select(key, "canonical", (again.cast("string") == F.col("canonical") if logical != "bytes" else F.sha2("back", 256) == F.col("canonical")).alias("same"))
 
     run.__name__ = f"codec_{name or logical}"
     query(sql)(run)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..engine import Engine
+from ..engine import PARTS, Engine
 from ..plans.declare import Table
 
 
@@ -14,6 +14,9 @@ def seal_stream(engine: Engine, stream: DataFrame, table: Table, path: str, chec
     engine.write_gate("seal")
 
     def store(batch: DataFrame, number: int) -> None:
+        # a batch's size is not known to the optimizer; its files may be fewer than there are cores
+        cores = engine.spark.sparkContext.defaultParallelism
+        batch = batch.repartition(PARTS * cores) if batch.rdd.getNumPartitions() < PARTS * cores else batch
         engine.seal(batch, table).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
