@@ -212,8 +212,9 @@ class Engine:
         self.provider.warm([ctx.scope])
         k = write_key(self.provider, ctx.scope)
         df = self.spark.createDataFrame([(bytearray(plaintext), bytearray(k.key_id), bytearray(k.dek))], "v binary, k binary, d binary")
-        df = df.withColumn("r", crypto.entropy_col())
-        return bytes(df.select(envelope.seal(F.col("v"), F.col("k"), F.col("d"), lit_bytes(ctx.encoded(self.write_suite)), F.col("r"), self.labels.commitment).alias("e")).first()["e"])
+        context = lit_bytes(ctx.encoded(self.write_suite))
+        df = df.withColumn("r", envelope.drawn_keys(F.col("d"), F.col("k"), context, self.labels.commitment))
+        return bytes(df.select(envelope.seal(F.col("v"), F.col("k"), F.col("r"), context).alias("e")).first()["e"])
 
     def status(self, blob: bytes, ctx: Binding) -> tuple[str, bytes | None]:
         """The outcome of opening one envelope, and its plaintext."""
@@ -317,8 +318,9 @@ class Engine:
                 ready = F.when(F.col(CODE + n).isNull(), pt)
             else:
                 ready = F.when(pt.isNotNull() & F.col("k_id").isNull(), F.raise_error(F.lit("CONTEXT_UNAVAILABLE: a row without tenant")).cast("binary")).otherwise(pt)
-            df = df.withColumn(f"__{n}_r", crypto.entropy_col())
-            df = df.withColumn(n, envelope.seal(ready, F.col("k_id"), F.col("k_dek"), context_col(df, table, c, self.write_suite), F.col(f"`__{n}_r`"), self.labels.commitment))
+            context = context_col(df, table, c, self.write_suite)
+            df = df.withColumn(f"__{n}_r", envelope.drawn_keys(F.when(pt.isNotNull(), F.col("k_dek")), F.col("k_id"), context, self.labels.commitment))
+            df = df.withColumn(n, envelope.seal(ready, F.col("k_id"), F.col(f"`__{n}_r`"), context))
             df = df.drop(f"__{n}_pt", f"__{n}_r")
             if c.storage == "base64":
                 df = df.withColumn(n, F.base64(n))
@@ -432,8 +434,8 @@ class Engine:
             else:
                 plain = plain.when(o["status"].isNotNull(), F.raise_error(F.concat(o["status"], F.lit(f": column {n}"))).cast("binary"))
                 kept = current | e.isNull()
-            df = df.withColumn(f"__{n}_r", crypto.entropy_col())
-            df = df.withColumn(f"__{n}_new", envelope.seal(plain, F.col("k_id"), F.col("k_dek"), context, F.col(f"`__{n}_r`"), self.labels.commitment)).drop(f"__{n}_r")
+            df = df.withColumn(f"__{n}_r", envelope.drawn_keys(F.when(plain.isNotNull(), F.col("k_dek")), F.col("k_id"), context, self.labels.commitment))
+            df = df.withColumn(f"__{n}_new", envelope.seal(plain, F.col("k_id"), F.col(f"`__{n}_r`"), context)).drop(f"__{n}_r")
             new = F.col(f"`__{n}_new`")
             df = df.withColumn(n, F.when(kept, F.col(f"`{n}`")).otherwise(F.base64(new) if c.storage == "base64" else new)).drop(f"__{n}_e", f"__{n}_o", f"__{n}_new", "r_id", "r_deks")
             df = df.withMetadata(n, table.metadata(c))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hmac
+import os
 from hashlib import sha512
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from .crypto import BLOCK, IPAD, OPAD, expand_col, extract_col, extract_zero_col
 
 #: An HMAC key's bytes under both pads, by bytes.translate().
 INNER, OUTER = (bytes(b ^ pad for b in range(256)) for pad in (IPAD, OPAD))
+#: Bytes of a seed and a nonce.
+DRAWN = 44
 
 
 def kind_col(x: Column) -> Column:
@@ -58,61 +63,93 @@ def commitment(key: Column, label: bytes) -> Column:
 
 def _deriver(label: bytes):
     """record_key and commitment of a row, in Python: there XORing a key with a pad is one call, in expressions a call a character."""
-    # HKDF's first step with no salt, and what its second ends with
-    zero_in, zero_out = sha512(bytes([IPAD]) * BLOCK), sha512(bytes([OPAD]) * BLOCK)
-    closing = label + b"\1"
-
-    def mac(key: bytes, message: bytes) -> bytes:
-        key = key.ljust(BLOCK, b"\0")
-        return sha512(key.translate(OUTER) + sha512(key.translate(INNER) + message).digest()).digest()
+    inner_pad, outer_pad = bytes([IPAD]), bytes([OPAD])
+    # HKDF's first step with no salt, the pads after a hash as a key, and what the second step ends with
+    zero_in, zero_out = inner_pad * BLOCK, outer_pad * BLOCK
+    rest_in, rest_out = inner_pad * (BLOCK - 64), outer_pad * (BLOCK - 64)
+    closing = rest_in + label + b"\1"
 
     def derive(dek: bytes, key_id: bytes, seed: bytes, context: bytes) -> tuple[bytes, bytes]:
-        key = mac(mac(key_id + seed, dek), context + b"\1")[:32]
-        inner, outer = zero_in.copy(), zero_out.copy()
-        inner.update(key)
-        outer.update(inner.digest())
-        return key, mac(outer.digest(), closing)[:32]
+        salt = key_id + seed
+        prk = sha512(salt.translate(OUTER).ljust(BLOCK, outer_pad) + sha512(salt.translate(INNER).ljust(BLOCK, inner_pad) + dek).digest()).digest()
+        key = sha512(prk.translate(OUTER) + rest_out + sha512(prk.translate(INNER) + rest_in + context + b"\1").digest()).digest()[:32]
+        prk = sha512(zero_out + sha512(zero_in + key).digest()).digest()
+        return key, sha512(prk.translate(OUTER) + rest_out + sha512(prk.translate(INNER) + closing).digest()).digest()[:32]
 
     return derive
 
 
+def _items(x: pa.Array) -> list[bytes | None]:
+    """A binary array's values, cut from its buffer: to_pylist() makes a scalar of each and takes as long as a hash."""
+    offsets, raw = x.buffers()[1:]
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset :][: len(x) + 1].tolist() if len(x) else []
+    raw = raw.to_pybytes() if raw else b""
+    out = [raw[a:b] for a, b in zip(ends, ends[1:])]
+    for i in np.flatnonzero(x.is_null().to_numpy(zero_copy_only=False)).tolist() if x.null_count else ():
+        out[i] = None
+    return out
+
+
+def _lists(x: pa.Array) -> list[list[bytes | None] | None]:
+    """The values of an array of lists of bytes."""
+    own, ends = _items(x.values), x.offsets.tolist()
+    return [own[a:b] if there else None for a, b, there in zip(ends, ends[1:], x.is_valid().to_pylist() if x.null_count else repeat(True))]
+
+
 def derived_keys(dek: Column, key_id: Column, seed: Column, context: Column, label: bytes) -> Column:
     """record_key and its commitment, 64 bytes; null where any input is."""
 
     @F.arrow_udf(T.BinaryType())
     def run(dek: pa.Array, key_id: pa.Array, seed: pa.Array, context: pa.Array) -> pa.Array:
         derive = _deriver(label)
-        rows = zip(*[x.to_pylist() for x in (dek, key_id, seed, context)])
-        return pa.array([None if None in row else b"".join(derive(*row)) for row in rows], pa.binary())
+        return pa.array([None if None in row else b"".join(derive(*row)) for row in zip(*map(_items, (dek, key_id, seed, context)))], pa.binary())
 
     return run(dek, key_id, seed, context)
 
 
+def drawn_keys(dek: Column, key_id: Column, context: Column, label: bytes) -> Column:
+    """A fresh seed (32 bytes) and nonce (12) from the system, then record_key and its commitment; null where any input is.
+
+    Nondeterministic, so that Catalyst does not copy it.
+    """
+
+    @F.arrow_udf(T.BinaryType())
+    def run(dek: pa.Array, key_id: pa.Array, context: pa.Array) -> pa.Array:
+        derive, fresh, out = _deriver(label), os.urandom(DRAWN * len(dek)), []
+        for i, (d, k, c) in enumerate(zip(*map(_items, (dek, key_id, context)))):
+            own = fresh[DRAWN * i : DRAWN * (i + 1)]
+            out.append(None if d is None or k is None or c is None else own + b"".join(derive(d, k, own[:32], c)))
+        return pa.array(out, pa.binary())
+
+    return run.asNondeterministic()(dek, key_id, context)
+
+
 def committed_key(deks: Column, key_id: Column, seed: Column, context: Column, held: Column, label: bytes) -> Column:
     """The first key, of candidates by preference, whose commitment is the one held; null if there is none."""
 
     @F.arrow_udf(T.BinaryType())
     def run(deks: pa.Array, key_id: pa.Array, seed: pa.Array, context: pa.Array, held: pa.Array) -> pa.Array:
         derive, out = _deriver(label), []
-        for own, *rest, there in zip(*[x.to_pylist() for x in (deks, key_id, seed, context, held)]):
+        for own, *rest, there in zip(_lists(deks), *map(_items, (key_id, seed, context, held))):
             found = None
             if own and there is not None and None not in rest:
-                found = next((key for key, c in (derive(dek, *rest) for dek in own if dek is not None) if hmac.compare_digest(c, there)), None)
+                for dek in own:
+                    if dek is not None:
+                        key, c = derive(dek, *rest)
+                        if hmac.compare_digest(c, there):
+                            found = key
+                            break
             out.append(found)
         return pa.array(out, pa.binary())
 
     return run(deks, key_id, seed, context, held)
 
 
-def seal(plaintext: Column, key_id: Column, dek: Column, context: Column, entropy: Column, label: bytes) -> Column:
-    """Envelopes of plaintexts, null for null. entropy: a column of 44 bytes a row that is used for nothing else."""
-    seed, nonce = F.substring(entropy, 1, 32), F.substring(entropy, 33, 12)
-
-    def whole(both: Column) -> Column:
-        body = F.aes_encrypt(plaintext, F.substring(both, 1, 32), F.lit("GCM"), F.lit("DEFAULT"), nonce, aad_col(key_id, seed, context))
-        return F.concat(lit_bytes(bytes([FORMAT]) + AES_GCM.id.to_bytes(2, "big")), key_id, seed, body, F.substring(both, 33, 32))
-
-    return F.when(plaintext.isNotNull(), let(derived_keys(dek, key_id, seed, context, label), whole))
+def seal(plaintext: Column, key_id: Column, drawn: Column, context: Column) -> Column:
+    """Envelopes of plaintexts, null for null. drawn: a column of drawn_keys() that is used for nothing else."""
+    seed, nonce, key, commitment = (F.substring(drawn, a, n) for a, n in ((1, 32), (33, 12), (45, 32), (77, 32)))
+    body = F.aes_encrypt(plaintext, key, F.lit("GCM"), F.lit("DEFAULT"), nonce, aad_col(key_id, seed, context))
+    return F.when(plaintext.isNotNull(), F.concat(lit_bytes(bytes([FORMAT]) + AES_GCM.id.to_bytes(2, "big")), key_id, seed, body, commitment))
 
 
 def open_envelope(e: Column, deks: Column, versions: int, context: Column, label: bytes, allowed: tuple[int, ...]) -> Column:
@@ -131,14 +168,15 @@ def open_envelope(e: Column, deks: Column, versions: int, context: Column, label
         tried = F.try_aes_decrypt(body, key, F.lit("GCM"), F.lit("DEFAULT"), aad_col(key_id, seed, context))
         return F.when(key.isNull(), outcome("COMMITMENT_INVALID")).otherwise(let(tried, lambda p: F.when(p.isNull(), outcome("TAG_INVALID")).otherwise(outcome("OK", p))))
 
-    fit = (kind_col(e) == "envelope") & suite_id_col(e).isin(*allowed)
+    kind = kind_col(e)
+    fit = (kind == "envelope") & F.substring(e, 2, 2).isin(*[lit_bytes(i.to_bytes(2, "big")) for i in allowed])
     key = committed_key(F.when(fit, F.slice(deks, 1, versions)), key_id, seed, context, held, label) if versions else F.lit(None).cast("binary")
-    # a Python function cannot stand inside a lambda
-    return let(F.struct(kind_col(e).alias("kind"), key.alias("key")), lambda x: (
-        F.when(x["kind"].isNull(), outcome(F.lit(None).cast("string")))
-        .when(x["kind"] == "reserved", outcome("UNKNOWN_FORMAT_VERSION"))
-        .when(x["kind"] == "plain", outcome("NOT_CIPHERTEXT"))
-        .when(~suite_id_col(e).isin(*allowed), outcome("SUITE_NOT_ALLOWED"))
-        .when(deks.isNull() | (F.size(deks) < 1), outcome("KEY_UNAVAILABLE"))
-        .otherwise(opened(x["key"]))
-    ))
+    # outside of a lambda, where expressions are compiled; Spark calls one Python function on one input once
+    return (
+        F.when(fit & (F.size(deks) > 0), opened(key))
+        .when(kind.isNull(), outcome(F.lit(None).cast("string")))
+        .when(kind == "reserved", outcome("UNKNOWN_FORMAT_VERSION"))
+        .when(kind == "plain", outcome("NOT_CIPHERTEXT"))
+        .when(~fit, outcome("SUITE_NOT_ALLOWED"))
+        .otherwise(outcome("KEY_UNAVAILABLE"))
+    )

@@ -70,3 +70,38 @@ def test_folding_holds_few_texts_at_a_time(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:6])], "i int, t string")
     got = df.select("i", normalize_col(CASEFOLD, F.col("t"), F.encode("t", "UTF-8")).alias("n")).orderBy("i").collect()
     assert [None if r["n"] is None else bytes(r["n"]) for r in got] == want[:6]
+
+
+def test_keys_are_drawn_with_seeds_of_their_own(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.unhex(F.sha2(F.lit("d"), 256))).alias("d"), F.unhex(F.repeat(F.lit("6b"), F.lit(16))).alias("k"), F.encode(F.col("id").cast("string"), "UTF-8").alias("c"))
+    df = df.withColumn("drawn", envelope.drawn_keys(F.col("d"), F.col("k"), F.col("c"), b"label"))
+    rows = df.select("*", F.length("drawn").alias("n")).collect()
+    assert all((r["drawn"] is None) == (r["d"] is None) for r in rows)
+    some = [r for r in rows if r["d"] is not None]
+    assert len(some) == 200 == len({bytes(r["drawn"][:32]) for r in some}) == len({bytes(r["drawn"][32:44]) for r in some})
+    for r in some:
+        key = crypto.hkdf(bytes(r["d"]), bytes(r["k"] + r["drawn"][:32]), bytes(r["c"]), 32)
+        assert r["n"] == 108 and bytes(r["drawn"][44:76]) == key and bytes(r["drawn"][76:]) == crypto.hkdf(key, b"", b"label", 32)
+
+
+def test_values_are_cut_from_slices_and_around_nulls():
+    import pyarrow as pa
+
+    values = [b"a", None, b"", b"bcd", None, b"e" * 40]
+    for t in (pa.binary(), pa.large_binary()):
+        for a in range(7):
+            for b in range(a, 7):
+                assert envelope._items(pa.array(values, t).slice(a, b - a)) == values[a:b]
+    lists = [[b"a", None], None, [], [b"bc"], [None, b"", b"d"]]
+    for a in range(6):
+        for b in range(a, 6):
+            assert envelope._lists(pa.array(lists, pa.list_(pa.binary())).slice(a, b - a)) == lists[a:b]
+    assert envelope._items(pa.array([], pa.binary())) == [] == envelope._lists(pa.array([], pa.list_(pa.binary())))
+
+
+def test_decryption_stands_in_no_lambda_and_entropy_in_no_expression(spark):
+    engine = Engine(spark, DerivedKeyProvider(bytes(32)), arm_provisional=True)
+    sealed = engine.seal(spark.range(5).selectExpr("id", "id / 2 AS v"), T)
+    plan = engine.open(sealed, T, ("v",), raw=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "randomUUID" not in plan
+    assert "try_aes_decrypt" not in "".join(part.split(", namedlambda")[0] for part in plan.split("lambdafunction(")[1:])
