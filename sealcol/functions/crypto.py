@@ -99,7 +99,7 @@ def truncate_col(raw: Column, bits: int) -> Column:
 
 
 #: 44 bytes a row from the JVM's SecureRandom: three random UUIDs hold 366 random bits. The expression is
-#: nondeterministic, so Catalyst neither folds nor copies it.
+#: nondeterministic, so Catalyst neither folds nor copies it. For plans without Python; sealing draws in envelope.drawn_keys().
 def entropy_col() -> Column:
     u = [F.java_method(F.lit("java.util.UUID"), F.lit("randomUUID")) for _ in range(3)]
     return F.substring(sha512(F.concat(*u).cast("binary")), 1, 44)
