@@ -20,7 +20,6 @@ from ..errors import ConfigurationError
 from .crypto import let
 
 LOGICAL = ("string", "bytes", "int", "decimal", "float", "boolean", "date", "datetime")
-INT, DECIMAL = r"^(0|-?[1-9][0-9]*)$", r"^(0|-?[1-9][0-9]*|-?(0|[1-9][0-9]*)\.[0-9]*[1-9])$"
 DATE, DATETIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z$"
 
 
@@ -90,10 +89,10 @@ def _refuse(condition: Column, c: Column, what: str, raises: bool) -> Column:
     return F.when(condition, refusal(what, "string", raises)).otherwise(c)
 
 
-def plain_digits(s: Column) -> Column:
-    """A decimal's text without closing zeros; zero has no sign."""
-    s = F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-    return F.when(s.isin("-0", ""), F.lit("0")).otherwise(s)
+def plain_digits(c: Column, t: T.DataType) -> Column:
+    """A number's text without closing zeros. Its type tells whether there is a point; the number is rendered once, without a pattern."""
+    s = c.cast("string")
+    return F.rtrim(F.rtrim(s, F.lit("0")), F.lit(".")) if isinstance(t, T.DecimalType) and t.scale > 0 else s
 
 
 def holds(t: T.DataType, source: T.DataType) -> bool:
@@ -109,7 +108,7 @@ def fitting(c: Column, source: T.DataType, t: T.DataType, raises: bool = True) -
     """An int or decimal column, refusing values that would open to something else."""
     if holds(t, source):
         return c
-    same = plain_digits(c.try_cast(t).cast("string")) == plain_digits(c.cast("string"))  # as numbers they would be rounded first
+    same = plain_digits(c.try_cast(t), t) == plain_digits(c, source)  # as numbers they would be rounded first
     return F.when(c.isNotNull() & ~F.coalesce(same, F.lit(False)), refusal(f"no {t.simpleString()} is this number", source, raises)).otherwise(c)
 
 
@@ -144,7 +143,7 @@ def render(c: Column, t: T.DataType, raises: bool = True) -> Column:
         return F.encode(c, "UTF-8")
     s = c.cast("string")
     if kind == "decimal":
-        s = plain_digits(s)
+        s = plain_digits(c, t)
     elif kind == "float":
         d = c.cast("double")
         s = _refuse(F.isnan(d) | F.abs(d).eqNullSafe(F.lit(float("inf"))), _float_text(d), "not a finite number", raises)
@@ -179,12 +178,11 @@ def parse(b: Column, logical: str, t: T.DataType | None = None, raises: bool = T
     if logical == "boolean":
         return let(text, lambda s: strict(s, s.isin("true", "false"), s == "true"))
     if logical in ("int", "decimal"):
-        # what the type does not hold exactly renders to other bytes
-        exact = lambda s, v: s.rlike(INT if logical == "int" else DECIMAL) & v.isNotNull() & (plain_digits(v.cast("string")) == s)
-        return let(text, lambda s: let(s.try_cast(t), lambda v: strict(s, F.coalesce(exact(s, v), F.lit(False)), v)))
+        # what is not canonical, or not held exactly by the type, renders to other bytes
+        return let(text, lambda s: let(s.try_cast(t), lambda v: strict(s, F.coalesce(plain_digits(v, t) == s, F.lit(False)), v)))
     if logical == "float":
         value = text.try_cast("double")
         return strict(text, F.coalesce(_float_text(value) == text, F.lit(False)), value.cast(t))
     if logical == "date":
         return checked(DATE, lambda s: s.try_cast("date"))
-    return checked(DATETIME, lambda s: F.from_utc_timestamp(F.try_to_timestamp(F.regexp_replace(s, "Z$", "")), F.current_timezone()))
+    return checked(DATETIME, lambda s: F.from_utc_timestamp(F.try_to_timestamp(F.substring(s, 1, 26)), F.current_timezone()))

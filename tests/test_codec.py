@@ -104,3 +104,17 @@ def test_float_text_round_trips(x):
     s = float_text(x)
     assert float(s) == x and math.copysign(1, float(s)) == math.copysign(1, x)
     assert "e" not in s or abs(x) >= 1e21 or abs(x) < 1e-6
+
+
+@pytest.mark.parametrize("text", ["0", "-0.5", "100", "-100.25", "0.0000000000000000000000001", "9999999999999.9999999999999999999999999"])
+def test_decimals_are_rendered_once_and_without_a_pattern(spark, text):
+    """Sealing and opening: a cast to text for each time that a number is rendered, where there were six."""
+    t = T.DecimalType(38, 25)
+    df = spark.range(1).select(F.lit(text).cast(t).alias("v"))
+    rendered = df.select(render(F.col("v"), t).alias("b"))
+    assert bytes(rendered.first()["b"]) == text.encode()
+    again = rendered.select(parse(F.col("b"), "decimal", t).alias("v"))
+    assert canonical_bytes(again.first()["v"], "decimal") == text.encode()
+    stored = spark.createDataFrame([], T.StructType([T.StructField("v", t), T.StructField("b", T.BinaryType())]))
+    plan = stored.select(render(F.col("v"), t).alias("r"), parse(F.col("b"), "decimal", t).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("as string)") - plan.count("x_") <= 4 and "regexp" not in plan and "RLIKE" not in plan
